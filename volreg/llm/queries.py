@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op9_jaccard_join
 from .quality_rules import OP6_SQL, op6_quality_rules
 
 QUERIES = {
     "op6_quality_rules": op6_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL = {
