@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from .jaccard_join import op9_jaccard_join
+from .packing import op5_packing
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .secret_scan import OP4_SQL, op4_secret_scan
+from .token_output import op3_token_output
 
 QUERIES = {
+    "op3_token_output": op3_token_output,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL = {
+    "op4_secret_scan": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
 }
