@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .jaccard_join import op9_jaccard_join
 from .packing import op5_packing
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import OP4_SQL, op4_secret_scan
+from .substring_dedup import op1_substring_dedup
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_output": op3_token_output,
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
