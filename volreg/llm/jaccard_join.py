@@ -11,8 +11,8 @@ of 0.8 or more. The product is never formed whole:
    multiplied with its smallest document only. Pairs whose overlap counts can still
    reach the bound that follows from both sizes are verified on their whole sets.
 4. Documents that these links join need no more links among them. Blocks that still hold
-   several components are multiplied between components only; overlap counts and last
-   positions again bound the overlap, and what passes is verified.
+   several components are multiplied between components only; parity signatures, overlap
+   counts and last positions again bound the overlap, and what passes is verified.
 
 Steps 3 and 4 together lose no link between different components, so components are
 exact, and large groups of near copies cost no pairs within a group.
@@ -40,6 +40,9 @@ from .wordkernel import mix, shingle_sets
 #: Jaccard similarity in percent, and words of a shingle.
 SIMILARITY = 80
 WORDS = 5
+#: Words of 64 bits in a set's parity signature. Each shingle flips one bit, so sets that
+#: differ by d shingles have signatures that differ by d bits at most: a bound on overlaps.
+SIGNATURE = [f"g{i}" for i in range(8)]
 
 
 def _all_shingles(batch: pa.RecordBatch) -> np.ndarray:
@@ -49,17 +52,20 @@ def _all_shingles(batch: pa.RecordBatch) -> np.ndarray:
 def _incidence(batch: pa.RecordBatch, order) -> pa.RecordBatch:
     """Size, digest and prefix of each document's set."""
     level = order.value
-    n, d1, d2, prefixes = [], [], [], []
+    n, d1, d2, prefixes, signatures = [], [], [], [], []
+    bits = 64 * len(SIGNATURE)
     for s in shingle_sets(batch.column("text"), WORDS):
         n.append(len(s))
         d1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
         d2.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
         rare_first = np.argsort(level[slot(s)], kind="stable")  # equal levels stay in order of their hashes
         prefixes.append(s[rare_first[: len(s) - -(-SIMILARITY * len(s) // 100) + 1]].view(np.int64))
+        flips = np.bincount((s >> np.uint64(24)).astype(np.int64) % bits, minlength=bits) & 1
+        signatures.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
     at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
     flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
     lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-    return record(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int64()), d1=pa.array(d1, pa.int64()), d2=pa.array(d2, pa.int64()), prefix=lists)
+    return record(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int64()), d1=pa.array(d1, pa.int64()), d2=pa.array(d2, pa.int64()), prefix=lists, **dict(zip(SIGNATURE, np.array(signatures).reshape(-1, len(SIGNATURE)).T.copy(), strict=True)))
 
 
 def _sets(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
@@ -91,10 +97,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each document: its set's size and its component's smallest doc_id."""
     docs = with_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
     order = counted(docs.select("text"), _all_shingles)
-    rows = stored(map_batches(docs, partial(_incidence, order=order), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "incidence")
+    rows = stored(map_batches(docs, partial(_incidence, order=order), "doc_id long, n long, d1 long, d2 long, prefix array<long>" + "".join(f", {g} long" for g in SIGNATURE)), "incidence")
     known = rows.where("doc_id is not null")
     some = known.where("n > 0")
-    classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix")), "classes")
+    classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), *(F.any_value(g).alias(g) for g in SIGNATURE)), "classes")
 
     entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
     first = F.min(F.struct("rep", "n", "pos"))
@@ -115,12 +121,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of = joined.select(F.col("node").alias("rep"), "component")
     placed = hits.select("h", "rep", "n", "pos").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    placed = stored(placed.join(mixed, "h"), "mixed")
+    placed = stored(placed.join(mixed, "h").join(classes.select("rep", *SIGNATURE), "rep"), "mixed")
     groups = placed.select("h", "component").distinct()
     across = groups.select("h", F.col("component").alias("c")).join(groups.select("h", F.col("component").alias("e")), "h").where("c < e")
-    side = lambda c, i, n, p: placed.select("h", F.col("component").alias(c), F.col("rep").alias(i), F.col("n").alias(n), F.col("pos").alias(p))
+    side = lambda c, i, n, p: placed.select("h", F.col("component").alias(c), F.col("rep").alias(i), F.col("n").alias(n), F.col("pos").alias(p), *(F.col(g).alias(f"{g}{i}") for g in SIGNATURE))
     index = lambda n: n - F.ceil(2 * SIMILARITY * n / (100 + SIMILARITY)) + 1
     pairs = across.join(side("c", "a", "n", "i"), ["h", "c"]).join(side("e", "b", "m", "j"), ["h", "e"])
+    differ = sum((F.bit_count(F.col(f"{g}a").bitwiseXOR(F.col(f"{g}b"))) for g in SIGNATURE), F.lit(0))
+    pairs = pairs.where(differ <= F.col("n") + F.col("m") - 2 * need(F.col("n"), F.col("m")))
     pairs = pairs.where(sized(F.col("n"), F.col("m")) & F.when(F.expr("n <= m"), F.col("i") < index(F.col("n"))).otherwise(F.col("j") < index(F.col("m"))))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
     pairs = stored(pairs.where(F.col("k") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= need(F.col("n"), F.col("m"))).select("a", "b"), "pairs")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .jaccard_join import op9_jaccard_join
 from .packing import op5_packing
+from .quality_classifier import op7_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import OP4_SQL, op4_secret_scan
 from .substring_dedup import op1_substring_dedup
 from .token_output import op3_token_output
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
 

@@ -53,6 +53,7 @@ class Words(NamedTuple):
     end: np.ndarray
     word_at: np.ndarray  # first word of each text, and the end
     hash: np.ndarray
+    total: np.ndarray  # running polynomial over the bytes
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,15 @@ def words(texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray = SAME)
     total = np.zeros(n + 1, _U)
     np.cumsum(_BYTE[fold[data]] * up[:n], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(data, at, start, end, np.searchsorted(start, at), h)
+    return Words(data, at, start, end, np.searchsorted(start, at), h, total)
+
+
+def prefixes(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first n bytes of the words that are longer, and the numbers of these words."""
+    long = np.flatnonzero(w.end - w.start > n)
+    start = w.start[long]
+    _, down = _powers(max(1 << 20, 1 << len(w.data).bit_length()))
+    return mix((w.total[start + n] - w.total[start]) * down[start] + _U(n * 0xA0761D6478BD642F % (1 << 64))), long
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
