@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .jaccard_join import op9_jaccard_join
 from .packing import op5_packing
+from .pii import op10_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import OP4_SQL, op4_secret_scan
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
