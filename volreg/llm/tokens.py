@@ -17,6 +17,9 @@ import numpy as np
 
 #: Distinct pieces kept by a process; it starts anew beyond that.
 KEPT_PIECES = 1_000_000
+#: Pieces encoded as one text, and the character that parts them if the vocabulary drops spaces.
+_TOGETHER = 200
+_MARK = "\x01"
 _unsafe = re.compile(r" \s|\s ")
 
 
@@ -39,6 +42,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the ids that begin a piece, where a vocabulary keeps the space before it
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(1 + max(vocabulary.values()), bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.keeps_space = int(self.begins[self._encode([" a b"])[0]].sum()) == 2
+        mark = self._encode([_MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 and self._encode([f"a {_MARK} b"])[0][1:-1] == mark else None
         self.clear()
 
     def clear(self) -> None:
@@ -50,14 +60,36 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces and each one's count. Many pieces go as one text, as a call costs more than a piece."""
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        lengths, flat, n = [], [], np.zeros(0, np.int64)
+        joint = self._encode([("" if self.keeps_space else f" {_MARK}").join(g) for g in groups]) if self.keeps_space or self.mark is not None else [[]] * len(groups)
+        for group, ids in zip(groups, joint, strict=True):
+            ids = np.array(ids, np.uint32)
+            if self.keeps_space:
+                at = np.flatnonzero(self.begins[np.minimum(ids, len(self.begins) - 1)])
+                n = np.diff(np.append(at, len(ids)))
+            elif self.mark is not None:
+                marks = ids == self.mark
+                at = np.flatnonzero(marks)
+                n = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+                ids = ids[~marks]
+            if len(n) != len(group) or not len(ids) or any(x == " " or _MARK in x for x in group):
+                each = self._encode(group)
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                ids = np.fromiter(chain.from_iterable(each), np.uint32, int(n.sum()))
+            lengths.append(n)
+            flat.append(ids)
+        return np.concatenate(flat), np.concatenate(lengths)
+
     def _learn(self) -> None:
         """Encode the pieces that wait."""
-        if not self.pieces.waiting:
+        new = self.pieces.waiting
+        if not new:
             return
-        new = self._encode(self.pieces.waiting)
+        flat, lengths = self._pieces_ids(new)
         self.pieces.waiting = []
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(lengths.sum()))
         while self.size + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(new) + 1 > len(self.at):
