@@ -1,0 +1 @@
+"""Volumetric land registers as Spark DataFrames."""
