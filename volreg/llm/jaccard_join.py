@@ -120,17 +120,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # blocks of several components, each pair of components once
     of = joined.select(F.col("node").alias("rep"), "component")
     placed = hits.select("h", "rep", "n", "pos").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    placed = stored(placed.join(mixed, "h").join(classes.select("rep", *SIGNATURE), "rep"), "mixed")
-    groups = placed.select("h", "component").distinct()
-    across = groups.select("h", F.col("component").alias("c")).join(groups.select("h", F.col("component").alias("e")), "h").where("c < e")
-    side = lambda c, i, n, p: placed.select("h", F.col("component").alias(c), F.col("rep").alias(i), F.col("n").alias(n), F.col("pos").alias(p), *(F.col(g).alias(f"{g}{i}") for g in SIGNATURE))
+    # in a block of several components the largest is not paired with itself: only the others' entries meet all
+    most = F.max_by("component", F.struct("entries", -F.col("component")))
+    mixed = placed.groupBy("h", "component").agg(F.count("*").alias("entries")).groupBy("h").agg(most.alias("most"), F.count("*").alias("components")).where("components > 1").drop("components")
+    mixed = stored(placed.join(mixed, "h").join(classes.select("rep", *SIGNATURE), "rep"), "mixed")
+    side = lambda t: [F.col("h"), *(F.col(x).alias(f"{t}_{x}") for x in ("component", "rep", "n", "pos", *SIGNATURE))]
+    pairs = mixed.where("component <> most").select(*side("x")).join(mixed.select("most", *side("y")), "h")
+    n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_pos", "y_pos"))
+    once = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("most")) | (F.col("x_component") < F.col("y_component")))
     index = lambda n: n - F.ceil(2 * SIMILARITY * n / (100 + SIMILARITY)) + 1
-    pairs = across.join(side("c", "a", "n", "i"), ["h", "c"]).join(side("e", "b", "m", "j"), ["h", "e"])
-    differ = sum((F.bit_count(F.col(f"{g}a").bitwiseXOR(F.col(f"{g}b"))) for g in SIGNATURE), F.lit(0))
-    pairs = pairs.where(differ <= F.col("n") + F.col("m") - 2 * need(F.col("n"), F.col("m")))
-    pairs = pairs.where(sized(F.col("n"), F.col("m")) & F.when(F.expr("n <= m"), F.col("i") < index(F.col("n"))).otherwise(F.col("j") < index(F.col("m"))))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
+    differ = sum((F.bit_count(F.col(f"x_{g}").bitwiseXOR(F.col(f"y_{g}"))) for g in SIGNATURE), F.lit(0))
+    pairs = pairs.where(once & sized(n, m) & (differ <= n + m - 2 * need(n, m)) & F.when(n <= m, i < index(n)).otherwise(j < index(m)))
+    first = F.col("x_rep") < F.col("y_rep")
+    either = lambda x, y: F.when(first, x).otherwise(y)
+    x, y = F.col("x_rep"), F.col("y_rep")
+    pairs = pairs.groupBy(either(x, y).alias("a"), either(y, x).alias("b")).agg(F.count("*").alias("k"), F.max(either(n, m)).alias("n"), F.max(either(m, n)).alias("m"), F.max(either(i, j)).alias("i"), F.max(either(j, i)).alias("j"))
     pairs = stored(pairs.where(F.col("k") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= need(F.col("n"), F.col("m"))).select("a", "b"), "pairs")
     if not pairs.isEmpty():
         joined = components(links.union(verified(pairs, docs)))
