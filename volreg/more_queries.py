@@ -285,7 +285,7 @@ def polygon_measures(spark, sf):
         polygons.contains(c, s / 2, s / 2).alias("inside"), polygons.contains(c, s * 1.5, s * 1.5).alias("outside"), polygons.contains(c, s * 2, s / 2).alias("border"))
 
 
-@query(f"SELECT k, round_even(1.5 * s * s, 6) AS corner_triangle, round_even(1.5 * s * s, 6) AS corner_diamond, round_even(s * s, 6) AS triangle_diamond FROM ({_SHAPES})", False)
+@query(f"SELECT k, round_even(2 * s * s, 6) AS corner_triangle, round_even(1.5 * s * s, 6) AS corner_diamond, round_even(s * s, 6) AS triangle_diamond FROM ({_SHAPES})", False)
 def polygon_overlay(spark, sf):
     out = shapes(spark, sf)
     for a, b in (("corner", "triangle"), ("corner", "diamond"), ("triangle", "diamond")):
