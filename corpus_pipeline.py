@@ -32,7 +32,7 @@ def leaks(spark, docs, sf_dir):
 
 
 def secrets(spark, docs, sf_dir):
-    return redact(by_source(docs), "repository", "owner").select(docs.columns)
+    return redact(docs, *by_source())
 
 
 def packing(spark, docs, sf_dir):

@@ -141,25 +141,25 @@ def op6_quality_rules(spark, sf_dir):
 # Words are cut by the same six characters; a window of three words is repeated if the text
 # has it twice, and every word in such a window counts once.
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
-t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i+1], ws[i+2]) AS n FROM g),
-r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM t WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
-j AS (SELECT doc_id, line, length(line) AS c, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS copy,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i+1], ws[i+2]) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i+1, i+2]) AS p FROM t WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d)),
+j AS (SELECT rid, line, length(line) AS c, row_number() OVER (PARTITION BY rid, line ORDER BY k) AS copy,
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   length(regexp_replace(line, '[^#*$%&<>{}~^!]', '', 'g')) AS s, length(regexp_replace(line, '[^|»›•]', '', 'g')) AS p
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT *, (s >= 3 AND 100 * s > 8 * c) OR (p >= 2 AND 100 * p > 30 * n)
   OR (n <= 30 AND regexp_matches(lower(line), 'licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|enable javascript|copyright (c|[0-9])|subscribe to our|click here to')) AS bad FROM j),
-a AS (SELECT doc_id, count(*) FILTER (WHERE copy > 1) AS dups, count(*) FILTER (WHERE bad) AS bads,
-  sum(c) AS total, coalesce(sum(c) FILTER (WHERE bad), 0) AS lost FROM f GROUP BY doc_id),
-b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+a AS (SELECT rid, count(*) FILTER (WHERE copy > 1) AS dups, count(*) FILTER (WHERE bad) AS bads,
+  sum(c) AS total, coalesce(sum(c) FILTER (WHERE bad), 0) AS lost FROM f GROUP BY rid),
+b AS (SELECT w.rid, d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(bads, 0)::BIGINT AS n_failed_lines,
   coalesce(100 * (total - lost) // total, 0)::BIGINT AS kept_percent
-  FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN a ON a.doc_id = w.doc_id)
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  FROM w JOIN d ON d.rid = w.rid LEFT JOIN r ON r.rid = w.rid LEFT JOIN a ON a.rid = w.rid)
+SELECT * EXCLUDE (rid), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_percent >= 50 AS kept FROM b
 """

@@ -101,9 +101,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, repository: str = "repository", owner: str = "owner") -> DataFrame:
+def secret_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """One row for each document: counts by kind, digest of the base spans, all spans."""
-    found = candidates(docs.select("doc_id", "text", F.col(repository).alias("repository"), F.col(owner).alias("owner"))).drop("text")
+    found = candidates(docs.select("doc_id", "text", repository.alias("repository"), owner.alias("owner"))).drop("text")
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     some = found.where("size(base) + size(extra) > 0")
     verdict = judged(some, "repository", "owner")
@@ -115,32 +115,32 @@ def secret_spans(docs: DataFrame, repository: str = "repository", owner: str = "
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort("spans")).alias("spans"), "n_live", "n_example")
 
 
-def redact(docs: DataFrame, repository: str, owner: str, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the spans that look live masked; other documents are untouched."""
-    found = candidates(docs)
+    # a document's own columns stay in a struct, so that no name can clash
+    found = candidates(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "text", repository.alias("repository"), owner.alias("owner")))
     some = stored(found.where("size(base) + size(extra) > 0").withColumn("row", F.monotonically_increasing_id()), "secrets")
-    verdict = judged(some, repository, owner).select("row", "live")
+    verdict = judged(some, "repository", "owner").select("row", "live")
 
     def cut(so_far: Column, x: Column) -> Column:
-        # a span that begins inside the one before adds what is beyond it
+        # a span that begins inside the one before adds no mask of its own
         new = F.concat(so_far["text"], F.when(x["start"] >= so_far["at"], F.concat(F.substring(F.col("text"), so_far["at"] + 1, x["start"] - so_far["at"]), F.lit(mask))).otherwise(F.lit("")))
         return F.struct(F.greatest(so_far["at"], x["end"]).alias("at"), new.alias("text"))
 
     rest = lambda x: F.concat(x["text"], F.substring(F.col("text"), x["at"] + 1, F.length("text")))
-    masked = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), cut, rest)
-    changed = some.join(verdict, "row").withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where("size(base) + size(extra) = 0").select(docs.columns).union(changed.select(docs.columns))
+    changed = some.join(verdict, "row").withColumn("text", F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), cut, rest))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    changed = changed.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    return found.where("size(base) + size(extra) = 0").select("doc.*").union(changed)
 
 
-def by_source(docs: DataFrame) -> DataFrame:
+def by_source() -> tuple[Column, Column]:
     """The documents table names no repositories: a source is an owner, each of its languages a repository."""
-    return docs.withColumn("owner", F.col("source")).withColumn("repository", F.concat_ws("/", "source", "lang"))
+    return F.concat_ws("/", "source", "lang"), F.col("source")
 
 
 def op4_secret_scan(spark, sf_dir):
-    return secret_spans(by_source(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), *by_source())
 
 
 def _sql_spans(kind: int, sign: str, pattern: str, group: int, keep: str) -> str:

@@ -76,12 +76,12 @@ def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_W
 
 def without(docs: DataFrame, runs: DataFrame, rank: str = "doc_id") -> DataFrame:
     """``docs`` with the runs cut out of their texts."""
-    spans = runs.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnRenamed("rank", "_rank")
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
+    spans = runs.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("rank", "_rank")
+    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
                       lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])).alias("text")),
                       lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     joined = docs.join(spans, docs[rank].cast("long") == spans["_rank"], "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
 
 
 def op1_substring_dedup(spark, sf_dir):
