@@ -21,6 +21,11 @@ METRES_PER_DEGREE = (111_132.0, 111_320.0)
 _CODE = "^[0-9A-Z]{8}[0-9B-HJKMNP-Z]{10}[GBUAI][0-9A-Z]{6}[0-9A-Z]$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def geohash_encode(lat: Column, lon: Column, precision: int = PRECISION) -> Column:
     """Bisection, longitude first; a coordinate on a middle goes to the lower half. Out of range is an error."""
     start = F.struct(F.lit(-90.0).alias("a"), F.lit(90.0).alias("b"), F.lit(-180.0).alias("c"), F.lit(180.0).alias("d"), F.lit(0).cast("long").alias("bits"))
@@ -33,9 +38,9 @@ def geohash_encode(lat: Column, lon: Column, precision: int = PRECISION) -> Colu
         return F.struct(keep(~east, F.lit(True), s["a"]).alias("a"), keep(~east, F.lit(False), s["b"]).alias("b"), keep(east, F.lit(True), s["c"]).alias("c"), keep(east, F.lit(False), s["d"]).alias("d"), (s["bits"] * 2 + up.cast("long")).alias("bits"))
 
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(5 * precision - 1)), start, halve, lambda s: s["bits"])
-    chars = [F.substring(F.lit(GEOHASH), F.shiftright(bits, 5 * (precision - 1 - i)).bitwiseAND(31).cast("int") + 1, F.lit(1)) for i in range(precision)]
+    char = lambda b, i: F.substring(F.lit(GEOHASH), F.shiftright(b, 5 * (precision - 1 - i)).bitwiseAND(31).cast("int") + 1, F.lit(1))
     fine = lat.between(-90, 90) & lon.between(-180, 180)
-    return F.when(fine, F.concat(*chars)).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lat.cast("string"), F.lit(" "), lon.cast("string"))))
+    return F.when(fine, let(bits, lambda b: F.concat(*(char(b, i) for i in range(precision))))).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lat.cast("string"), F.lit(" "), lon.cast("string"))))
 
 
 def geohash_bounds(code: Column) -> Column:
@@ -82,12 +87,12 @@ def jurisdiction(code: Column, width: int) -> Column:
 
 def compact(state: Column, district: Column, tehsil: Column, geohash: Column, stratum: Column, level: Column, unit: Column) -> Column:
     payload = F.concat(jurisdiction(state, 2), jurisdiction(district, 3), jurisdiction(tehsil, 3), F.upper(geohash), stratum, base36(level, 2), base36(unit, 4))
-    return F.concat(payload, check_character(payload))
+    return let(payload, lambda p: F.concat(p, check_character(p)))
 
 
 def punctuated(code: Column) -> Column:
     """The compact form with separators, the geohash in lower case."""
-    part = lambda a, n: F.substring(code, a, n)
+    part = lambda a, n: code.substr(a, n)
     return F.concat_ws("-", part(1, 2), part(3, 3), part(6, 3), F.lower(part(9, 10)), part(19, 3), part(22, 4), part(26, 1))
 
 
@@ -95,18 +100,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), r"[\s-]", "")
 
 
+def _problem(code: Column) -> Column:
+    return F.when(code.isNull() | (F.length(code) != 26), "length").when(~code.rlike(_CODE), "malformed").when(check_character(code.substr(1, 25)) != code.substr(26, 1), "check").otherwise(F.lit(None))
+
+
 def problem(text: Column) -> Column:
     """What is wrong with a code in any spelling; null if nothing is."""
-    code = normalised(text)
-    return F.when(code.isNull() | (F.length(code) != 26), "length").when(~code.rlike(_CODE), "malformed").when(check_character(F.substring(code, 1, 25)) != F.substring(code, 26, 1), "check").otherwise(F.lit(None))
+    return let(normalised(text), _problem)
 
 
 def parsed(text: Column) -> Column:
     """Struct of a code's parts; null if it is not valid."""
-    code = normalised(text)
-    part = lambda a, n: F.substring(code, a, n)
-    fields = F.struct(part(1, 2).alias("state"), part(3, 3).alias("district"), part(6, 3).alias("tehsil"), F.lower(part(9, 10)).alias("geohash"), part(19, 1).alias("stratum"), unbase36(part(20, 2)).cast("int").alias("level"), unbase36(part(22, 4)).cast("int").alias("unit"), part(26, 1).alias("check"))
-    return F.when(problem(text).isNull(), fields)
+
+    def parts(code: Column) -> Column:
+        part = lambda a, n: code.substr(a, n)
+        fields = F.struct(part(1, 2).alias("state"), part(3, 3).alias("district"), part(6, 3).alias("tehsil"), F.lower(part(9, 10)).alias("geohash"), part(19, 1).alias("stratum"), unbase36(part(20, 2)).cast("int").alias("level"), unbase36(part(22, 4)).cast("int").alias("unit"), part(26, 1).alias("check"))
+        return F.when(_problem(code).isNull(), fields)
+
+    return let(normalised(text), parts)
 
 
 def signed_level(stratum: Column, level: Column) -> Column:

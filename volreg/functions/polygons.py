@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,51 +74,63 @@ def sweep(points: DataFrame, by: str) -> DataFrame:
     return s.where(length > 0).select(by, "part_no", ring.alias("ring"), length.alias("length"), F.least("invert", "ninvert").alias("z_min"), (F.greatest("invert", "ninvert") + F.col("height")).alias("z_max"))
 
 
-def _clip(subject: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _clip(subject: list, a: tuple, b: tuple) -> list:
     """The part of a polygon on the left of the line from a to b."""
-    side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    side = [dx * (y - a[1]) - dy * (x - a[0]) for x, y in subject]
     out = []
-    for i in range(len(subject)):
-        j = (i + 1) % len(subject)
-        if side[i] >= 0:
-            out.append(subject[i])
-        if side[i] * side[j] < 0:
-            out.append(subject[i] + (subject[j] - subject[i]) * side[i] / (side[i] - side[j]))
-    return np.array(out).reshape(-1, 2)
+    for i, (x, y) in enumerate(subject):
+        j = i + 1 if i + 1 < len(subject) else 0
+        s, t = side[i], side[j]
+        if s >= 0:
+            out.append((x, y))
+        if s * t < 0:
+            f = s / (s - t)
+            out.append((x + (subject[j][0] - x) * f, y + (subject[j][1] - y) * f))
+    return out
 
 
-def _area(p: np.ndarray) -> float:
-    return 0.5 * float(p[:, 0] @ np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) @ p[:, 1]) if len(p) > 2 else 0.0
+def _area(p) -> float:
+    return 0.5 * sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, [*p[1:], *p[:1]], strict=True)) if len(p) > 2 else 0.0
 
 
-def _fan(ring: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Triangles from the origin of the ring's box with signs: they add up to any simple polygon."""
-    o = ring.min(0) - 1
+def _pieces(ring: list) -> list[tuple[list, int]]:
+    """Convex pieces with signs that add up to a simple polygon: itself, or triangles from its first point."""
+    n = len(ring)
+    turns = [(ring[(i + 1) % n][0] - ring[i][0]) * (ring[(i + 2) % n][1] - ring[(i + 1) % n][1]) - (ring[(i + 1) % n][1] - ring[i][1]) * (ring[(i + 2) % n][0] - ring[(i + 1) % n][0]) for i in range(n)]
+    if all(t >= 0 for t in turns):
+        return [(ring, 1)]
+    if all(t <= 0 for t in turns):
+        return [(ring[::-1], 1)]
     out = []
-    for a, b in zip(ring, np.roll(ring, -1, 0), strict=True):
-        t = np.array([o, a, b])
+    for a, b in zip(ring[1:-1], ring[2:], strict=True):
+        t = [ring[0], a, b]
         if abs(s := _area(t)) > 1e-12:
-            out.append((t if s > 0 else t[::-1], 1 if s > 0 else -1))
+            out.append((t, 1) if s > 0 else (t[::-1], -1))
     return out
 
 
-def shared_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two simple polygons, convex or not."""
+def shared_area(a, b) -> float:
+    """Area of the intersection of two simple polygons, convex or not, given as points."""
+    open_ring = lambda r: r[:-1] if len(r) > 1 and r[0] == r[-1] else r
+    a, b = (open_ring([(float(x), float(y)) for x, y in r]) for r in (a, b))
+    if len(a) < 3 or len(b) < 3:
+        return 0.0
     total = 0.0
-    for s, i in _fan(a):
-        for t, j in _fan(b):
+    for s, i in _pieces(a):
+        for t, j in _pieces(b):
             p = s
-            for u, v in zip(t, np.roll(t, -1, 0), strict=True):
-                if not len(p):
-                    break
+            for u, v in zip(t, [*t[1:], t[0]], strict=True):
                 p = _clip(p, u, v)
+                if not p:
+                    break
             total += i * j * _area(p)
-    return abs(total)  # a ring that runs clockwise turns the sign
+    return abs(total)  # triangles of a ring that runs clockwise turn the sign
 
 
 def with_shared_area(pairs: DataFrame, a: str, b: str, name: str = "shared_m2") -> DataFrame:
     """``pairs`` with the area that the rings in columns ``a`` and ``b`` share. Put box tests before it."""
-    points = lambda ring: np.array([(p["x"], p["y"]) for p in ring], float)
+    points = lambda ring: [(p["x"], p["y"]) for p in ring]
 
     @F.pandas_udf("double")
     def area(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -310,18 +310,22 @@ _SPELLED = """, spelled AS (SELECT *, CASE WHEN k % 13 = 0 THEN compact[1:24] ||
 
 def spelled(spark, sf):
     """Codes in mixed spellings: every 13th has a wrong character, some are short or have no such layer."""
-    c, k = F.col("compact"), F.col("k")
-    part = lambda a, n: F.substring(c, a, n)
-    wrong = F.concat(part(1, 24), F.when(part(25, 1) == "0", "1").otherwise("0"), part(26, 1))
-    text = F.when(k % 13 == 0, wrong).when(k % 29 == 0, part(1, 20)).when(k % 31 == 0, F.concat(part(1, 18), F.lit("X"), part(20, 7))).otherwise(F.lower(F.concat(part(1, 2), F.lit("-"), part(3, 3), F.lit(" "), part(6, 21))))
-    return identified(spark, sf).withColumn("code_text", text)
+    k = F.col("k")
+
+    def text(c):
+        part = lambda a, n: c.substr(a, n)
+        wrong = F.concat(part(1, 24), F.when(part(25, 1) == "0", "1").otherwise("0"), part(26, 1))
+        return F.when(k % 13 == 0, wrong).when(k % 29 == 0, part(1, 20)).when(k % 31 == 0, F.concat(part(1, 18), F.lit("X"), part(20, 7))).otherwise(F.lower(F.concat(part(1, 2), F.lit("-"), part(3, 3), F.lit(" "), part(6, 21))))
+
+    return identified(spark, sf).withColumn("code_text", idcode.let(F.col("compact"), text))
 
 
 @query(_GEOHASH + _SPELLED + """SELECT k, CASE WHEN k % 13 = 0 THEN 'check' WHEN k % 29 = 0 THEN 'length' WHEN k % 31 = 0 THEN 'malformed' END AS problem,
  CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN code END AS geohash, CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN level END AS level, CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN unit END AS unit FROM spelled""", False)
 def id_parse_validate(spark, sf):
-    p = spelled(spark, sf).select("k", idcode.problem(F.col("code_text")).alias("problem"), idcode.parsed(F.col("code_text")).alias("p"))
-    return p.select("k", "problem", "p.geohash", "p.level", "p.unit")
+    both = idcode.let(F.col("code_text"), lambda t: F.struct(idcode.problem(t).alias("problem"), idcode.parsed(t).alias("p")))
+    fields = idcode.let(both, lambda b: F.struct(b["problem"].alias("problem"), b["p"]["geohash"].alias("geohash"), b["p"]["level"].alias("level"), b["p"]["unit"].alias("unit")))
+    return spelled(spark, sf).select("k", F.explode(F.array(fields)).alias("f")).select("k", "f.*")
 
 
 @query(_GEOHASH + """SELECT k, CASE WHEN k % 5 IN (2, 4) THEN -level ELSE level END AS signed_level, ['Surface parcel', 'Above-ground unit', 'Sub-surface unit', 'Air rights', 'Infrastructure corridor'][k % 5 + 1] || ', ' ||
