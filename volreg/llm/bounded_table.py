@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import on_workers, split_batch
+from .common import drop_kept, on_workers, split_batch
 from .wordkernel import mix
 
 BITS = 22
@@ -38,6 +38,7 @@ def counted(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Broa
     on_workers(spark)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         counts = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
             for part in split_batch(batch):

@@ -12,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a Python worker keeps between tasks, by functions that drop it. Workers serve one
+#: operator after another, so a kernel that does not use what is kept drops it.
+KEPT: list[Callable[[], None]] = []
+
 #: Bytes of text that a kernel works on at once: its arrays are a few times as large.
 CHUNK_BYTES = 1 << 20
 
@@ -55,13 +59,23 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``kernel`` to each Arrow batch. No shuffle, no state between batches."""
+def drop_kept() -> None:
+    for drop in KEPT:
+        drop()
+
+
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", keeps: bool = False) -> DataFrame:
+    """Apply ``kernel`` to parts of each Arrow batch with about ``CHUNK_BYTES`` in ``column``.
+
+    No shuffle, no state between batches but what a kernel that ``keeps`` leaves in the worker.
+    """
     on_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            drop_kept()
         for batch in batches:
-            for part in split_batch(batch):
+            for part in split_batch(batch, column):
                 out = kernel(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -75,7 +89,8 @@ def split_batch(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         yield batch
         return
     start, size = 0, 0
-    lengths = pc.binary_length(batch.column(column).fill_null("")).to_pylist()
+    values = batch.column(column)
+    lengths = pc.binary_length(values.fill_null("" if pa.types.is_string(values.type) else b"")).to_pylist()
     for row, n in enumerate(lengths):
         if size and size + n > most:
             yield batch.slice(start, row - start)

@@ -90,7 +90,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = map_batches(docs, partial(_sets, wanted=wanted), "doc_id long, shingles binary")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _linked, "a long, b long"), "links")
+    return stored(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _linked, "a long, b long", column="y"), "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

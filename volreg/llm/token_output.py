@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> TokenFiles
     kind = _kind(max(vocabulary, end_id + 1))
     size = max(vocabulary, end_id + 1)
     key = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stored(map_batches(with_text(docs, "doc_id"), partial(_tokenized, path=path, end_id=end_id, kind=kind), f"doc_id {key}, n long, packed binary"), "tokens")
+    tokens = stored(map_batches(with_text(docs, "doc_id"), partial(_tokenized, path=path, end_id=end_id, kind=kind), f"doc_id {key}, n long, packed binary", keeps=True), "tokens")
     spark = docs.sparkSession
     on_workers(spark)
 

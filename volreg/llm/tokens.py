@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import KEPT
+
 #: Distinct pieces kept by a process; it starts anew beyond that.
 KEPT_PIECES = 1_000_000
 #: Pieces encoded as one text, and the character that parts them if the vocabulary drops spaces.
@@ -127,3 +129,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The process's encoder of a vocabulary file that every worker has at ``path``."""
     return Encoder(path)
+
+
+KEPT.append(encoder.cache_clear)
