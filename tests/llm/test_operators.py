@@ -118,6 +118,23 @@ def test_jaccard_join_on_chains_and_hot_groups(spark):
     assert {x.doc_id: x.component_id for x in got} == brute_components(table)
 
 
+def test_jaccard_join_of_equal_sizes_at_the_bound(spark):
+    def changed(words, new, *at):
+        return [f"{new}{i}" if i in at else w for i, w in enumerate(words)]
+
+    a, q = [f"w{i}" for i in range(94)], [f"q{i}" for i in range(50)]
+    b, friend = changed(a, "b", 40, 60), changed(a, "f", 80)  # a and its friend are one component before b is met
+    assert len(shingles(" ".join(a))) == len(shingles(" ".join(b))) == 90 and len(shingles(" ".join(a)) & shingles(" ".join(b))) == 80
+    # of a's nine rarest shingles, all b's too, five are in a component with more members than a's
+    others = [[*a[4:13], *q, f"d{i}"] for i in range(3)]
+    fillers = [[*a[9:], *q, *(f"r{i}x{k}" for k in range(200))] for i in range(12)]
+    table = [(i, " ".join(d)) for i, d in enumerate([*others, friend, a, b, *fillers])]
+    want = brute_components(table)
+    assert want[4] == want[5] == 3
+    got = jaccard_components(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {**dict.fromkeys(range(1, 61), 1), 100: 100, 101: 100}

@@ -130,11 +130,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     once = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("most")) | (F.col("x_component") < F.col("y_component")))
     index = lambda n: n - F.ceil(2 * SIMILARITY * n / (100 + SIMILARITY)) + 1
     differ = sum((F.bit_count(F.col(f"x_{g}").bitwiseXOR(F.col(f"y_{g}"))) for g in SIGNATURE), F.lit(0))
-    pairs = pairs.where(once & sized(n, m) & (differ <= n + m - 2 * need(n, m)) & F.when(n <= m, i < index(n)).otherwise(j < index(m)))
+    pairs = pairs.where(once & sized(n, m) & (differ <= n + m - 2 * need(n, m)))
+    # which of the two is x depends on the block, which is a on the pair alone; so the prefix is of one set in all blocks
     first = F.col("x_rep") < F.col("y_rep")
     either = lambda x, y: F.when(first, x).otherwise(y)
     x, y = F.col("x_rep"), F.col("y_rep")
-    pairs = pairs.groupBy(either(x, y).alias("a"), either(y, x).alias("b")).agg(F.count("*").alias("k"), F.max(either(n, m)).alias("n"), F.max(either(m, n)).alias("m"), F.max(either(i, j)).alias("i"), F.max(either(j, i)).alias("j"))
+    pairs = pairs.select(either(x, y).alias("a"), either(y, x).alias("b"), either(n, m).alias("n"), either(m, n).alias("m"), either(i, j).alias("i"), either(j, i).alias("j"))
+    n, m, i, j = (F.col(c) for c in "nmij")
+    pairs = pairs.where(F.when(n <= m, i < index(n)).otherwise(j < index(m)))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
     pairs = stored(pairs.where(F.col("k") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= need(F.col("n"), F.col("m"))).select("a", "b"), "pairs")
     if not pairs.isEmpty():
         joined = components(links.union(verified(pairs, docs)))
