@@ -220,6 +220,21 @@ def test_token_files(spark, docs):
     assert [n[i] for i in ranks] == sorted(n.values(), reverse=True)
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_decontamination_of_repeated_edited_copies(spark, copies):
+    item = [f"i{i}" for i in range(40)]
+    edited = [f"e{i}" if i in (7, 15, 23, 31) else w for i, w in enumerate(item)]  # twelve of 38 3-grams are gone
+    text = {0: " ".join(edited), 1: " ".join(item[:28])}  # the other is the first 70 %
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    for kind, t in text.items():
+        table = [(i, f"x{i} y{i} {t} z{i}") for i in range(copies)]
+        # each lost 3-gram is somewhere by chance
+        table += [(10_000 + i, f"c{i} {' '.join(item[i : i + 3])} c{i}") for i in range(38) if " ".join(item[i : i + 3]) not in t and (kind == 0 or i % 2)]
+        d = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+        assert {r.doc_id for r in contaminated(d, bench).collect()} == set(range(copies))
+        assert {r.doc_id for r in decontaminated(d, bench).collect()} == {i for i, _ in table if i >= 10_000}
+
+
 def test_cuts():
     for n in range(1, 5000):
         pieces = cuts(n)

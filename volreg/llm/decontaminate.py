@@ -4,9 +4,11 @@ Benchmark items are a stated query set, taken in blocks of ``BLOCK_CHARS`` chara
 most, so what is broadcast has a fixed bound. For each block the documents that hold each
 word 3-gram of an item are counted over the whole corpus; the rare ones of an item seed
 it: those in at most ``RARE`` times as many documents as the item's own lower quartile,
-so every item keeps a quarter of its 3-grams and phrases that are common everywhere seed
-nothing. A passage around seeds is aligned with the item word by word; the local
-alignment's score over that of the item with itself must reach ``MIN_SCORE``.
+and at any rate its rarest ``SEEDED`` of all, so only a tenth that is far more common than
+the rest seeds nothing. However many documents hold one edited or shortened copy, it has a
+seed as long as it keeps more than a tenth of the item's 3-grams. A passage around seeds
+is aligned with the item word by word; the local alignment's score over that of the item
+with itself must reach ``MIN_SCORE``.
 
 Words are runs of lower-cased letters and digits. Cases. Null and empty texts match
 nothing; items of fewer than ``MIN_ITEM_WORDS`` words neither. Repeated rows and items are
@@ -30,6 +32,8 @@ from .wordkernel import NOT_ALNUM, Words, inner_windows, text_of_words, words
 
 SEED = 3
 RARE = 4
+#: Share of an item's 3-grams, rarest first, that seed it whatever their counts.
+SEEDED = 0.9
 MIN_ITEM_WORDS = 5
 MIN_SCORE = 0.5
 BLOCK_CHARS = 8_000_000
@@ -78,7 +82,7 @@ class Index:
         for item in range(len(self.items)):
             own = self.item == item
             if own.any():
-                keep |= own & (n <= RARE * max(1, np.quantile(n[own], 0.25)))
+                keep |= own & (n <= max(RARE * max(1, np.quantile(n[own], 0.25)), np.quantile(n[own], SEEDED, method="higher")))
         counts = np.bincount(gram[keep], minlength=len(self.grams))
         self.item, self.place = self.item[keep], self.place[keep]
         self.grams = self.grams[counts > 0]
