@@ -235,6 +235,14 @@ def test_decontamination_of_repeated_edited_copies(spark, copies):
         assert {r.doc_id for r in decontaminated(d, bench).collect()} == {i for i, _ in table if i >= 10_000}
 
 
+def test_decontamination_by_common_phrases_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "what is the name of"), (2, "who was the first man there"), (3, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    table = [(i, f"a{i} what is the b{i} was the first c{i}") for i in range(50)] + [(100, "so: What is the name of it"), (101, "one two three four five six"), (102, "one two three four other six seven eight nine end")]
+    d = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.item_id) for r in contaminated(d, bench).collect()} == {(100, 1), (102, 3)}
+    assert {r.doc_id for r in decontaminated(d, bench).collect()} == {i for i, _ in table} - {100, 102}
+
+
 def test_cuts():
     for n in range(1, 5000):
         pieces = cuts(n)

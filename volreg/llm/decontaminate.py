@@ -8,7 +8,8 @@ and at any rate its rarest ``SEEDED`` of all, so only a tenth that is far more c
 the rest seeds nothing. However many documents hold one edited or shortened copy, it has a
 seed as long as it keeps more than a tenth of the item's 3-grams. A passage around seeds
 is aligned with the item word by word; the local alignment's score over that of the item
-with itself must reach ``MIN_SCORE``.
+with itself must reach ``MIN_SCORE``, and ``MIN_ALIGNED`` words, or all of a shorter item,
+must be aligned with equal ones.
 
 Words are runs of lower-cased letters and digits. Cases. Null and empty texts match
 nothing; items of fewer than ``MIN_ITEM_WORDS`` words neither. Repeated rows and items are
@@ -36,6 +37,7 @@ RARE = 4
 SEEDED = 0.9
 MIN_ITEM_WORDS = 5
 MIN_SCORE = 0.5
+MIN_ALIGNED = 8
 BLOCK_CHARS = 8_000_000
 #: Alignment: a match counts 1, a mismatch and each word of a gap cost so much.
 COST = 0.5
@@ -106,6 +108,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def aligned(item: np.ndarray, passage: np.ndarray) -> int:
+    """Equal words in the best local alignment; the most of equal scores."""
+    tiny = 2.0**-20  # a match counts a little more, so that the score's fraction has the number of matches
+    row, best = np.zeros(len(passage) + 1), 0.0
+    fall = COST * np.arange(len(passage) + 1)
+    for word in item:
+        step = np.zeros(len(passage) + 1)
+        step[1:] = np.maximum(row[:-1] + np.where(passage == word, 1.0 + tiny, -COST), row[1:] - COST)
+        row = np.maximum.accumulate(np.maximum(step, 0) + fall) - fall
+        best = max(best, float(row.max()))
+    return round(best % COST / tiny)
+
+
 def matches(batch: pa.RecordBatch, index: Index) -> list[tuple]:
     """``(row, item, score, first word, end word, seeds)`` of the batch's texts."""
     w = _words(batch.column("text"))
@@ -132,11 +147,14 @@ def matches(batch: pa.RecordBatch, index: Index) -> list[tuple]:
         lo = max(w.word_at[r], word[a] - len(target))
         hi = min(w.word_at[r + 1], word[b - 1] + SEED + len(target))
         passage = w.hash[lo:hi]
-        if np.isin(target, passage).mean() < MIN_SCORE:  # no alignment can reach the score
+        if np.isin(target, passage).sum() < max(MIN_SCORE * len(target), min(MIN_ALIGNED, len(target))):  # no alignment can reach the score
             continue
         score, end = align(target, passage)
         if score >= MIN_SCORE * len(target) and score > best.get((r, i), (0,))[0]:
             _, back = align(target[::-1], passage[:end][::-1])
+            least = min(MIN_ALIGNED, len(target))
+            if score < least and aligned(target, passage[end - back : end]) < least:
+                continue
             best[r, i] = score, int(lo) + end - back, int(lo) + end, b - a
     return [(r, i, s / len(index.items[i]), x, y, n) for (r, i), (s, x, y, n) in sorted(best.items())]
 
