@@ -277,6 +277,25 @@ def test_packing(spark, docs):
     assert sum(p.length for p in pieces) > 0.9 * 2048 * len(filled)
 
 
+def test_packing_of_short_documents(spark):
+    import random
+
+    r = random.Random(7)
+    for longest in (0, 29):  # texts without words, and documents of 1 to 30 ids
+        docs = spark.createDataFrame([(i, " ".join(["the"] * r.randint(0, longest))) for i in range(12000)], "doc_id long, text string").repartition(3)
+        filled, n = defaultdict(list), Counter()
+        for p in pack_documents(docs, P.path("word_bpe_49k.json")).collect():
+            filled[p.sequence_id].append((p.offset, p.length))
+            n[p.doc_id] += p.length
+            assert p.length == p.doc_tokens <= 30
+        assert len(n) == 12000
+        for own in filled.values():
+            own.sort()
+            assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:])) and sum(own[-1]) <= 2048
+        ids = sum(n.values())
+        assert len(filled) <= ids / 2048 / 0.97 + 1
+
+
 def test_secret_scan(spark, docs):
     got = {r.doc_id: r for r in secret_scan.secret_spans(docs, *secret_scan.by_source()).collect()}
     text = dict(TABLE)[16]

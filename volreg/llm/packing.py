@@ -3,10 +3,12 @@
 A document's ids are cut into pieces that lie just under a reciprocal of the capacity:
 a whole sequence while they last, then the next smaller reciprocal unless what is left
 already fills its own class but for a few ids. A piece of class k has at most
-``capacity // k`` ids, and a bin of class k takes exactly k pieces. Each task fills the
-bins of its own pieces without regard to others. Pieces of bins left open (fewer than k
-for each class and task) are filled into bins by class once more; what is then left,
-fewer than ``LAST_CLASS ** 2 / 2`` pieces in all, is packed first-fit by falling length.
+``capacity // k`` ids, and a bin of class k takes exactly k pieces. The last class has all
+shorter pieces and fills its bins by length, until the next piece does not fit. Each task
+fills the bins of its own pieces without regard to others. Pieces of bins left open (fewer
+than k for each class and task, of the last class a capacity's ids) are filled into bins
+by class once more; what is then left, fewer than ``LAST_CLASS ** 2 / 2`` pieces and one
+bin of the last class in all, is packed first-fit by falling length.
 
 Cases. A null or empty text has the end id alone. Rows with equal doc_id are packed
 each for itself. A null doc_id is handed on. A table without rows gives none. A very long
@@ -65,7 +67,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = TaskContext.get().partitionId()
         open_bins: dict[int, list[list]] = {}
-        filled, kind = 0, None
+        filled, kind, used = 0, None, 0  # used: ids in the last class's open bin
 
         def rows(pieces: list[list]) -> pa.RecordBatch:
             columns = list(zip(*pieces, strict=True))
@@ -73,6 +75,15 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "sequence_id", "offset", "worker", "ids"]
             return record(**{n: pa.array(c, t) for n, c, t in zip(names, columns, types[: len(columns)], strict=False)})
 
+        def closed(k: int) -> list[list]:
+            nonlocal filled
+            offset = 0
+            for piece in open_bins[k]:
+                piece[6:8] = worker << 32 | filled, offset
+                offset += piece[2]
+            filled += 1
+            return open_bins.pop(k)
+
         for whole in batches:
             for batch in split_batch(whole):
                 kind, done = batch.column("doc_id").type, []
@@ -81,16 +92,16 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
                     start = 0
                     for length, k in cuts(len(ids), capacity):
                         own = ids[start : start + length].tobytes()
+                        if k == LAST_CLASS and used + length > capacity:
+                            done += closed(k)
+                            used = 0
                         bin_ = open_bins.setdefault(k, [])
                         bin_.append([doc_id, start, length, zlib.crc32(own), len(ids), k, None, None, worker, *([own] if with_ids else [])])
                         start += length
-                        if len(bin_) == k:
-                            offset = 0
-                            for piece in bin_:
-                                piece[6:8] = worker << 32 | filled, offset
-                                offset += piece[2]
-                            filled += 1
-                            done += open_bins.pop(k)
+                        if k == LAST_CLASS:
+                            used += length
+                        elif len(bin_) == k:
+                            done += closed(k)
                 if done:
                     yield rows(done)
         if rest := [piece for bin_ in open_bins.values() for piece in bin_]:
@@ -98,12 +109,19 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
     pieces = stored(with_text(docs, "doc_id").mapInArrow(fill, schema), "pieces")
     order = ["doc_id", "start", "ids_crc32", "worker"]
-    # at most LAST_CLASS pieces for each class and task
+    # at most LAST_CLASS pieces for each class and task, of the last class a capacity's ids
     rest = pieces.where("sequence_id is null")
     by_class = Window.partitionBy("class")
     rest = rest.withColumn("r", F.row_number().over(by_class.orderBy(*order)) - 1).withColumn("all", F.count("*").over(by_class))
-    rest = rest.withColumn("bin", F.expr("r div class"))
-    whole = rest.where("(bin + 1) * class <= all")
+    # the last class's bins by ids: a piece that begins before the last share still ends in the sequence
+    width = capacity - capacity // LAST_CLASS + 1
+    so_far = by_class.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("at", F.coalesce(F.sum("length").over(so_far), F.lit(0))).withColumn("ids_", F.sum("length").over(by_class))
+    last_class = F.col("class") == LAST_CLASS
+    rest = rest.withColumn("bin", F.when(last_class, F.floor(F.col("at") / width)).otherwise(F.expr("r div class")))
+    full = F.when(last_class, (F.col("bin") + 1) * width <= F.col("ids_")).otherwise(F.expr("(bin + 1) * class <= all"))
+    rest = rest.withColumn("full", full)
+    whole = rest.where("full")
     before = Window.partitionBy("class", "bin").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).withColumn("sequence_id", F.lit(1 << 62) + F.col("class").cast("long") * (1 << 40) + F.col("bin"))
 
@@ -121,7 +139,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         return last.assign(sequence_id=numbers, offset=offsets)[columns]
 
     columns = pieces.columns
-    last = rest.where("(bin + 1) * class > all").select(*columns, F.lit(0).alias("pool")).groupBy("pool").applyInPandas(first_fit, schema)
+    last = rest.where("not full").select(*columns, F.lit(0).alias("pool")).groupBy("pool").applyInPandas(first_fit, schema)
     return pieces.where("sequence_id is not null").union(whole.select(columns)).union(last)
 
 
