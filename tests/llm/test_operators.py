@@ -155,6 +155,27 @@ def test_substring_dedup(spark, docs):
     assert left[1] == whole[1] and inside not in left[12] and left[12].startswith(whole[12][: by[12][0].start])
 
 
+def test_substring_dedup_of_lines_and_of_runs_from_one_text(spark):
+    from .conftest import words
+
+    own = lambda i: " ".join(words(100 + i, 40, 10**9))
+    line = "Licensed under the Apache License, Version 2.0."
+    table = {i: f"{own(2 * i)}\n{line}\n{own(2 * i + 1)}" for i in range(3)}
+    table[3] = f"{own(50)}\n{line}\n{own(51)}\n{line}\n"  # and once more in the same text
+    parts = [" ".join(words(200 + i, 12, 10**9)) for i in range(5)]
+    table |= {10 + i: f"{own(60 + i)} {x} {own(70 + i)}" for i, x in enumerate(parts)}
+    table[20] = f"{own(80)} {' '.join(parts)} {own(81)}"  # each part is met in another text, no run of 24 words in any
+    passage = words(300, 60, 10**9)
+    table |= {30: f"{own(90)} {' '.join(passage)} {own(91)}", 31: f"{own(92)} {' '.join(passage)} {own(93)}", 29: f"{own(94)} {' '.join(passage[25:35])} {own(95)}"}
+    d = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(3)
+    runs = substring_dedup.duplicate_runs(d)
+    found = [(r.rank, table[r.rank][r.start : r.end]) for r in runs.orderBy("rank", "start").collect()]
+    assert [f for f in found if f[0] < 31] == [(i, line[:-1]) for i in (1, 2, 3, 3)]
+    assert [r for r, _ in found[4:]] == [31] and found[4][1] in " ".join(passage) and len(found[4][1].split()) > 45
+    left = {r.doc_id: r.text for r in substring_dedup.without(d, runs).collect()}
+    assert left[0] == table[0] and left[20] == table[20] and line[:-1] not in left[3]
+
+
 def test_alignment():
     item = np.arange(10, dtype=np.uint64)
     assert align(item, np.arange(5, 30, dtype=np.uint64)) == (5.0, 5)

@@ -3,10 +3,15 @@
 A text is cut into units at line breaks and, inside lines, before words whose hash is
 the least of their neighbourhood, so a passage that begins in the middle of a line is
 cut alike wherever it stands (whole lines alone would miss it). Units are normalised:
-their lower-cased letters and digits count, what stands between them does not. Digests
-are grouped over the corpus; the occurrence of the earliest rank (then the earliest
-place) stays, every other one is a duplicate. Runs of neighbouring duplicate units with
-``MIN_WORDS`` words or more are removed, and keep their offsets in the original text.
+their lower-cased letters and digits count, what stands between them does not. Hashed are
+whole lines of ``MIN_LINE_WORDS`` words or more, and the runs of neighbouring units that
+have just ``MIN_WORDS`` words or more, counted from each unit on and back from each, so
+that they cover every passage of so many words up to its first and last unit, and each is
+met whole in one earlier text. Digests are grouped over the corpus; the occurrence of the
+earliest rank (then the earliest place) stays, every other one is a duplicate and is
+removed. Duplicates that touch are one span; spans keep their offsets in the original text.
+A repeated paragraph goes line by line; of its lines, those that are too short stay unless
+they lie in a run.
 
 Cases. Null and empty texts have no units. Rows with equal rank are one text of that
 rank: their equal units at equal places are one occurrence and all stay. A null rank
@@ -25,14 +30,16 @@ from pyspark.sql import functions as F
 from .common import map_batches, record, stored, with_text
 from .wordkernel import LOWER, NOT_ALNUM, _powers, mix, text_of_words, windows, words
 
-#: Words of a run of duplicate units, at least.
+#: Words of a run of units that is no whole line, at least.
 MIN_WORDS = 24
+#: Words of a whole line, at least; shorter ones are held to be trivial.
+MIN_LINE_WORDS = 5
 #: A word begins a unit if its hash is the least of so many words on each side.
 REACH = 3
 
 
-def units(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Digest, words and code points of each unit of each text."""
+def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
+    """Digest, words and code points of each line and each least run of units of each text."""
     w = words(batch.column("text"), NOT_ALNUM, LOWER)
     n = len(w.hash)
     of = text_of_words(w)
@@ -45,9 +52,20 @@ def units(batch: pa.RecordBatch) -> pa.RecordBatch:
             begins[:-i] &= ~same | (pair[:-i] <= pair[i:])
     begins[w.word_at[:-1][np.diff(w.word_at) > 0]] = True
     lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-    begins[1:] |= lines[w.start[1:]] > lines[w.end[:-1]]
-    first = np.flatnonzero(begins)
-    last = np.append(first[1:], n)
+    line_begins = np.append(np.ones(min(n, 1), bool), lines[w.start[1:]] > lines[w.end[:-1]])
+    line_begins[w.word_at[:-1][np.diff(w.word_at) > 0]] = True
+    begins |= line_begins
+    unit, line = np.flatnonzero(begins), np.flatnonzero(line_begins)
+    end, line_end = np.append(unit[1:], n)[: len(unit)], np.append(line[1:], n)[: len(line)]
+    on = np.searchsorted(end, unit + min_words)  # the first unit that ends so many words on
+    a, z = np.flatnonzero(on < len(unit)), on[on < len(unit)]
+    back = np.searchsorted(unit, end - min_words, "right") - 1
+    a, z = np.append(a, back[back >= 0]), np.append(z, np.flatnonzero(back >= 0))
+    one_text = of[unit[a]] == of[unit[z]]
+    a, z = unit[a[one_text]], end[z[one_text]]
+    long_enough = line_end - line >= MIN_LINE_WORDS
+    both = np.unique(np.append(a, line[long_enough]) * (n + 1) + np.append(z, line_end[long_enough]))
+    first, last = both // (n + 1), both % (n + 1)
     up, down = _powers(max(1 << 20, 1 << n.bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[:n], dtype=np.uint64)])
     digest = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
@@ -61,17 +79,17 @@ def units(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(rank, start, end, n_words, kept_rank)``: the code points of each run to remove and where it stays."""
+    """``(rank, start, end, n_words, kept_rank)``: the code points of each span to remove and the earliest rank that keeps of it."""
     ranked = with_text(docs, F.col(rank).cast("long").alias("rank")).where("rank is not null")
-    each = map_batches(ranked, units, "digest long, rank long, words long, span long")
+    each = map_batches(ranked, partial(units, min_words=min_words), "digest long, rank long, words long, span long")
     firsts = each.groupBy("digest").agg(F.min(F.struct("rank", "words")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = each.join(firsts, "digest").where("rank <> first.rank or words <> first.words")
     again = again.selectExpr("rank", "cast(words >> 32 as int) w0", "cast(words & 4294967295 as int) w1", "cast(span >> 32 as int) start", "cast(span & 4294967295 as int) end", "first.rank kept_rank").distinct()
-    # neighbours: a unit begins at the word where the one before it ends; a partition holds one text's units
+    # each is a duplicate by itself; those that overlap or touch are one span; a partition holds one text's
     order = Window.partitionBy("rank").orderBy("w0", "w1", "start", "end")
     runs = again.withColumn("new", F.coalesce(F.col("w0") > F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
     found = runs.groupBy("rank", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min("kept_rank").alias("kept_rank"))
-    return found.where(F.col("n_words") >= min_words).select("rank", "start", "end", "n_words", "kept_rank")
+    return found.select("rank", "start", "end", "n_words", "kept_rank")
 
 
 def without(docs: DataFrame, runs: DataFrame, rank: str = "doc_id") -> DataFrame:
