@@ -194,6 +194,19 @@ def test_clusters_planes_and_features(spark):
     assert q.nz == pytest.approx(1) and q.n_in == 300
 
 
+def test_planes_in_turn(spark):
+    r = random.Random(8)
+    faces = [lambda x, y: 0.0, lambda x, y: 5 + x, lambda x, y: 30 - y]
+    rows = [(g, x, y, f(x, y) + r.uniform(-0.02, 0.02)) for g in range(2) for f, n in zip(faces, (6000, 3000, 1500) if g == 0 else (200, 120, 90)) for x, y in ((r.uniform(0, 9), r.uniform(0, 9)) for _ in range(n))]
+    p = spark.createDataFrame([(i, *v) for i, v in enumerate(rows)] + [(-1, None, 0.0, 0.0, 0.0)], "pid long, b int, x double, y double, z double").repartition(4)
+    got = {(q.b, q.plane): q for q in cloud.planes(p, "b").collect()}
+    assert set(got) == {(g, i) for g in range(2) for i in range(3)} | {(None, 0)} and got[None, 0].n_in == 0 and got[None, 0].n == 1
+    for g, sizes in ((0, (6000, 3000, 1500)), (1, (200, 120, 90))):
+        for i, (n, normal) in enumerate(zip(sizes, ((0, 0, 1), (-(0.5**0.5), 0, 0.5**0.5), (0, 0.5**0.5, 0.5**0.5)))):
+            q = got[g, i]
+            assert (q.nx, q.ny, q.nz) == pytest.approx(normal, abs=0.01) and q.n_in == pytest.approx(n, rel=0.05)
+
+
 def test_greedy_matching(spark):
     r = random.Random(3)
     pairs = [(f"t{i}", f"p{j}", r.randrange(1, 6) / 10) for i in range(12) for j in range(12) if r.random() < 0.4]

@@ -154,7 +154,7 @@ def dbscan_labels(spark, sf):
 @query()
 def ransac_planes(spark, sf):
     p = small_cloud(spark, sf).withColumn("b", (F.col("pid") % 3).cast("int")).withColumn("z", F.col("z") / 8 + F.col("x") * 0.25)
-    return cloud.planes(p, "b").select("b", *(F.bround(c, 4).alias(c) for c in ("nx", "ny", "nz", "d")), "n_in", "n")
+    return cloud.planes(p, "b").select("b", "plane", *(F.bround(c, 4).alias(c) for c in ("nx", "ny", "nz", "d")), "n_in", "n")
 
 
 @query()

@@ -107,30 +107,70 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return points.select("pid").join(home.join(number.select("label", "cluster"), "label").select("pid", "cluster"), "pid", "left")
 
 
-def planes(points: DataFrame, by: str, threshold: float = 0.15, rounds: int = 250, seed: int = 42) -> DataFrame:
-    """``(by, nx, ny, nz, d, n_in, n)``: the plane of most inliers in each group, refitted to them."""
+def planes(points: DataFrame, by: str, threshold: float = 0.15, rounds: int = 250, seed: int = 42, most: int = 3) -> DataFrame:
+    """``(by, plane, nx, ny, nz, d, n_in, n)``: in each group the plane of most inliers, refitted to them, then those of what remains.
+
+    ``n`` counts the points a plane was sought in. Planes after the first need 60 points
+    left and 45 inliers, and 12 % of the group's points. A task holds no group: triples come
+    from a bounded draw of each group's points, inliers and moments are partial aggregates.
+    """
     import numpy as np
     import pandas as pd
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    # groups by text, as a null would not join; the null group's is empty
+    kind, key = "string", F.coalesce(F.concat(F.lit("v"), points[by].cast("string")), F.lit(""))
+    groups, group, by = points.select(key.alias("_group"), by).distinct(), by, "_group"
+
+    def triples(rows: pd.DataFrame) -> pd.DataFrame:
         xyz = rows.sort_values("pid")[["x", "y", "z"]].to_numpy()
-        random, best = np.random.default_rng(seed), np.zeros(len(xyz), bool)
-        for _ in range(rounds if len(xyz) >= 3 else 0):
+        random, found = np.random.default_rng(seed), []
+        for i in range(rounds if len(xyz) >= 3 else 0):
             a, b, c = xyz[random.choice(len(xyz), 3, replace=False)]
             n = np.cross(b - a, c - a)
             if (size := np.linalg.norm(n)) > 1e-9:
-                near = np.abs((xyz - a) @ (n / size)) <= threshold
-                best = near if near.sum() > best.sum() else best
-        if best.sum() < 3:
-            return pd.DataFrame({by: [rows[by].iloc[0]], "nx": [0.0], "ny": [0.0], "nz": [1.0], "d": [0.0], "n_in": [0], "n": [len(xyz)]})
-        mid = xyz[best].mean(0)
-        n = np.linalg.svd(xyz[best] - mid)[2][2]
-        n = n if n[2] >= 0 else -n
-        near = np.abs((xyz - mid) @ n) <= threshold
-        return pd.DataFrame({by: [rows[by].iloc[0]], "nx": [n[0]], "ny": [n[1]], "nz": [n[2]], "d": [-n @ mid], "n_in": [int(near.sum())], "n": [len(xyz)]})
-
-    kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "pid", "x", "y", "z").groupBy(by).applyInPandas(fit, f"{by} {kind}, nx double, ny double, nz double, d double, n_in long, n long")
+                found.append((rows[by].iloc[0], i, *(n / size), -(n / size) @ a))
+        return pd.DataFrame(found, columns=[by, "i", "nx", "ny", "nz", "d"])
+
+    def refitted(batches):
+        for rows in batches:
+            m = rows[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy().reshape(-1, 3, 3)
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            n *= np.where(n[:, 2:] >= 0, 1, -1)
+            d = -(n * rows[["mx", "my", "mz"]].to_numpy()).sum(1)
+            yield pd.DataFrame({by: rows[by], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "d": d})
+
+    away = lambda p: F.abs(F.col("x") * p["nx"] + F.col("y") * p["ny"] + F.col("z") * p["nz"] + p["d"])
+    plane = F.struct("nx", "ny", "nz", "d").alias("p")
+    left = stored(points.select(key.alias(by), "pid", "x", "y", "z"), "points")
+    all_ = stored(left.groupBy(by).agg(F.count("*").alias("n_all")), "sizes")
+    out = None
+    for number in range(most):
+        sizes = left.groupBy(by).agg(F.count("*").alias("n"))
+        sizes = stored(sizes if number == 0 else sizes.where("n >= 60"), "sizes")
+        sought = left.join(sizes, by)
+        # about four times the points that the rounds draw, however large the group
+        share = F.least(F.lit(1.0), F.lit(12.0 * rounds) / F.col("n"))
+        drawn = sought.where(F.pmod(F.xxhash64("pid", F.lit(seed + number)), F.lit(1 << 31)) < share * (1 << 31)).drop("n")
+        tried = drawn.groupBy(by).applyInPandas(triples, f"{by} {kind}, i int, nx double, ny double, nz double, d double")
+        tried = stored(tried, "triples")
+        lists = tried.groupBy(by).agg(F.collect_list(F.struct("i", "nx", "ny", "nz", "d")).alias("tried"))
+        near = F.filter("tried", lambda p: away(p) <= threshold)
+        votes = sought.join(lists, by).select(by, F.explode(F.transform(near, lambda p: p["i"])).alias("i")).groupBy(by, "i").agg(F.count("*").alias("k"))
+        best = votes.groupBy(by).agg(F.max_by("i", F.struct("k", -F.col("i"))).alias("i"), F.max("k").alias("k")).join(all_, by)
+        best = best.where("k >= 3" if number == 0 else "k >= greatest(45, 0.12 * n_all)").select(by, "i")
+        chosen = stored(tried.join(best, [by, "i"]).select(by, plane), "best")
+        inliers = left.join(chosen, by).where(away(F.col("p")) <= threshold)
+        cov = [F.covar_pop(*ab).alias("".join(ab)) for ab in ("xx", "xy", "xz", "yy", "yz", "zz")]
+        fitted = inliers.groupBy(by).agg(*cov, *(F.avg(c).alias(f"m{c}") for c in "xyz")).mapInPandas(refitted, f"{by} {kind}, nx double, ny double, nz double, d double")
+        fitted = stored(fitted.select(by, plane), "planes")
+        judged = stored(left.join(fitted, by).withColumn("near", away(F.col("p")) <= threshold), "points")
+        n_in = judged.groupBy(by).agg(F.count(F.when(F.col("near"), 1)).alias("n_in"))
+        rows = fitted.join(n_in, by).join(sizes, by, "right" if number == 0 else "inner")
+        value = lambda c, none: F.coalesce(F.col(f"p.{c}"), F.lit(none)).alias(c)
+        rows = rows.select(by, F.lit(number).alias("plane"), value("nx", 0.0), value("ny", 0.0), value("nz", 1.0), value("d", 0.0), F.coalesce("n_in", F.lit(0)).alias("n_in"), "n")
+        out = rows if out is None else out.union(rows)
+        left = judged.where("not near").select(by, "pid", "x", "y", "z")
+    return out.join(groups, by).select(group, *out.columns[1:])
 
 
 def histogram(points: DataFrame, by: str, lo: float, width: float, bins: int) -> DataFrame:
