@@ -177,6 +177,14 @@ def test_ground_filter_on_a_flat_site(spark):
     assert s.kappa == 1 and s.tp == 220 and s.tn == 36
 
 
+def test_ground_below_a_wide_object(spark):
+    cells = [(x, y) for x in range(60) for y in range(60)]
+    wide = [8 <= x < 52 and 8 <= y < 52 for x, y in cells]  # its middle lies 22 cells from terrain
+    p = spark.createDataFrame([(i, float(x), float(y), 8.0 if w else 0.1) for i, ((x, y), w) in enumerate(zip(cells, wide))], "pid long, x double, y double, z double")
+    got = raster.classified(p, raster.ground(p, 0.0, 0.0, 1.0, 24), 0.0, 0.0, 1.0).collect()
+    assert {r.pid: r.is_ground for r in got} == {i: not w for i, w in enumerate(wide)}
+
+
 def test_clusters_planes_and_features(spark):
     r = random.Random(2)
     flat = [(i, r.uniform(0, 4), r.uniform(0, 4), 0.0) for i in range(300)]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cloud import stored
+
 
 def index(x: Column, origin: float, cell: float) -> Column:
     """Number of the cell whose middle is nearest, halves to even."""
@@ -81,6 +83,19 @@ def filled(raster: DataFrame, holes: DataFrame, reach: int) -> DataFrame:
     return near.join(valid, ["br", "bc"]).where(d2 <= reach * reach).groupBy("row", "col").agg(F.min_by("value", F.struct(d2, "r", "c")).alias("value"))
 
 
+def filled_from_nearest(raster: DataFrame, holes: DataFrame, reach: int) -> DataFrame:
+    """Values for all ``holes`` from the nearest cell at any distance: the reach doubles until none is left."""
+    left, out = stored(holes.select("row", "col"), "holes"), None
+    empty = raster.isEmpty()
+    while True:
+        found = stored(filled(raster, left, reach), "filled")
+        out = found if out is None else out.union(found)
+        left = stored(left.join(found, ["row", "col"], "left_anti"), "holes")
+        if empty or left.isEmpty():
+            return out
+        reach *= 2
+
+
 def ground(points: DataFrame, x0: float, y0: float, cell: float, largest: int, steepness: float = 0.2, reach: int = 16) -> DataFrame:
     """Progressive morphological filter: the terrain raster, cells of objects filled from around them.
 
@@ -92,8 +107,9 @@ def ground(points: DataFrame, x0: float, y0: float, cell: float, largest: int, s
         before = surface.withColumnRenamed("value", "was")
         now = opened(surface.select("row", "col", "value"), r)
         surface = before.join(now, ["row", "col"]).withColumn("is_object", F.col("is_object") | (F.col("was") - F.col("value") > steepness * r * cell)).drop("was")
+    surface = stored(surface, "surface")
     keep = surface.where("not is_object").select("row", "col", "value")
-    return keep.union(filled(keep, surface.where("is_object").select("row", "col"), reach).select("row", "col", "value"))
+    return keep.union(filled_from_nearest(keep, surface.where("is_object").select("row", "col"), reach).select("row", "col", "value"))
 
 
 def classified(points: DataFrame, terrain: DataFrame, x0: float, y0: float, cell: float, height: float = 0.3) -> DataFrame:
