@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, on_workers, record, split_batch, with_text
-from .wordkernel import NOT_ALNUM, Words, inner_windows, text_of_words, words
+from .wordkernel import NOT_ALNUM, Points, Words, inner_windows, text_of_words, words
 
 SEED = 3
 RARE = 4
@@ -220,7 +220,7 @@ def _rows(batch: pa.RecordBatch, ids: list, index) -> pa.RecordBatch | None:
         return None
     row, item, score, first, end, n = map(np.array, zip(*found, strict=True))
     w = words(batch.column("text"), NOT_ALNUM)  # lower case may change a word's length, but not which words there are
-    points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    points = Points(w.data)
     zero = points[w.text_at[row]]
     return record(doc_id=batch.column("doc_id").take(pa.array(row)), item_id=pa.array([ids[i] for i in item]), score=np.round(score, 4), start=points[w.start[first]] - zero, end=points[w.end[end - 1]] - zero, n_seeds=n)
 

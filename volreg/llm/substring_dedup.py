@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, record, stored, with_text
-from .wordkernel import LOWER, NOT_ALNUM, _powers, mix, text_of_words, windows, words
+from .wordkernel import LOWER, NOT_ALNUM, Points, mix, spans_hash, text_of_words, windows, words
 
 #: Words of a run of units that is no whole line, at least.
 MIN_WORDS = 24
@@ -51,8 +51,8 @@ def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
             begins[i:] &= ~same | (pair[i:] < pair[:-i])
             begins[:-i] &= ~same | (pair[:-i] <= pair[i:])
     begins[w.word_at[:-1][np.diff(w.word_at) > 0]] = True
-    lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-    line_begins = np.append(np.ones(min(n, 1), bool), lines[w.start[1:]] > lines[w.end[:-1]])
+    breaks = np.flatnonzero(w.data == 10)
+    line_begins = np.append(np.ones(min(n, 1), bool), np.searchsorted(breaks, w.start[1:]) > np.searchsorted(breaks, w.end[:-1]))
     line_begins[w.word_at[:-1][np.diff(w.word_at) > 0]] = True
     begins |= line_begins
     unit, line = np.flatnonzero(begins), np.flatnonzero(line_begins)
@@ -66,10 +66,8 @@ def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
     long_enough = line_end - line >= MIN_LINE_WORDS
     both = np.unique(np.append(a, line[long_enough]) * (n + 1) + np.append(z, line_end[long_enough]))
     first, last = both // (n + 1), both % (n + 1)
-    up, down = _powers(max(1 << 20, 1 << n.bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[:n], dtype=np.uint64)])
-    digest = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    digest = mix(spans_hash(w.hash, first, last) + (last - first).astype(np.uint64))
+    points = Points(w.data)
     text = of[first]
     zero, word_zero = points[w.text_at[text]], w.word_at[text]
     start, end = points[w.start[first]] - zero, points[w.end[last - 1]] - zero

@@ -39,13 +39,57 @@ LOWER = SAME.copy()
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _PRIME), np.full(n, _INVERSE)
+#: Bytes whose running polynomial is formed at once, whatever a text's length.
+_STEP = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse for the places of a step."""
+    up, down = np.full(_STEP, _PRIME), np.full(_STEP + 1, _INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each span of ``values`` (spans in any order, overlaps allowed): the sum of value * prime ** place in the span.
+
+    Values are taken by steps of fixed size, so the running sums stay small; a span over
+    several steps is the sum of its parts, each moved to its place.
+    """
+    up, down = _powers()
+    out = np.zeros(len(start), _U)
+    by_start = np.argsort(start, kind="stable") if len(start) and (start[1:] < start[:-1]).any() else np.arange(len(start))
+    first_of = start[by_start]
+    waiting = np.zeros(0, np.int64)  # spans that began in a step before and have not ended
+    for at in range(0, len(values), _STEP):
+        part = values[at : at + _STEP]
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        new = by_start[np.searchsorted(first_of, at) : np.searchsorted(first_of, at + len(part))]
+        own = np.concatenate([waiting, new])
+        x, y = np.maximum(start[own] - at, 0), np.minimum(end[own] - at, len(part))
+        h = (total[y] - total[x]) * down[x]
+        if len(waiting):
+            h[: len(waiting)] *= np.array([pow(int(_PRIME), int(n), 1 << 64) for n in at - start[waiting]], _U)
+        out[own] += h
+        waiting = own[end[own] > at + len(part)]
+    return out
+
+
+class _Values:
+    """The values of bytes, made for the slice that is asked for."""
+
+    def __init__(self, data: np.ndarray, fold: np.ndarray):
+        self.data, self.of = data, _BYTE[fold]
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.of[self.data[part]]
+
+
 class Words(NamedTuple):
     data: np.ndarray  # bytes of all texts
     text_at: np.ndarray  # where texts begin, and the end
@@ -53,7 +97,7 @@ class Words(NamedTuple):
     end: np.ndarray
     word_at: np.ndarray  # first word of each text, and the end
     hash: np.ndarray
-    total: np.ndarray  # running polynomial over the bytes
+    fold: np.ndarray  # the byte that each byte counts as
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,29 +112,33 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray = SAME) -> Words:
     data, at = buffer(texts)
     n = len(data)
-    inside = ~between[data]
+    inside = np.zeros(n + 2, bool)  # a byte that parts words before the first and after the last
+    inside[1:-1] = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True  # a text's border parts words as white space does
-    before = np.zeros(n + 1, bool)
-    before[1:] = inside
-    first = inside & (~before[:-1] | edge[:-1])
-    after = np.zeros(n + 1, bool)
-    after[:-1] = inside
-    last = inside & (~after[1:] | edge[1:])
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(max(1 << 20, 1 << max(0, n).bit_length()))
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[fold[data]] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(data, at, start, end, np.searchsorted(start, at), h, total)
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
+    end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+    h = mix(spans_hash(_Values(data, fold), start, end) + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return Words(data, at, start, end, np.searchsorted(start, at), h, fold)
 
 
 def prefixes(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the first n bytes of the words that are longer, and the numbers of these words."""
     long = np.flatnonzero(w.end - w.start > n)
-    start = w.start[long]
-    _, down = _powers(max(1 << 20, 1 << len(w.data).bit_length()))
-    return mix((w.total[start + n] - w.total[start]) * down[start] + _U(n * 0xA0761D6478BD642F % (1 << 64))), long
+    raw = np.zeros(len(long), _U)
+    for i in range(n):
+        raw += _BYTE[w.fold[w.data[w.start[long] + i]]] * _U(pow(int(_PRIME), i, 1 << 64))
+    return mix(raw + _U(n * 0xA0761D6478BD642F % (1 << 64))), long
+
+
+class Points:
+    """Code points before a byte, from the places of the bytes that continue one: few in most texts."""
+
+    def __init__(self, data: np.ndarray):
+        self.continued = np.flatnonzero((data & 0xC0) == 0x80)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return at - np.searchsorted(self.continued, at)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -133,6 +181,8 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` (one for each byte or word) over each text."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
+    out = np.zeros(len(at) - 1, np.int64)
+    some = at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, at[:-1][some], dtype=np.int64)
+    return out
