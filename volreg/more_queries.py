@@ -10,7 +10,7 @@ from .functions import geodesy, idcode, polygons
 from .operators import cloud, raster, scoring, spatial
 from .operators import register as reg
 from .plans import plan2d
-from .queries import _SCANS, query, scans
+from .queries import _GEOHASH, _SCANS, identified, query, scans
 from .sources import files
 from .streaming import mint
 
@@ -141,12 +141,23 @@ def nearest_neighbours(spark, sf):
     return cloud.nearest(cloud.neighbours(p, p, 1.0), 8).select("pid", "other", "place")
 
 
-@query()
+@query(_CLOUD + """, near AS (SELECT a.pid, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.pid) AS place FROM p a JOIN p b ON (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 1.1::DOUBLE * 1.1::DOUBLE),
+m AS (SELECT pid, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM near WHERE place <= 40 GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - (xx+yy+zz)/3)**2 + (yy - (xx+yy+zz)/3)**2 + (zz - (xx+yy+zz)/3)**2 + 2 * (xy*xy + xz*xz + yz*yz)) / 6) AS s FROM m),
+r AS (SELECT *, acos(greatest(-1, least(1, coalesce(((xx-q) * ((yy-q) * (zz-q) - yz*yz) - xy * (xy * (zz-q) - yz*xz) + xz * (xy*yz - (yy-q) * xz)) / nullif(2 * s * s * s, 0), 0)))) / 3 AS phi FROM q),
+e AS (SELECT pid, n, q + 2 * s * cos(phi) AS a, greatest(0, q + 2 * s * cos(phi + 2.0943951023931953::DOUBLE)) AS c, greatest(0, 3 * q - (q + 2 * s * cos(phi)) - (q + 2 * s * cos(phi + 2.0943951023931953::DOUBLE))) AS b FROM r)
+SELECT pid, n, round_even(CASE WHEN n >= 4 AND a > 1e-12 THEN (a - b) / a ELSE 0 END, 3) + 0.0 AS linearity, round_even(CASE WHEN n >= 4 AND a > 1e-12 THEN (b - c) / a ELSE 0 END, 3) + 0.0 AS planarity, round_even(CASE WHEN n >= 4 AND a > 1e-12 THEN c / a ELSE 0 END, 3) + 0.0 AS sphericity, round_even(CASE WHEN n >= 4 AND a + b + c > 1e-12 THEN c / (a + b + c) ELSE 0 END, 3) + 0.0 AS curvature FROM e""", False)
 def eigen_features(spark, sf):
-    return cloud.features(small_cloud(spark, sf), 1.1)
+    out = cloud.features(small_cloud(spark, sf), 1.1)
+    return out.withColumns({c: F.bround(c, 3) + 0.0 for c in ("linearity", "planarity", "sphericity", "curvature")})
 
 
-@query()
+@query(_CLOUD + """, pr AS MATERIALIZED (SELECT a.pid, b.pid AS other, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS d2 FROM p a JOIN p b ON (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.6::DOUBLE * 0.6::DOUBLE),
+core AS MATERIALIZED (SELECT pid FROM pr GROUP BY 1 HAVING count(*) >= 6), ln AS MATERIALIZED (SELECT pr.pid, other FROM pr JOIN core c ON c.pid = pr.pid JOIN core d ON d.pid = pr.other),
+reach(pid, other) AS (SELECT pid, pid FROM core UNION SELECT r.pid, l.other FROM reach r JOIN ln l ON l.pid = r.other), lb AS (SELECT pid, min(other) AS label FROM reach GROUP BY 1),
+home AS (SELECT pr.pid, arg_min(other, (d2, other)) AS c FROM pr JOIN core ON core.pid = pr.other GROUP BY 1), hl AS (SELECT home.pid, label FROM home JOIN lb ON lb.pid = home.c),
+num AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::INT AS cluster FROM hl GROUP BY 1)
+SELECT p.pid, cluster FROM p LEFT JOIN (hl JOIN num USING (label)) USING (pid)""", False)
 def dbscan_labels(spark, sf):
     return cloud.dbscan(small_cloud(spark, sf), 0.6, 6)
 
@@ -178,7 +189,14 @@ def footprint_pairs(spark, sf):
     return pairs.select(F.col("b_object_id").alias("truth"), F.col("a_object_id").alias("predicted"), "iou")
 
 
-@query()
+_GREEDY = REGISTER_SQL + _SCANS + """, prs AS MATERIALIZED (SELECT object_id AS truth, 'scan-' || k AS predicted, iou FROM ious),
+rec(round, truth, predicted, iou, taken) AS (SELECT 0, truth, predicted, iou, row_number() OVER (PARTITION BY truth ORDER BY iou DESC, predicted DESC) = 1 AND row_number() OVER (PARTITION BY predicted ORDER BY iou DESC, truth DESC) = 1 FROM prs
+ UNION ALL SELECT round + 1, truth, predicted, iou, row_number() OVER (PARTITION BY truth ORDER BY iou DESC, predicted DESC) = 1 AND row_number() OVER (PARTITION BY predicted ORDER BY iou DESC, truth DESC) = 1
+ FROM (SELECT *, max(taken::INT) OVER (PARTITION BY truth) AS t, max(taken::INT) OVER (PARTITION BY predicted) AS p FROM rec) WHERE t = 0 AND p = 0),
+mt AS MATERIALIZED (SELECT truth, predicted, iou FROM rec WHERE taken)"""
+
+
+@query(_GREEDY + " SELECT * FROM mt", False)
 def greedy_match(spark, sf):
     return scoring.greedy_match(footprint_pairs(spark, sf))
 
@@ -188,9 +206,11 @@ def footprint_candidates(spark, sf):
     return footprint_pairs(spark, sf).agg(F.count("*").alias("pairs"), F.countDistinct("predicted").alias("scans"), F.countDistinct("truth").alias("buildings"), F.bround(F.max("iou"), 9).alias("best"), F.bround(F.min("iou"), 9).alias("least"))
 
 
-@query()
+@query(_GREEDY + """ SELECT hits, n_truth, n_predicted, hits / n_predicted AS precision, hits / n_truth AS recall, 2 * hits / (n_truth + n_predicted) AS f1, mean_iou, min_iou
+FROM (SELECT count(*) AS hits, round_even(avg(iou), 9) AS mean_iou, min(iou) AS min_iou FROM mt WHERE iou >= 0.5), (SELECT count(*) AS n_truth FROM objects WHERE kind = 'building'), (SELECT count(*) AS n_predicted FROM scans)""", False)
 def extraction_scores(spark, sf):
-    return scoring.extraction_scores(scoring.greedy_match(footprint_pairs(spark, sf)), reg.of_kind(register(spark, sf), "building"), scans(spark, sf))
+    out = scoring.extraction_scores(scoring.greedy_match(footprint_pairs(spark, sf)), reg.of_kind(register(spark, sf), "building"), scans(spark, sf))
+    return out.withColumn("mean_iou", F.bround("mean_iou", 9))
 
 
 @query("""SELECT b, count(za) AS n_estimated, count(zb) AS n_known, count(za) - count(zb) AS extra, round_even(avg(abs(za - zb)), 3) AS mean_error_m, round_even(max(abs(za - zb)), 3) AS max_error_m FROM
@@ -311,20 +331,42 @@ def enu_forward(spark, sf):
     return located(spark, sf).select("k", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"), F.round(u, 3).alias("up"))
 
 
-@query("SELECT o_orderkey AS k, round(18.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 65536, 7) AS lat, round(73.75::DOUBLE + (o_orderkey % 1009)::DOUBLE / 32768, 7) AS lon, round((o_orderkey % 100)::DOUBLE, 3) + 0.0 AS h FROM orders", False)
+def enu_inverse_sql(source: str) -> str:
+    """SQL of degrees and heights for ``source``'s rows (k, east, north, up): ECEF, then Bowring's formula with the ellipsoid's constants."""
+    return f"""WITH o AS (SELECT radians(18.52043::DOUBLE) AS p0, radians(73.856744::DOUBLE) AS l0, 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2),
+c AS (SELECT *, a / sqrt(1 - e2 * sin(p0) ** 2) AS n0, a * sqrt(1 - e2) AS b, e2 / (1 - e2) AS ep2 FROM o),
+x AS (SELECT s.*, c.*, (n0 + 560) * cos(p0) * cos(l0) - sin(l0) * east - sin(p0) * cos(l0) * north + cos(p0) * cos(l0) * up AS ex, (n0 + 560) * cos(p0) * sin(l0) + cos(l0) * east - sin(p0) * sin(l0) * north + cos(p0) * sin(l0) * up AS ey, (n0 * (1 - e2) + 560) * sin(p0) + cos(p0) * north + sin(p0) * up AS ez FROM ({source}) s, c),
+t AS (SELECT *, sqrt(ex * ex + ey * ey) AS rr, atan2(ez * a, sqrt(ex * ex + ey * ey) * b) AS th FROM x),
+g AS (SELECT *, atan2(ez + ep2 * b * sin(th) ** 3, rr - e2 * a * cos(th) ** 3) AS phi FROM t)
+SELECT *, degrees(phi) AS lat, degrees(atan2(ey, ex)) AS lon, rr / cos(phi) - a / sqrt(1 - e2 * sin(phi) ** 2) AS h FROM g"""
+
+
+@query(f"SELECT k, round(lat, 7) AS lat, round(lon, 7) AS lon, round(h, 2) AS h FROM ({enu_inverse_sql('SELECT o_orderkey AS k, (o_orderkey % 997)::DOUBLE * 3 - 1400 AS east, (o_orderkey % 1009)::DOUBLE * 2 - 900 AS north, (o_orderkey % 100)::DOUBLE - 40.5 AS up FROM orders')})", False)
 def enu_inverse(spark, sf):
-    lat, lon, h = ORIGIN.inverse(*ORIGIN.forward(F.col("lat"), F.col("lon"), F.col("h")))
-    return located(spark, sf).select("k", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(F.abs(h), 3).alias("h"))
+    k = F.col("o_orderkey")
+    p = table(spark, sf, "orders").select(k.alias("k"), (k % 997 * 3.0 - 1400).alias("e"), (k % 1009 * 2.0 - 900).alias("n"), (k % 100 - 40.5).alias("u"))
+    lat, lon, h = ORIGIN.inverse(F.col("e"), F.col("n"), F.col("u"))
+    return p.select("k", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(h, 2).alias("h"))
+
 
+# the published series of third order in n = f / (2 - f), on three zones and both hemispheres
+_UTM = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (1.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 16) AS lat, 69.25::DOUBLE + (o_orderkey % 1009)::DOUBLE / 64 AS lon FROM orders),
+c AS (SELECT f / (2 - f) AS n FROM (SELECT 1 / 298.257223563::DOUBLE AS f)), z AS (SELECT *, (floor((lon + 180) / 6)::INT % 60 + 1) AS zone, 2 * sqrt(n) / (1 + n) AS q, 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS radius,
+ n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM p, c),
+t AS (SELECT *, radians(lon - (6 * zone - 183)) AS l, sinh(atanh(sin(radians(lat))) - q * atanh(q * sin(radians(lat)))) AS t FROM z),
+x AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT k, zone, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, round(500000 + 0.9996 * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east,
+ round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS north, round(lat, 7) AS lat, round(lon, 7) AS lon FROM x"""
 
-@query("SELECT o_orderkey AS k, 43 AS zone, 32643 AS epsg, true AS closes FROM orders", False)
+
+@query(_UTM, False)
 def utm_round_trip(spark, sf):
-    p = located(spark, sf)
-    zone = geodesy.utm_zone(F.col("lon"))
+    k = F.col("o_orderkey")
+    p = table(spark, sf, "orders").select(k.alias("k"), (F.when(k % 2 == 0, 1).otherwise(-1) * (1.5 + (k % 997) / 16)).alias("lat"), (69.25 + (k % 1009) / 64).alias("lon"))
     e, n = geodesy.utm_forward(F.col("lat"), F.col("lon"))
-    p = p.withColumns({"zone": zone, "e": e, "n": n, "epsg": geodesy.utm_epsg(F.col("lat"), F.col("lon"))})
-    lat, lon = geodesy.utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.lit(False))
-    return p.select("k", "zone", "epsg", ((F.abs(lat - F.col("lat")) < 1e-7) & (F.abs(lon - F.col("lon")) < 1e-7)).alias("closes"))
+    p = p.withColumns({"zone": geodesy.utm_zone(F.col("lon")), "e": e, "n": n, "epsg": geodesy.utm_epsg(F.col("lat"), F.col("lon")), "south": F.col("lat") < 0})
+    lat, lon = geodesy.utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.col("south"))
+    return p.select("k", "zone", "epsg", F.round("e", 3).alias("east"), F.round("n", 3).alias("north"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
 @query("SELECT k, round((degrees(l) + 180) / 360 * 256 * 262144, 3) AS px, round((1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 * 256 * 262144, 3) AS py, round(cos(p) * 2 * pi() * 6378137 / (256 * 262144), 9) AS metres FROM (SELECT o_orderkey AS k, radians(18.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 65536) AS p, radians(73.75::DOUBLE + (o_orderkey % 1009)::DOUBLE / 32768) AS l FROM orders)", False)
@@ -333,7 +375,7 @@ def mercator_world(spark, sf):
     return located(spark, sf).select("k", F.round(x, 3).alias("px"), F.round(y, 3).alias("py"), F.round(geodesy.metres_per_pixel(F.col("lat"), F.lit(18)), 9).alias("metres"))
 
 
-@query()
+@query("SELECT o_orderkey AS k, round(0.8 * lat - 0.6 * lon + 10, 4) AS x, round(0.6 * lat + 0.8 * lon + 20, 4) AS y, round(h + 3, 4) AS z FROM (SELECT o_orderkey, 18.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 65536 AS lat, 73.75::DOUBLE + (o_orderkey % 1009)::DOUBLE / 32768 AS lon, (o_orderkey % 100)::DOUBLE AS h FROM orders)", False)
 def helmert_apply(spark, sf):
     import numpy as np
 
@@ -349,14 +391,27 @@ def helmert_apply(spark, sf):
 # ---- exports and streams
 
 
-@query()
+_CORNER = f", corner AS ({enu_inverse_sql('SELECT *, x0 AS east, y0 AS north, 0.0 AS up FROM objects')}) "
+
+
+@query(REGISTER_SQL + _CORNER + """SELECT object_id, 'Feature' AS type, 'Polygon' AS shape, 1 AS rings, 5 AS positions, round(round(lon, 8), 7) AS lon, round(round(lat, 8), 7) AS lat, true AS closed, kind, owner, level, stratum, z_min, z_max, (x1 - x0) * (y1 - y0) AS area_m2 FROM corner""", False)
 def geojson_export(spark, sf):
-    return files.geojson(register(spark, sf), ORIGIN)
+    # the documents' own fields, read back from their text
+    schema = "type string, properties struct<object_id:string,kind:string,owner:string,level:int,stratum:string,z_min:double,z_max:double,area_m2:double>, geometry struct<type:string,coordinates:array<array<array<double>>>>"
+    f = files.geojson(register(spark, sf), ORIGIN).select("object_id", F.from_json("feature", schema).alias("f"))
+    ring = F.col("f.geometry.coordinates")[0]
+    return f.select("object_id", "f.type", F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").alias("rings"), F.size(ring).alias("positions"), F.round(ring[0][0], 7).alias("lon"), F.round(ring[0][1], 7).alias("lat"), (ring[0] == ring[4]).alias("closed"), "f.properties.kind", "f.properties.owner", "f.properties.level", "f.properties.stratum", "f.properties.z_min", "f.properties.z_max", "f.properties.area_m2")
 
 
-@query()
+_TAGS = "CASE kind WHEN 'parcel' THEN 'LandUse' WHEN 'building' THEN 'Building' WHEN 'storey' THEN 'BuildingPart' WHEN 'unit' THEN 'Room' WHEN 'infrastructure' THEN 'Tunnel' ELSE 'GenericCityObject' END"
+
+
+@query(REGISTER_SQL + _CORNER + f"SELECT object_id, {_TAGS} AS tag, object_id AS id, name, printf('%.3f', z_max - z_min) AS height, 15 AS numbers, round(round(lon, 8), 7) AS lon, round(round(lat, 8), 7) AS lat, printf('%.3f', z_min) AS z FROM corner", False)
 def citygml_export(spark, sf):
-    return files.citygml(register(spark, sf), ORIGIN)
+    e = files.citygml(register(spark, sf), ORIGIN)
+    x = lambda path: F.xpath_string("element", F.lit(path))
+    at = F.split(x("/*/posList"), " ")
+    return e.select("object_id", F.regexp_extract("element", "^<([A-Za-z]+) ", 1).alias("tag"), x("/*/@id").alias("id"), x("/*/name").alias("name"), x("/*/height").alias("height"), F.size(at).alias("numbers"), F.round(at[0].cast("double"), 7).alias("lon"), F.round(at[1].cast("double"), 7).alias("lat"), at[2].alias("z"))
 
 
 @query()
@@ -379,8 +434,7 @@ def event_windows(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(_GEOHASH + "SELECT substr(code, 1, 7) AS cell, ['G', 'B', 'U', 'A', 'I'][k % 5 + 1] AS stratum, count(*) AS n, max(CASE WHEN k % 5 IN (2, 4) THEN -level ELSE level END) AS top FROM h GROUP BY 1, 2", False)
 def id_ladder_counts(spark, sf):
-    from .queries import identified
 
     return identified(spark, sf).groupBy(F.substring("geohash", 1, 7).alias("cell"), "stratum").agg(F.count("*").alias("n"), F.max(idcode.signed_level(F.col("stratum"), F.col("level"))).alias("top"))

@@ -96,7 +96,7 @@ def tree_edges(spark, sf):
     return hierarchy.tree(register(spark, sf))
 
 
-@query(", kept AS (SELECT * FROM objects WHERE object_id NOT LIKE 'P-%7' AND coalesce(parent_id, '') <> 'B-3') SELECT object_id, parent_id FROM kept o WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.object_id = o.parent_id)")
+@query(", kept AS MATERIALIZED (SELECT object_id, parent_id FROM objects WHERE object_id NOT LIKE 'P-%7' AND coalesce(parent_id, '') <> 'B-3') SELECT o.object_id, o.parent_id FROM kept o ANTI JOIN kept p ON p.object_id = o.parent_id WHERE o.parent_id IS NOT NULL")
 def orphans_anti(spark, sf):
     # parcels that end in 7 are taken out, and building 3's children with them, so that there are orphans
     kept = register(spark, sf).where("object_id not like 'P-%7' and coalesce(parent_id, '') <> 'B-3'")
@@ -348,7 +348,10 @@ def mint_units_rank(spark, sf):
     return idcode.mint_units(identified(spark, sf).drop("unit"), ["geohash", "stratum", "level"], ["k"]).select("k", "geohash", "unit")
 
 
-@query()
+@query(_GEOHASH + """, r AS MATERIALIZED (SELECT k, code, k % 5 AS s, unit % 3 AS p, row_number() OVER (PARTITION BY code, k % 5 ORDER BY k) AS i FROM h),
+m(k, code, s, p, i, taken, u) AS (SELECT k, code, s, p, i, [p], p FROM r WHERE i = 1 UNION ALL
+ SELECT k, code, s, p, i, list_append(taken, n), n FROM (SELECT r.*, m.taken, list_min(list_filter(range(r.p, r.p + len(m.taken) + 1), lambda x: NOT list_contains(m.taken, x)))::INT AS n FROM m JOIN r ON r.code = m.code AND r.s = m.s AND r.i = m.i + 1))
+SELECT k AS seq, code AS geohash, ['G', 'B', 'U', 'A', 'I'][s + 1] AS stratum, p AS preferred, u AS unit FROM m""", False)
 def mint_units_preferred(spark, sf):
     rows = identified(spark, sf).select(F.col("k").alias("seq"), "geohash", "stratum", (F.col("unit") % 3).alias("preferred"))
     return idcode.mint_preferred(rows, ["geohash", "stratum"], "seq long, geohash string, stratum string, preferred int, unit int")
