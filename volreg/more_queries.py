@@ -391,27 +391,32 @@ def helmert_apply(spark, sf):
 # ---- exports and streams
 
 
+def _e6(degrees):
+    """Whole millionths of degrees that are written to eight places."""
+    return F.floor(F.round(degrees * 1e8).cast("long") / 100)
+
+
 _CORNER = f", corner AS ({enu_inverse_sql('SELECT *, x0 AS east, y0 AS north, 0.0 AS up FROM objects')}) "
 
 
-@query(REGISTER_SQL + _CORNER + """SELECT object_id, 'Feature' AS type, 'Polygon' AS shape, 1 AS rings, 5 AS positions, round(round(lon, 8), 7) AS lon, round(round(lat, 8), 7) AS lat, true AS closed, kind, owner, level, stratum, z_min, z_max, (x1 - x0) * (y1 - y0) AS area_m2 FROM corner""", False)
+@query(REGISTER_SQL + _CORNER + """SELECT object_id, 'Feature' AS type, 'Polygon' AS shape, 1 AS rings, 5 AS positions, round(lon * 1e8)::BIGINT // 100 AS lon_e6, round(lat * 1e8)::BIGINT // 100 AS lat_e6, true AS closed, kind, owner, level, stratum, z_min, z_max, (x1 - x0) * (y1 - y0) AS area_m2 FROM corner""", False)
 def geojson_export(spark, sf):
     # the documents' own fields, read back from their text
     schema = "type string, properties struct<object_id:string,kind:string,owner:string,level:int,stratum:string,z_min:double,z_max:double,area_m2:double>, geometry struct<type:string,coordinates:array<array<array<double>>>>"
     f = files.geojson(register(spark, sf), ORIGIN).select("object_id", F.from_json("feature", schema).alias("f"))
     ring = F.col("f.geometry.coordinates")[0]
-    return f.select("object_id", "f.type", F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").alias("rings"), F.size(ring).alias("positions"), F.round(ring[0][0], 7).alias("lon"), F.round(ring[0][1], 7).alias("lat"), (ring[0] == ring[4]).alias("closed"), "f.properties.kind", "f.properties.owner", "f.properties.level", "f.properties.stratum", "f.properties.z_min", "f.properties.z_max", "f.properties.area_m2")
+    return f.select("object_id", "f.type", F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").alias("rings"), F.size(ring).alias("positions"), _e6(ring[0][0]).alias("lon_e6"), _e6(ring[0][1]).alias("lat_e6"), (ring[0] == ring[4]).alias("closed"), "f.properties.kind", "f.properties.owner", "f.properties.level", "f.properties.stratum", "f.properties.z_min", "f.properties.z_max", "f.properties.area_m2")
 
 
 _TAGS = "CASE kind WHEN 'parcel' THEN 'LandUse' WHEN 'building' THEN 'Building' WHEN 'storey' THEN 'BuildingPart' WHEN 'unit' THEN 'Room' WHEN 'infrastructure' THEN 'Tunnel' ELSE 'GenericCityObject' END"
 
 
-@query(REGISTER_SQL + _CORNER + f"SELECT object_id, {_TAGS} AS tag, object_id AS id, name, printf('%.3f', z_max - z_min) AS height, 15 AS numbers, round(round(lon, 8), 7) AS lon, round(round(lat, 8), 7) AS lat, printf('%.3f', z_min) AS z FROM corner", False)
+@query(REGISTER_SQL + _CORNER + f"SELECT object_id, {_TAGS} AS tag, object_id AS id, name, printf('%.3f', z_max - z_min) AS height, 15 AS numbers, round(lon * 1e8)::BIGINT // 100 AS lon_e6, round(lat * 1e8)::BIGINT // 100 AS lat_e6, printf('%.3f', z_min) AS z FROM corner", False)
 def citygml_export(spark, sf):
     e = files.citygml(register(spark, sf), ORIGIN)
     x = lambda path: F.xpath_string("element", F.lit(path))
     at = F.split(x("/*/posList"), " ")
-    return e.select("object_id", F.regexp_extract("element", "^<([A-Za-z]+) ", 1).alias("tag"), x("/*/@id").alias("id"), x("/*/name").alias("name"), x("/*/height").alias("height"), F.size(at).alias("numbers"), F.round(at[0].cast("double"), 7).alias("lon"), F.round(at[1].cast("double"), 7).alias("lat"), at[2].alias("z"))
+    return e.select("object_id", F.regexp_extract("element", "^<([A-Za-z]+) ", 1).alias("tag"), x("/*/@id").alias("id"), x("/*/name").alias("name"), x("/*/height").alias("height"), F.size(at).alias("numbers"), _e6(at[0].cast("double")).alias("lon_e6"), _e6(at[1].cast("double")).alias("lat_e6"), at[2].alias("z"))
 
 
 @query()
