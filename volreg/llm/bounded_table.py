@@ -1,8 +1,8 @@
-"""Counts in a table of fixed length, summed over all tasks and broadcast.
+"""Tables of fixed length, counts or marks, put together over all tasks and broadcast.
 
-A table has ``2 ** BITS`` counters whatever the input's size (8 MB as broadcast), so its
-size bound is proven. Keys that share a counter share a count: users of a table stay
-right with any counts and only get slower where many keys share one.
+A table has ``2 ** BITS`` counters or ``2 ** MARK_BITS`` marks whatever the input's size (8 MB
+as broadcast each), so its size bound is proven. Keys that share a place share its count or
+mark: users of a table stay right with any and only get slower where many keys share one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from .common import drop_kept, on_workers, split_batch
 from .wordkernel import mix
 
 BITS = 22
+MARK_BITS = 26
 _CHUNK = 1 << 16
+_MARKS = 1 << 20  # marks of a chunk
 MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -63,3 +65,40 @@ def counted(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Broa
     for chunk, packed in sums.collect():  # 2 ** BITS counters at most
         levels[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(packed), np.uint16)
     return spark.sparkContext.broadcast(levels)
+
+
+def mark_slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = mark_slot(keys)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def marked(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
+    """A broadcast array of bits, set for the keys of all rows; read it by ``is_marked``."""
+    spark = df.sparkSession
+    on_workers(spark)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        marks = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            marks[mark_slot(keys(batch))] = True
+        for i in range(0, len(marks), _MARKS):
+            if (chunk := marks[i : i + _MARKS]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // _MARKS], pa.int32()), "marks": pa.array([zlib.compress(np.packbits(chunk).tobytes(), 1)], pa.binary())})
+
+    def either(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = np.zeros(_MARKS // 8, np.uint8)
+        for part in parts:
+            for packed in part["marks"]:
+                marks |= np.frombuffer(zlib.decompress(packed), np.uint8)
+        yield pd.DataFrame({"chunk": [key[0]], "marks": [zlib.compress(marks.tobytes(), 1)]})
+
+    whole = df.mapInArrow(partial, "chunk int, marks binary").groupBy("chunk").applyInPandas(either, "chunk int, marks binary")
+    out = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    for chunk, packed in whole.collect():  # 2 ** MARK_BITS bits at most
+        out[chunk * (_MARKS // 8) : (chunk + 1) * (_MARKS // 8)] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return spark.sparkContext.broadcast(out)
