@@ -6,9 +6,9 @@ already fills its own class but for a few ids. A piece of class k has at most
 ``capacity // k`` ids, and a bin of class k takes exactly k pieces. The last class has all
 shorter pieces and fills its bins by length, until the next piece does not fit. Each task
 fills the bins of its own pieces without regard to others. Pieces of bins left open (fewer
-than k for each class and task, of the last class a capacity's ids) are filled into bins
-by class once more; what is then left, fewer than ``LAST_CLASS ** 2 / 2`` pieces and one
-bin of the last class in all, is packed first-fit by falling length.
+than k for each class and task, of the last class a capacity's ids) are dealt to a
+``POOL``-th of as many tasks, which fill bins by class again, and so on until one task has
+what is left of ``POOL`` tasks at most; it packs the rest first-fit by falling length.
 
 Cases. A null or empty text has the end id alone. Rows with equal doc_id are packed
 each for itself. A null doc_id is handed on. A table without rows gives none. A very long
@@ -21,10 +21,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers, record, split_batch, stored, with_text
@@ -36,6 +36,8 @@ END_ID = 1
 LAST_CLASS = 64
 #: A piece is cut unless it fills all but one part in so many of its class's share.
 TIGHT = 64
+#: Tasks whose open bins meet in one task of the next round.
+POOL = 64
 
 _PIECE = "doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long, worker long"
 
@@ -108,39 +110,57 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
             yield rows(rest)
 
     pieces = stored(with_text(docs, "doc_id").mapInArrow(fill, schema), "pieces")
-    order = ["doc_id", "start", "ids_crc32", "worker"]
-    # at most LAST_CLASS pieces for each class and task, of the last class a capacity's ids
-    rest = pieces.where("sequence_id is null")
-    by_class = Window.partitionBy("class")
-    rest = rest.withColumn("r", F.row_number().over(by_class.orderBy(*order)) - 1).withColumn("all", F.count("*").over(by_class))
-    # the last class's bins by ids: a piece that begins before the last share still ends in the sequence
-    width = capacity - capacity // LAST_CLASS + 1
-    so_far = by_class.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("at", F.coalesce(F.sum("length").over(so_far), F.lit(0))).withColumn("ids_", F.sum("length").over(by_class))
-    last_class = F.col("class") == LAST_CLASS
-    rest = rest.withColumn("bin", F.when(last_class, F.floor(F.col("at") / width)).otherwise(F.expr("r div class")))
-    full = F.when(last_class, (F.col("bin") + 1) * width <= F.col("ids_")).otherwise(F.expr("(bin + 1) * class <= all"))
-    rest = rest.withColumn("full", full)
-    whole = rest.where("full")
-    before = Window.partitionBy("class", "bin").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).withColumn("sequence_id", F.lit(1 << 62) + F.col("class").cast("long") * (1 << 40) + F.col("bin"))
-
-    def first_fit(last: pd.DataFrame) -> pd.DataFrame:
-        last = last.sort_values(["length", *order], ascending=[False, *[True] * len(order)], na_position="first")
-        used: list[int] = []
-        numbers, offsets = [], []
-        for length in last["length"]:
-            n = next((i for i, u in enumerate(used) if u + length <= capacity), len(used))
-            if n == len(used):
-                used.append(0)
-            numbers.append((3 << 61) + n)
-            offsets.append(used[n])
-            used[n] += length
-        return last.assign(sequence_id=numbers, offset=offsets)[columns]
-
-    columns = pieces.columns
-    last = rest.where("not full").select(*columns, F.lit(0).alias("pool")).groupBy("pool").applyInPandas(first_fit, schema)
-    return pieces.where("sequence_id is not null").union(whole.select(columns)).union(last)
+    columns, out = pieces.columns, pieces.where("sequence_id is not null")
+    rest, round_ = pieces.where("sequence_id is null"), 0
+    while True:
+        # a pool has fewer than LAST_CLASS ** 2 / 2 pieces of each of its tasks
+        round_ += 1
+        tasks = rest.agg(F.max("worker")).first()[0]
+        last = tasks is None or tasks < POOL
+        rest = stored(rest.withColumn("worker", F.floor(F.col("worker") / POOL)).groupBy("worker").applyInArrow(_round(capacity, round_, last), schema), "refilled").select(columns)
+        out = out.union(rest.where("sequence_id is not null"))
+        if last:
+            return out
+        rest = rest.where("sequence_id is null")
+
+
+def _round(capacity: int, round_: int, last: bool):
+    def again(pool: pa.Table) -> pa.Table:
+        return refill(pool, capacity, round_, last)
+
+    return again
+
+
+def refill(pool: pa.Table, capacity: int, round_: int, last: bool) -> pa.Table:
+    """The pieces of some tasks' open bins in bins by class; what fills none goes first-fit if this is the last round, or stays open."""
+    keys = [(c, "ascending") for c in ("class", "doc_id", "start", "ids_crc32")]
+    pool = pool.take(pc.sort_indices(pool, keys, null_placement="at_start")).combine_chunks()
+    length, kind = pool["length"].to_numpy(), pool["class"].to_numpy()
+    number, offset = np.full(len(pool), -1, np.int64), np.zeros(len(pool), np.int64)
+    filled = 0
+    for k in np.unique(kind):
+        own, at, used = np.flatnonzero(kind == k), 0, 0
+        for i, row in enumerate(own):
+            # a bin of class k closes at k pieces, of the last class when the next does not fit
+            if (used + length[row] > capacity) if k == LAST_CLASS else (i - at == k):
+                number[own[at:i]], at, used, filled = filled, i, 0, filled + 1
+            offset[row] = used
+            used += length[row]
+        if k != LAST_CLASS and len(own) - at == k:
+            number[own[at:]], filled = filled, filled + 1
+    if last:
+        room: list[int] = []
+        left = np.flatnonzero(number < 0)
+        for row in left[np.argsort(-length[left], kind="stable")]:
+            n = next((i for i, used in enumerate(room) if used + length[row] <= capacity), len(room))
+            if n == len(room):
+                room.append(0)
+            number[row], offset[row] = filled + n, room[n]
+            room[n] += length[row]
+    ids = pa.array(number + (round_ << 58) + (pool["worker"].to_numpy() << 32), pa.int64(), mask=number < 0)
+    for name, values in (("sequence_id", ids), ("offset", pa.array(offset))):
+        pool = pool.set_column(pool.schema.get_field_index(name), name, values)
+    return pool
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
