@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, record, stored, with_text
 
-# The patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of the contract. An e-mail is sought from its @ and an IP in
+# runs of digits and dots, as a search from each place of a long run would take its square.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_DOTTED = re.compile(r"[0-9][0-9.]*+")
+_PART = re.compile(r"[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone", "number", "name"]
 
@@ -44,7 +50,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _FORMS = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
 #: Labelers in the order of their votes.
 LABELERS = ["form", "gazetteer", "technical", "context"]
-MIN_PROBABILITY = 0.5
+#: A candidate is added from this probability of its form on; even odds are not enough.
+MIN_PROBABILITY = 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -55,15 +62,48 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping ``local@domain``: a local part is what stands before the @, back to the match before."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            local = at
+            for size in (64, at - done):  # most are short
+                other = [m.end() for m in _NOT_LOCAL.finditer(text, max(done, at - size), at)]
+                if other or at - size <= done:
+                    local = other[-1] if other else done
+                    break
+            if local < at:
+                yield local, domain.end()
+                done = domain.end()
+        at = text.find("@", at + 1)
+        while 0 <= at < done:
+            at = text.find("@", at + 1)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four numbers with single dots, of numbers up to 255."""
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        four: list[re.Match] = []
+        for part in _PART.finditer(text, run.start(), run.end()):
+            if four and part.start() != four[-1].end() + 1:
+                four = []
+            four.append(part)
+            if len(four) == 4:
+                if all(len(x[0].lstrip("0")) <= 3 and int(x[0].lstrip("0") or 0) <= 255 for x in four):
+                    yield four[0].start(), part.end()
+                four = []
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the contract's spans, in order."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
+    out = [(a, 0, b) for a, b in emails(text)] + [(a, 1, b) for a, b in addresses(text)]
     for m in CARD.finditer(text):
+        if m.end() - m.start() < 12:
+            continue
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))
@@ -78,10 +118,23 @@ def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     """Candidates that overlap no base span."""
     found = [(m.start(), 4, m.end()) for m in NUMBER.finditer(text) if 7 <= sum(map(str.isdigit, m[0])) <= 15]
     found += [(m.start(1), 5, m.end(1)) for m in NAME.finditer(text)]
-    return sorted(x for x in found if not any(a < x[2] and x[0] < b for a, _, b in base))
+    starts, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+    # of the base spans that begin before a candidate's end, the last end tells whether one reaches into it
+    return sorted(x for x in found if not (n := bisect_left(starts, x[2])) or ends[n - 1] <= x[0])
+
+
+#: Code points from a candidate to another that count as beside it.
+BESIDE = 60
+
+
+def all_beside(spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether another span begins near a span's end or ends near its start, for each."""
+    starts, ends = sorted(x[0] for x in spans), sorted(x[2] for x in spans)
+    within = lambda values, at: bisect_right(values, at + BESIDE) - bisect_left(values, at - BESIDE)
+    return [within(starts, b) + within(ends, a) > 2 * (b - a <= BESIDE) for a, _, b in spans]
 
 
-def judge(text: str, span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> tuple[int, int]:
+def judge(text: str, span: tuple[int, int, int], beside: bool) -> tuple[int, int]:
     """Votes (base 3, a digit for each labeler: 0 nothing, 1 no, 2 yes) and form (bits) of a candidate."""
     start, kind, end = span
     own, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
@@ -89,7 +142,6 @@ def judge(text: str, span: tuple[int, int, int], others: list[tuple[int, int, in
     form = 2 if kind in (0, 2) or kind == 4 and _FORMS.fullmatch(own) else 0 if kind == 5 else 1 if kind == 4 else 2
     gazetteer = 2 if CUES.intersection(near) else 0
     technical = 1 if TECHNICAL.intersection(near) else 0
-    beside = any(o != span and abs(o[0] - end) <= 60 or o != span and abs(start - o[2]) <= 60 for o in others)
     glued = bool(before[-1:].strip() and before[-1:] not in "(\"'<:=,;") or bool(after[:1].isalnum())
     context = 2 if beside else 1 if glued else 0
     votes = form + 3 * gazetteer + 9 * technical + 27 * context
@@ -110,7 +162,7 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
         digest.append(hashlib.sha256(joined.encode()).hexdigest())
         base_out.append([dict(start=a, kind=k, end=b) for a, k, b in base])
-        more.append([dict(start=s[0], kind=s[1], end=s[2], votes=v, form=f) for s in both for v, f in [judge(text, s, both)]])
+        more.append([dict(start=s[0], kind=s[1], end=s[2], votes=v, form=f) for s, near in zip(both, all_beside(both), strict=True) for v, f in [judge(text, s, near)]])
     span = [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]
     return record(
         doc_id=batch.column("doc_id"), **{f"n_{n}": pa.array(counts[k], pa.int64()) for k, n in enumerate(KINDS[:4])}, base_sha256=pa.array(digest, pa.string()),
@@ -118,23 +170,21 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """By expectation-maximisation: each pattern's probability, and the labelers' tables P(vote | truth).
+    """By expectation-maximisation: each pattern's probability, and the labelers' tables P(vote | truth, it votes).
 
-    ``votes`` has a row for each pattern of votes and a column for each labeler, ``n`` how often each occurs.
+    ``votes`` has a row for each pattern of votes and a column for each labeler, ``n`` how
+    often each occurs. A labeler is as reliable in its yes as in its no, never less than
+    chance, so that truth and its opposite cannot change places; one that says nothing
+    tells nothing, and a candidate without votes has even odds.
     """
-    # at first, agreeing with most labelers that say anything is right
-    yes, no = (votes == 2).sum(1), (votes == 1).sum(1)
-    p = (yes + 0.5) / (yes + no + 1)
-    tables = np.zeros((votes.shape[1], 2, 3))
+    yes, no = votes == 2, votes == 1
+    sure = np.full(votes.shape[1], 0.8)
     for _ in range(rounds):
-        for j in range(votes.shape[1]):
-            for truth, weight in enumerate((1 - p, p)):
-                tables[j, truth] = np.bincount(votes[:, j], weight * n, 3) + np.array([1.0, 1.0 + (truth == 0), 1.0 + (truth == 1)])
-        tables /= tables.sum(2, keepdims=True)
-        prior = ((p * n).sum() + 1) / (n.sum() + 2)
-        log = np.log([1 - prior, prior])[:, None] + sum(np.log(tables[j][:, votes[:, j]]) for j in range(votes.shape[1]))
-        p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
-    return p, tables
+        odds = (yes * 1.0 - no) @ np.log(sure / (1 - sure))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        right = ((yes * p[:, None] + no * (1 - p)[:, None]) * n[:, None]).sum(0)
+        sure = np.clip((right + 8) / (((yes | no) * n[:, None]).sum(0) + 10), 0.55, 0.99)
+    return p, np.stack([np.stack([sure, 1 - sure], 1), np.stack([1 - sure, sure], 1)], 1)
 
 
 def classifier(features: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
