@@ -4,7 +4,8 @@ Statistics of each whole text are standardised with the means and deviations of
 training rows and mapped to random Fourier features, whose products approximate a
 Gaussian kernel. Each task sums its part of the normal equations; their sums have a size
 fixed by ``FEATURES`` and are solved on the driver. Scores are calibrated by isotonic
-regression on counts in fixed bins.
+regression on counts in fixed bins, of scores by weights that were fitted without the
+row's own fold: training rows are dealt to ``FOLDS`` by the hash of their doc_id.
 
 Cases. A null or empty text has the statistics of an empty one and gets a score. Rows
 with equal doc_id are scored each for itself; labels that repeat count each time, null
@@ -31,6 +32,7 @@ FEATURES = 256
 WIDTH = 4.0
 RIDGE = 1e-3
 BINS = 1000
+FOLDS = 5
 SEED = 7
 
 STATISTICS = ["log_words", "word_length", "symbols", "upper", "digits", "stops", "bars", "bangs", "distinct", "repeated", "line_words", "top_word", "beyond_ascii", "short_words", "other_marks", "full_lines"]
@@ -93,29 +95,38 @@ class Fourier:
 
 
 def normal_equations(train: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of z z' and z y over all rows of ``train``: blocks of fixed size for each task, summed by block."""
+    """For each fold the sums of z z' and z y over its rows of ``train``: a table of fixed size for each task and fold."""
     on_workers(train.sparkSession)
-    size, blocks = FEATURES + 1, 16
+    size = FEATURES + 1
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS, size, size + 1))
         for batch in batches:
-            z = fourier(batch)
-            total += z.T @ np.hstack([z, batch.column("label").to_numpy(zero_copy_only=False)[:, None]])
-        for i in range(blocks):
-            yield record(block=pa.array([i], pa.int32()), sums=pa.array([total[i::blocks].tobytes()], pa.binary()))
+            z, fold = fourier(batch), batch.column("fold").to_numpy()
+            y = np.hstack([z, batch.column("label").to_numpy(zero_copy_only=False)[:, None]])
+            for i in range(FOLDS):
+                total[i] += z[fold == i].T @ y[fold == i]
+        for i in np.flatnonzero(total.any((1, 2))):
+            yield record(fold=pa.array([i], pa.int32()), sums=pa.array([total[i].tobytes()], pa.binary()))
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0
         for part in parts:
             for x in part["sums"]:
                 total = total + np.frombuffer(x)
-        yield pd.DataFrame({"block": [key[0]], "sums": [total.tobytes()]})
+        yield pd.DataFrame({"fold": [key[0]], "sums": [total.tobytes()]})
 
-    total = np.zeros((size, size + 1))
-    for i, x in train.mapInArrow(partial, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect():
-        total[i::blocks] = np.frombuffer(x).reshape(-1, size + 1)
-    return total[:, :size], total[:, size]
+    total = np.zeros((FOLDS, size, size + 1))
+    for i, x in train.mapInArrow(sums, "fold int, sums binary").groupBy("fold").applyInPandas(add, "fold int, sums binary").collect():
+        total[i] = np.frombuffer(x).reshape(size, size + 1)
+    return total[:, :, :size], total[:, :, size]
+
+
+def ridge(a: np.ndarray, b: np.ndarray, n: float) -> np.ndarray:
+    """Weights of summed normal equations over n rows; the constant's is free."""
+    penalty = np.full(len(b), RIDGE * n + 0.1)
+    penalty[0] = 1e-9
+    return np.linalg.lstsq(a + np.diag(penalty), b, rcond=None)[0]
 
 
 def isotonic(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
@@ -140,7 +151,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label:
     spark = docs.sparkSession
     key = docs.schema["doc_id"].dataType.simpleString()
     stats = stored(map_batches(with_text(docs, "doc_id"), statistics, f"doc_id {key}, " + ", ".join(f"{c} double" for c in STATISTICS)), "statistics")
-    train = stored(stats.join(train_part(held_out, labels, label), "doc_id").select(*STATISTICS, "label"), "training")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = stored(stats.join(train_part(held_out, labels, label), "doc_id").select(*STATISTICS, "label", fold), "training")
     sums = train.agg(F.count("*"), F.sum("label"), *(F.avg(c) for c in STATISTICS), *(F.stddev_pop(c) for c in STATISTICS)).first()
     n, positive = sums[0], sums[1] or 0
     flag = F.coalesce(held_out, F.lit(True)).alias("held_out")
@@ -150,21 +162,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label:
     d = len(STATISTICS)
     fourier = Fourier(np.array(sums[2 : 2 + d]), np.array(sums[2 + d : 2 + 2 * d]))
     a, b = normal_equations(train, fourier)
-    penalty = np.full(len(b), RIDGE * n + 0.1)
-    penalty[0] = 1e-9
-    weights = np.linalg.solve(a + np.diag(penalty), b)
+    size = a[:, 0, 0]  # the constant's square, summed: each fold's rows
+    weights = ridge(a.sum(0), b.sum(0), n)
+    without = np.stack([ridge(a.sum(0) - a[i], b.sum(0) - b[i], n - size[i]) if size[i] < n else weights for i in range(FOLDS)])
     on_workers(spark)
 
-    def binned(batch: pa.RecordBatch) -> np.ndarray:
-        return np.clip(((fourier(batch) @ weights + 0.25) / 1.5 * BINS).astype(np.int64), 0, BINS - 1)
+    def binned(raw: np.ndarray) -> np.ndarray:
+        return np.clip(((raw + 0.25) / 1.5 * BINS).astype(np.int64), 0, BINS - 1)
+
+    def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = (fourier(batch) * without[batch.column("fold").to_numpy()]).sum(1)
+        return record(bin=pa.array(binned(raw), pa.int64()), label=batch.column("label"))
 
-    counts = map_batches(train, lambda batch: record(bin=pa.array(binned(batch), pa.int64()), label=batch.column("label")), "bin long, label double")
+    counts = map_batches(train, left_out, "bin long, label double")
     n_bin, positive_bin = np.zeros(BINS), np.zeros(BINS)
     for i, m, p in counts.groupBy("bin").agg(F.count("*"), F.sum("label")).collect():  # BINS rows at most
         n_bin[i], positive_bin[i] = m, p
     curve = isotonic(n_bin, positive_bin)
 
-    scored = map_batches(stats, lambda batch: record(doc_id=batch.column("doc_id"), score=curve[binned(batch)]), f"doc_id {key}, score double")
+    scored = map_batches(stats, lambda batch: record(doc_id=batch.column("doc_id"), score=curve[binned(fourier(batch) @ weights)]), f"doc_id {key}, score double")
     return scored.select("doc_id", flag, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
