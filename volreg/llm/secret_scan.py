@@ -2,9 +2,9 @@
 
 Candidates are the spans of three fixed patterns and, besides, long mixed tokens without a
 known form. The hash of each candidate's value is counted over the distinct repositories
-and owners that hold it: a value of many owners is a widely copied example, one of few
-owners looks live. Long mixed tokens count as spans (kind ``owned``) only if a single
-owner has them.
+and owners that hold it: a value of many owners, or of many repositories whoever owns
+them, is a widely copied example; one of few of both looks live. Long mixed tokens count
+as spans (kind ``owned``) only if they look live and a single owner has them.
 
 Positions need no Python: the texts between a pattern's matches, from ``split``, and the
 matches themselves, in turn, make up the whole text, so their lengths add up to spans.
@@ -32,8 +32,9 @@ MIXED = "[A-Za-z0-9_-]+"
 SIGNS = {"assign": r"[DdTtNnYy][\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "mixed": "[A-Za-z0-9_-]{24}"}
 KINDS = ["assign", "access", "hex", "owned"]
 
-#: A value of at most so many owners looks live; one of so many or more is an example.
+#: A value of at most so many owners and repositories looks live; one of more of either is an example.
 MAX_LIVE_OWNERS = 2
+MAX_LIVE_REPOSITORIES = 10
 
 
 def _spans(text: Column, kind: int, sign: str, pattern: str, value_group: int, keep) -> Column:
@@ -85,14 +86,17 @@ def judged(found: DataFrame, repository: str, owner: str) -> DataFrame:
     """For each ``row`` with candidates: those that look live, and counts."""
     stats = ownership(found, repository, owner)
     each = found.select("row", F.explode(F.concat("base", "extra")).alias("c")).select("row", "c", F.col("c.hash").alias("hash"))
-    live = F.col("n_owners") <= MAX_LIVE_OWNERS
+    live = (F.col("n_owners") <= MAX_LIVE_OWNERS) & (F.col("n_repositories") <= MAX_LIVE_REPOSITORIES)
+    owned = live & (F.col("n_owners") == 1)
     base = F.col("c.kind") < 3
     # a struct's fields in order of the sort: the start, then the kind
     return each.join(stats, "hash").groupBy("row").agg(
         F.count(F.when(base & live, 1)).alias("n_live"),
         F.count(F.when(base & ~live, 1)).alias("n_example"),
-        F.array_sort(F.collect_list(F.when(~base & (F.col("n_owners") == 1), F.col("c")))).alias("owned"),
-        F.array_sort(F.collect_list(F.when((base & live) | (F.col("n_owners") == 1), F.col("c")))).alias("live"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
+        F.array_sort(F.collect_list(F.when(~base & owned, F.col("c")))).alias("owned"),
+        F.array_sort(F.collect_list(F.when((base & live) | owned, F.col("c")))).alias("live"),
     )
 
 
@@ -101,25 +105,30 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+COUNTS = ["n_live", "n_example", "most_owners", "most_repositories"]
+
+
 def secret_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """One row for each document: counts by kind, digest of the base spans, all spans."""
+    """One row for each document: counts by kind, digest of the base spans, all spans, and of the values' owners and repositories the most."""
     found = candidates(docs.select("doc_id", "text", repository.alias("repository"), owner.alias("owner"))).drop("text")
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     some = found.where("size(base) + size(extra) > 0")
     verdict = judged(some, "repository", "owner")
-    with_ = some.join(verdict, "row").select("doc_id", "base", F.concat("base", "owned").alias("spans"), "n_live", "n_example")
-    without = found.where("size(base) + size(extra) = 0").select("doc_id", "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
+    with_ = some.join(verdict, "row").select("doc_id", "base", F.concat("base", "owned").alias("spans"), *COUNTS)
+    without = found.where("size(base) + size(extra) = 0").select("doc_id", "base", F.col("base").alias("spans"), *(F.lit(0).cast("long").alias(c) for c in COUNTS))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return with_.union(without).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort("spans")).alias("spans"), "n_live", "n_example")
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort("spans")).alias("spans"), *COUNTS)
 
 
 def redact(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the spans that look live masked; other documents are untouched."""
     # a document's own columns stay in a struct, so that no name can clash
-    found = candidates(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "text", repository.alias("repository"), owner.alias("owner")))
-    some = stored(found.where("size(base) + size(extra) > 0").withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = candidates(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "text", repository.alias("repository"), owner.alias("owner"))).drop("text")
+    # stored with the candidates, so that the patterns run once over each text
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    some = found.where("size(base) + size(extra) > 0").withColumn("text", F.col("doc.text"))
     verdict = judged(some, "repository", "owner").select("row", "live")
 
     def cut(so_far: Column, x: Column) -> Column:
@@ -135,8 +144,8 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SEC
 
 
 def by_source() -> tuple[Column, Column]:
-    """The documents table names no repositories: a source is an owner, each of its languages a repository."""
-    return F.concat_ws("/", "source", "lang"), F.col("source")
+    """The documents table names no repositories: a source is an owner, each of its documents a repository."""
+    return F.col("doc_id").cast("string"), F.col("source")
 
 
 def op4_secret_scan(spark, sf_dir):
@@ -155,16 +164,17 @@ SELECT row, {kind} AS kind, s + k AS start, s + k + len(m) AS "end", v FROM (
 
 
 OP4_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository FROM documents),
 b AS ({_sql_spans(0, "assign", ASSIGN, 2, "len(v) >= 6")} UNION ALL {_sql_spans(1, "access", ACCESS, 0, "len(v) >= 20")} UNION ALL {_sql_spans(2, "hex", HEX, 0, "len(v) >= 24")}),
 x AS ({_sql_spans(3, "mixed", MIXED, 0, "len(v) >= 24 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")}),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = x.row AND b.start < x."end" AND x.start < b."end")),
-o AS (SELECT v, count(DISTINCT owner) AS n FROM c JOIN d USING (row) GROUP BY v),
-j AS (SELECT c.*, n, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || "end" AS name FROM c JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT owner) AS n, count(DISTINCT (owner, repository)) AS r FROM c JOIN d USING (row) GROUP BY v),
+j AS (SELECT c.*, n, r, n <= {MAX_LIVE_OWNERS} AND r <= {MAX_LIVE_REPOSITORIES} AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || "end" AS name FROM c JOIN o USING (v)),
 a AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
-  coalesce(string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base, coalesce(string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR n = 1), '') AS spans,
-  count(*) FILTER (WHERE kind < 3 AND n <= {MAX_LIVE_OWNERS}) AS n_live, count(*) FILTER (WHERE kind < 3 AND n > {MAX_LIVE_OWNERS}) AS n_example FROM j GROUP BY row)
+  coalesce(string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base, coalesce(string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR live AND n = 1), '') AS spans,
+  count(*) FILTER (WHERE kind < 3 AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT live) AS n_example, max(n) AS most_owners, max(r) AS most_repositories FROM j GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example,
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repositories, 0)::BIGINT AS most_repositories
 FROM d LEFT JOIN a USING (row)
 """
