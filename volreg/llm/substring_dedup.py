@@ -4,18 +4,19 @@ A text is cut into units at line breaks and, inside lines, before words whose ha
 the least of their neighbourhood, so a passage that begins in the middle of a line is
 cut alike wherever it stands (whole lines alone would miss it). Units are normalised:
 their lower-cased letters and digits count, what stands between them does not. Hashed are
-whole lines of ``MIN_LINE_WORDS`` words or more, and the runs of neighbouring units that
-have just ``MIN_WORDS`` words or more, counted from each unit on and back from each, so
-that they cover every passage of so many words up to its first and last unit, and each is
-met whole in one earlier text. Digests are grouped over the corpus; the occurrence of the
-earliest rank (then the earliest place) stays, every other one is a duplicate and is
-removed. Duplicates that touch are one span; spans keep their offsets in the original text.
-A repeated paragraph goes line by line; of its lines, those that are too short stay unless
-they lie in a run.
-
-Cases. Null and empty texts have no units. Rows with equal rank are one text of that
-rank: their equal units at equal places are one occurrence and all stay. A null rank
-takes no part. Tables without rows give none. Columns besides those named are ignored.
+whole lines with a word, however short, and the runs of neighbouring units that have just
+``MIN_WORDS`` words or more, counted from each unit on and back from each, so that they
+cover every passage of so many words up to its first and last unit, and each is met whole
+in one earlier text. Digests are grouped over the corpus; the occurrence of the earliest
+rank (then the earliest place) stays, every other one is a duplicate and is removed.
+Duplicates that touch are one span; spans keep their offsets in the original text. A
+repeated paragraph goes line by line.
+
+Cases. Null and empty texts have no units. Rows with equal rank and text are one text:
+their equal units at equal places are one occurrence and all stay. Rows with equal rank
+and different texts are told apart by the hash of the text, the smaller first, and each
+loses its own spans only. A null rank takes no part. Tables without rows give none.
+Columns besides those named are ignored, and handed on by ``without``.
 """
 
 from __future__ import annotations
@@ -24,16 +25,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, record, stored, with_text
+from .common import map_batches, record, with_text
 from .wordkernel import LOWER, NOT_ALNUM, Points, mix, spans_hash, text_of_words, windows, words
 
 #: Words of a run of units that is no whole line, at least.
 MIN_WORDS = 24
-#: Words of a whole line, at least; shorter ones are held to be trivial.
-MIN_LINE_WORDS = 5
 #: A word begins a unit if its hash is the least of so many words on each side.
 REACH = 3
 
@@ -44,6 +43,8 @@ def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
     n = len(w.hash)
     of = text_of_words(w)
     pair = np.append(windows(w.hash, 2), w.hash[n - 1 :]) if n else w.hash
+    last = w.word_at[1:][np.diff(w.word_at) > 0] - 1
+    pair[last] = w.hash[last]  # whatever text comes next in the batch
     begins = np.ones(n, bool)
     for i in range(1, REACH + 1):
         if n > i:
@@ -63,8 +64,7 @@ def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
     a, z = np.append(a, back[back >= 0]), np.append(z, np.flatnonzero(back >= 0))
     one_text = of[unit[a]] == of[unit[z]]
     a, z = unit[a[one_text]], end[z[one_text]]
-    long_enough = line_end - line >= MIN_LINE_WORDS
-    both = np.unique(np.append(a, line[long_enough]) * (n + 1) + np.append(z, line_end[long_enough]))
+    both = np.unique(np.append(a, line) * (n + 1) + np.append(z, line_end))
     first, last = both // (n + 1), both % (n + 1)
     digest = mix(spans_hash(w.hash, first, last) + (last - first).astype(np.uint64))
     points = Points(w.data)
@@ -72,33 +72,39 @@ def units(batch: pa.RecordBatch, min_words: int = MIN_WORDS) -> pa.RecordBatch:
     zero, word_zero = points[w.text_at[text]], w.word_at[text]
     start, end = points[w.start[first]] - zero, points[w.end[last - 1]] - zero
     return record(
-        digest=digest.view(np.int64), rank=batch.column("rank").take(pa.array(text)),
+        digest=digest.view(np.int64), rank=batch.column("rank").take(pa.array(text)), key=batch.column("key").take(pa.array(text)),
         words=((first - word_zero) << 32 | (last - word_zero)).astype(np.int64), span=(start << 32 | end).astype(np.int64))
 
 
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(rank, start, end, n_words, kept_rank)``: the code points of each span to remove and the earliest rank that keeps of it."""
-    ranked = with_text(docs, F.col(rank).cast("long").alias("rank")).where("rank is not null")
-    each = map_batches(ranked, partial(units, min_words=min_words), "digest long, rank long, words long, span long")
-    firsts = each.groupBy("digest").agg(F.min(F.struct("rank", "words")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = each.join(firsts, "digest").where("rank <> first.rank or words <> first.words")
-    again = again.selectExpr("rank", "cast(words >> 32 as int) w0", "cast(words & 4294967295 as int) w1", "cast(span >> 32 as int) start", "cast(span & 4294967295 as int) end", "first.rank kept_rank").distinct()
+    """``(rank, start, end, n_words, kept_rank, key)``: the code points of each span to remove, the earliest rank that keeps of it, the hash of the text."""
+    ranked = with_text(docs, F.col(rank).cast("long").alias("rank"), _key().alias("key")).where("rank is not null")
+    each = map_batches(ranked, partial(units, min_words=min_words), "digest long, rank long, key long, words long, span long")
+    firsts = each.groupBy("digest").agg(F.min(F.struct("rank", "key", "words")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = each.join(firsts, "digest").where("rank <> first.rank or key <> first.key or words <> first.words")
+    again = again.selectExpr("rank", "key", "cast(words >> 32 as int) w0", "cast(words & 4294967295 as int) w1", "cast(span >> 32 as int) start", "cast(span & 4294967295 as int) end", "first.rank kept_rank").distinct()
     # each is a duplicate by itself; those that overlap or touch are one span; a partition holds one text's
-    order = Window.partitionBy("rank").orderBy("w0", "w1", "start", "end")
+    order = Window.partitionBy("rank", "key").orderBy("w0", "w1", "start", "end")
     runs = again.withColumn("new", F.coalesce(F.col("w0") > F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    found = runs.groupBy("rank", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min("kept_rank").alias("kept_rank"))
-    return found.select("rank", "start", "end", "n_words", "kept_rank")
+    found = runs.groupBy("rank", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min("kept_rank").alias("kept_rank"))
+    return found.select("rank", "start", "end", "n_words", "kept_rank", "key")
 
 
 def without(docs: DataFrame, runs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """``docs`` with the runs cut out of their texts."""
-    spans = runs.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("rank", "_rank")
-    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-                      lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])).alias("text")),
-                      lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    joined = docs.join(spans, docs[rank].cast("long") == spans["_rank"], "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    """``docs`` with the runs cut out of their texts; a row has the runs of its rank and its text's hash."""
+    spans = runs.groupBy("rank", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col(rank).cast("long").alias("rank"), _key().alias("key"))
+    text = F.col("doc.text")
+    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
+                      lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["text"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("text")),
+                      lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+    new = F.when(F.col("spans").isNull(), text).otherwise(cut)
+    return rows.join(spans, ["rank", "key"], "left").select(*((new if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op1_substring_dedup(spark, sf_dir):
-    return duplicate_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnsRenamed({"rank": "doc_id", "kept_rank": "kept_doc_id"})
+    return duplicate_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key").withColumnsRenamed({"rank": "doc_id", "kept_rank": "kept_doc_id"})
