@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Unit, storey, building, parcel: no chain of parents is longer.
-DEPTH = 4
+from .cloud import stored
 
 
 def children(objects: DataFrame) -> DataFrame:
@@ -14,19 +13,26 @@ def children(objects: DataFrame) -> DataFrame:
     return objects.where("parent_id is not null").groupBy(F.col("parent_id").alias("object_id")).agg(F.count("*").alias("n_children"), F.min_by("object_id", "seq").alias("first_child"), F.max_by("object_id", "seq").alias("last_child"))
 
 
-def ancestors(objects: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(objects: DataFrame) -> DataFrame:
     """``(object_id, distance, ancestor_id)``, nearest first; a parent that is absent ends the chain.
 
-    Each step is an equi-join of narrow columns; their number is the hierarchy's depth.
+    Each step is an equi-join of narrow columns, stored; steps go on until no chain goes
+    further. An object that is its own ancestor is an error.
     """
     link = objects.select("object_id", "parent_id")
     up = link.select(F.col("object_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    step = link.where("parent_id is not null").join(up, F.col("parent_id") == F.col("ancestor_id")).select("object_id", F.lit(1).alias("distance"), "ancestor_id", "next")
+    up = stored(up, "parents")
+    step = stored(link.where("parent_id is not null").join(up, F.col("parent_id") == F.col("ancestor_id")).select("object_id", F.lit(1).alias("distance"), "ancestor_id", "next"), "ancestors")
     out = step
-    for d in range(2, depth + 1):
-        step = step.where("next is not null").select("object_id", F.col("next").alias("wanted")).join(up, F.col("wanted") == F.col("ancestor_id")).select("object_id", F.lit(d).alias("distance"), "ancestor_id", "next")
+    while True:
+        go_on, own = step.agg(F.count("next"), F.max(F.when(F.col("ancestor_id") == F.col("object_id"), F.col("object_id")))).first()
+        if own is not None:
+            raise ValueError(f"{own} is its own ancestor")
+        if not go_on:
+            return out.drop("next")
+        wanted = step.where("next is not null").select("object_id", (F.col("distance") + 1).alias("distance"), F.col("next").alias("wanted"))
+        step = stored(wanted.join(up, F.col("wanted") == F.col("ancestor_id")).select("object_id", "distance", "ancestor_id", "next"), "ancestors")
         out = out.unionByName(step)
-    return out.drop("next")
 
 
 def descendants(objects: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def stats(objects: DataFrame) -> DataFrame:
     unit = F.col("kind") == "unit"
     base = objects.withColumns({"a": F.when(unit, area()), "v": F.when(unit, volume())})
     grouped = base.groupingSets([["kind"], ["provenance"], []], "kind", "provenance").agg(
-        F.grouping_id().alias("g"), F.count("*").alias("n"), F.sum("a").alias("unit_area_m2"), F.sum("v").alias("unit_volume_m3"), F.least(F.min("z_min"), F.min("z_max")).alias("z_low"), F.greatest(F.max("z_min"), F.max("z_max")).alias("z_high"))
+        F.grouping_id().alias("g"), F.count("*").alias("n"), F.bround(F.sum("a"), 2).alias("unit_area_m2"), F.bround(F.sum("v"), 2).alias("unit_volume_m3"), *([F.count("code").alias("n_codes")] if "code" in objects.columns else []), F.least(F.min("z_min"), F.min("z_max")).alias("z_low"), F.greatest(F.max("z_min"), F.max("z_max")).alias("z_high"))
     name = F.when(F.col("g") == 1, "kind").when(F.col("g") == 2, "provenance").otherwise("all")
-    return grouped.select(name.alias("dimension"), F.coalesce("kind", "provenance", F.lit("all")).alias("value"), "n", "unit_area_m2", "unit_volume_m3", "z_low", "z_high")
+    return grouped.select(name.alias("dimension"), F.coalesce("kind", "provenance", F.lit("all")).alias("value"), "n", "unit_area_m2", "unit_volume_m3", *(["n_codes"] if "code" in objects.columns else []), "z_low", "z_high")
 
 
 def extent(objects: DataFrame) -> DataFrame:

@@ -142,8 +142,9 @@ RULES = [geometry_validity, volumetric_overlap, orphan_findings, plan_containmen
 
 
 def validate(objects: DataFrame) -> DataFrame:
-    """All findings with the severity's rank; order by (rank, rule, object_a, object_b) to list them."""
-    return reduce(DataFrame.unionByName, (rule(objects) for rule in RULES)).withColumn("rank", lookup(F.col("severity"), SEVERITIES))
+    """All findings with the severity's rank; order by (rank, rule, object_a, object_b) to list them. Codes are judged where the register has them."""
+    rules = [*RULES, identifier_integrity] if "code" in objects.columns else RULES
+    return reduce(DataFrame.unionByName, (rule(objects) for rule in rules)).withColumn("rank", lookup(F.col("severity"), SEVERITIES))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

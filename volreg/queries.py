@@ -30,7 +30,7 @@ def query(sql: str | None = None, on_register: bool = True):
 
 
 @query("""SELECT CASE grouping(kind, provenance) WHEN 1 THEN 'kind' WHEN 2 THEN 'provenance' ELSE 'all' END AS dimension, coalesce(kind, provenance, 'all') AS value, count(*) AS n,
-  sum((x1-x0)*(y1-y0)) FILTER (WHERE kind='unit') AS unit_area_m2, sum((x1-x0)*(y1-y0)*(z_max-z_min)) FILTER (WHERE kind='unit') AS unit_volume_m3,
+  round_even(sum((x1-x0)*(y1-y0)) FILTER (WHERE kind='unit'), 2) AS unit_area_m2, round_even(sum((x1-x0)*(y1-y0)*(z_max-z_min)) FILTER (WHERE kind='unit'), 2) AS unit_volume_m3,
   least(min(z_min), min(z_max)) AS z_low, greatest(max(z_min), max(z_max)) AS z_high FROM objects GROUP BY GROUPING SETS ((kind), (provenance), ())""")
 def register_stats(spark, sf):
     return reg.stats(register(spark, sf))
