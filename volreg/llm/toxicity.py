@@ -2,41 +2,49 @@
 
 A document is toxic if any of its sentences is: P = 1 - (1 - leak) * product(1 - p), where
 p is a logistic score of a sentence's words and the leak stands for labels that no
-sentence explains. Only document labels are known. Words, and
-beginnings of words, that go with toxic labels more than chance make the dictionary; then weights, offset and leak are fitted together. The
-offending sentences are those with the highest p.
+sentence explains. Only document labels are known. Words, and beginnings of words, that
+go with toxic labels more than chance (``MIN_Z``) and are not too rare among them
+(``MIN_SHARE``) make the dictionary; then weights, offset and leak are fitted together. The offending sentences are
+those with the highest p.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows, those of the smallest hashes of their
-doc_id; every document is scored whole. Sentences end at . ! ? and line breaks; words are
-runs of lower-cased letters and digits.
+doc_id; every document is scored whole. Their texts are stored, then their dictionary
+words, a row for each document. For each step of the fit every task adds up likelihood and gradient over
+its own documents, vectors of the dictionary's length, and the driver adds the tasks'
+sums and takes a quasi-Newton step; all words of a document are in one row, so noisy-or
+is exact. Sentences end at . ! ? and line breaks; words are runs of lower-cased letters
+and digits.
 
 Cases. A null or empty text has no sentence and gets the leak as score. Rows with equal
-doc_id are scored each for itself; repeated labels count once (the largest), null labels
-not at all. Without labels of both kinds there is no dictionary and the score is the
-labels' mean, or 0 without any. A null doc_id is scored. Other columns are ignored.
+doc_id are scored and fitted each for itself; repeated labels count once (the largest),
+null labels not at all. Without labels of both kinds there is no dictionary and the score
+is the labels' mean, or 0 without any. A null doc_id is scored. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, on_workers, record, split_batch, with_text
-from .wordkernel import NOT_ALNUM, Words, prefixes, text_of_words, words
+from .common import map_batches, on_workers, record, split_batch, stored, with_text
+from .wordkernel import NOT_ALNUM, Points, Words, prefixes, text_of_words, words
 
 MAX_LABELLED = 100_000
-MAX_DICTIONARY = 2048
-#: A dictionary word stands in so many toxic documents at least, and its z score is so high.
-MIN_TOXIC, MIN_Z = 3, 4.0
+#: A dictionary word stands in so many of the toxic documents at least, in such a share of
+#: them, and its z score is so high. By the share, the dictionary has at most 200 times the
+#: mean number of different words and beginnings of a toxic document, whatever the sample.
+MIN_TOXIC, MIN_SHARE, MIN_Z = 3, 0.005, 4.0
 #: Bytes of the beginnings of words that count besides the words: inflected forms share them.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Tasks of a step of the fit, steps at most, and the gradient (a document's mean) that ends it, ten times the least gain.
+TASKS, STEPS, FLAT = 16, 60, 1e-4
+PENALTY = 0.01
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
 
@@ -55,21 +63,25 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(texts: pa.Array, dictionary: np.ndarray):
-    """Distinct ``(text, sentence, word number)`` of dictionary words, and the texts' words and sentences."""
+    """Distinct ``(text, sentence, word number)`` of dictionary words, and the texts' words and sentences, numbered over all texts."""
     w = words(pc.utf8_lower(texts.fill_null("")), NOT_ALNUM)
-    breaks = np.concatenate([[0], np.cumsum(_ENDS[w.data])])
-    sentence = breaks[w.start]
-    h, word = _features(w)
+    of = text_of_words(w)
+    sentence = np.searchsorted(np.flatnonzero(_ENDS[w.data]), w.start) + of
     if not len(dictionary):
         return np.zeros((0, 3), np.int64), w, sentence
-    sieve = np.zeros(1 << 16, bool)
-    sieve[dictionary & np.uint64(0xFFFF)] = True
-    maybe = np.flatnonzero(sieve[h & np.uint64(0xFFFF)])
-    number = np.minimum(np.searchsorted(dictionary, h[maybe]), len(dictionary) - 1)
-    hit = dictionary[number] == h[maybe]
-    number, word = number[hit], word[maybe[hit]]
-    triple = np.unique(np.stack([text_of_words(w)[word], sentence[word], number], 1), axis=0)
-    return triple, w, sentence
+    sieve = np.zeros(1 << 20, bool)
+    sieve[dictionary >> np.uint64(44)] = True
+    keys = [np.zeros(0, np.int64)]
+    for n in (0, *BEGINNINGS):
+        h, word = prefixes(w, n) if n else (w.hash, np.arange(len(w.hash)))
+        maybe = np.flatnonzero(sieve[h >> np.uint64(44)])
+        number = np.minimum(np.searchsorted(dictionary, h[maybe]), len(dictionary) - 1)
+        hit = dictionary[number] == h[maybe]
+        keys.append(sentence[word[maybe[hit]]] * len(dictionary) + number[hit])
+    key = np.unique(np.concatenate(keys))
+    found = key // len(dictionary)
+    text = of[np.minimum(np.searchsorted(sentence, found), max(0, len(of) - 1))] if len(key) else key
+    return np.stack([text, found, key % len(dictionary)], 1), w, sentence
 
 
 def _labelled(batch: pa.RecordBatch, ids: np.ndarray, toxic: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -87,74 +99,136 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()  # the documented bound
     rows.sort()
     ids, toxic = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    n, positive = len(ids), int(toxic.sum())
-    if not 0 < positive < n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, positive / n if n else 0.0)
-    sample = spark.sparkContext.broadcast((ids, toxic))
-
-    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in split_batch(whole):
-                part, y = _labelled(part, *sample.value)
-                if part.num_rows:
-                    w = words(pc.utf8_lower(part.column("text")), NOT_ALNUM)
-                    h, word = _features(w)
-                    of = text_of_words(w)[word]
-                    order = np.lexsort((of, h))
-                    h, of = h[order], of[order]
-                    once = np.ones(len(h), bool)
-                    once[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                    h, of = h[once], of[once]
-                    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-                    tox = np.add.reduceat(y[of], at) if len(at) else y[:0]
-                    yield record(word=h[at].view(np.int64), n=np.diff(np.append(at, len(h))).astype(np.int64), toxic=tox)
-
-    counts = docs.mapInArrow(document_counts, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    rate = positive / n
-    z = (F.col("toxic") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
-    best = counts.where(f"toxic >= {MIN_TOXIC}").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_DICTIONARY)
-    dictionary = np.sort(np.array([r.word for r in best.select("word").collect()], np.int64).view(np.uint64))
+    positive = int(toxic.sum())
+    if not 0 < positive < len(ids):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, positive / len(ids) if rows else 0.0)
+    known = spark.sparkContext.broadcast((ids, toxic))
+
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch, y = _labelled(batch, *known.value)
+        return record(toxic=pa.array(y), text=batch.column("text"))
+
+    # bounded rows, read by each step below instead of the corpus
+    sample = stored(map_batches(docs, labelled, "toxic long, text string").repartition(TASKS), "labelled")
+
+    def once(text: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Each word once for each text that has it."""
+        order = np.lexsort((text, word))
+        text, word = text[order], word[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+        return word[new]
+
+    def toxic_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = words(pc.utf8_lower(batch.column("text")), NOT_ALNUM)
+        h, word = _features(w)
+        found, times = np.unique(once(text_of_words(w)[word], h), return_counts=True)
+        return record(word=found.view(np.int64), toxic=times.astype(np.int64))
+
+    frequent = map_batches(sample.where("toxic = 1"), toxic_words, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * positive))
+    rows = sorted((int(np.int64(r.word).view(np.uint64)), r.toxic) for r in frequent.collect())
+    candidates, of_toxic = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    shared = spark.sparkContext.broadcast(candidates)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value) + 1, np.int64)
+        for batch in batches:
+            for part in split_batch(batch):
+                triple, _, _ = _found(part.column("text"), shared.value)
+                total[:-1] += np.bincount(once(triple[:, 0], triple[:, 2]), minlength=len(shared.value))
+                total[-1] += part.num_rows
+        yield record(n=pa.array([total.tobytes()], pa.binary()))
+
+    n = sum(np.frombuffer(r.n, np.int64) for r in sample.mapInArrow(documents, "n binary").collect())  # a row for each task
+    m, n = n[-1], n[:-1]
+    rate = positive / len(ids)
+    dictionary = candidates[(of_toxic - rate * n) / np.sqrt(n * rate * (1 - rate) + 1) >= MIN_Z]
+    if not len(dictionary):
+        return Model(dictionary, np.zeros(0), -20.0, rate)
     shared = spark.sparkContext.broadcast(dictionary)
 
     def instances(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch, _ = _labelled(batch, *sample.value)
+        """The words of each document's sentences, -1 before each sentence."""
         triple, _, _ = _found(batch.column("text"), shared.value)
-        return record(doc_id=batch.column("doc_id").cast(pa.int64()).take(pa.array(triple[:, 0])), sentence=triple[:, 1].astype(np.int64), word=triple[:, 2].astype(np.int64))
-
-    def noisy_or(part: pd.DataFrame) -> pd.DataFrame:
-        weights, offset, leak = ascend(part, ids, toxic, len(dictionary))
-        return pd.DataFrame({"values": [[*weights.tolist(), offset, leak]]})
-
-    # sentences with dictionary words, of the bounded sample only
-    fitted = map_batches(docs, instances, "doc_id long, sentence long, word long").groupBy(F.lit(0).alias("all")).applyInPandas(noisy_or, "values array<double>").collect()
-    if not fitted:
-        return Model(dictionary, np.zeros(len(dictionary)), -20.0, rate)
-    values = np.array(fitted[0][0])
-    return Model(dictionary, values[:-2], float(values[-2]), float(values[-1]))
-
-
-def ascend(part: pd.DataFrame, ids: np.ndarray, toxic: np.ndarray, size: int, rounds: int = 300) -> tuple[np.ndarray, float, float]:
-    """Weights, offset and leak of the greatest likelihood with a small penalty, by Adam's steps."""
-    part = part.drop_duplicates()
-    document = np.searchsorted(ids, part["doc_id"].to_numpy())
-    pair, sentence = np.unique(np.stack([document, part["sentence"].to_numpy()], 1), axis=0, return_inverse=True)
-    sentence, of = sentence.ravel(), pair[:, 0]
-    word = part["word"].to_numpy()
-    x = np.concatenate([np.full(size, 1.0), [-1.0, np.log(0.05)]])
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, rounds + 1):
-        logit = np.bincount(sentence, x[word], len(of)) + x[-2]
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        leak = 1 / (1 + np.exp(-x[-1]))
-        none = np.log1p(-leak) + np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(ids))
-        none = np.minimum(none, -1e-9)
-        # d log-likelihood / d none: -1 where clean is right; toxic documents pull by their odds
-        pull = np.where(toxic == 1, -np.exp(none) / -np.expm1(none), 1.0)
-        slope = -p * pull[of]
-        gradient = np.concatenate([np.bincount(word, slope[sentence], size) - 0.01 * x[:-2], [slope.sum(), (-leak * pull).sum()]]) / len(ids)
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        x += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return x[:-2], float(x[-2]), float(1 / (1 + np.exp(-x[-1])))
+        new = np.ones(len(triple), bool)
+        new[1:] = triple[1:, 1] != triple[:-1, 1]
+        flat = np.insert(triple[:, 2], np.flatnonzero(new), -1)
+        ends = np.searchsorted(triple[:, 0], np.arange(batch.num_rows + 1))
+        at = ends + np.append(0, np.cumsum(new))[ends]
+        return record(toxic=batch.column("toxic"), words=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32))))
+
+    found = stored(map_batches(sample, instances, "toxic long, words array<int>"), "instances")
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        at = spark.sparkContext.broadcast(x)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(x) + 1)
+            for batch in batches:
+                lists = batch.column("words")
+                flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                word = flat >= 0
+                total += likelihood(batch.column("toxic").to_numpy(), of[word], np.cumsum(~word)[word], flat[word], at.value)
+            yield record(sums=pa.array([total.tobytes()], pa.binary()))
+
+        total = sum(np.frombuffer(r.sums) for r in found.mapInArrow(sums, "sums binary").collect())  # a row for each task
+        at.destroy()
+        weights = np.append(x[:-2], [0.0, 0.0])
+        return -(total[0] - PENALTY / 2 * (weights @ weights)) / m, -(total[1:] - PENALTY * weights) / m
+
+    x = least(value, np.concatenate([np.full(len(dictionary), 1.0), [-1.0, np.log(0.05)]]))
+    return Model(dictionary, x[:-2], float(x[-2]), float(1 / (1 + np.exp(-x[-1]))))
+
+
+def likelihood(toxic: np.ndarray, of: np.ndarray, sentence: np.ndarray, word: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The log-likelihood of documents and its gradient by ``x`` (weights, offset, the leak's log-odds), one after another.
+
+    ``of``, ``sentence`` and ``word`` have a row for each dictionary word of a sentence, by document and sentence.
+    """
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (sentence[1:] != sentence[:-1])
+    group, document = np.cumsum(new) - 1, of[new]
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(group, x[word], len(document)) + x[-2], -30, 30)))
+    leak = 1 / (1 + np.exp(-x[-1]))
+    none = np.log1p(-leak) + np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(toxic))
+    none = np.minimum(none, -1e-9)
+    value = np.where(toxic == 1, np.log(-np.expm1(none)), none).sum()
+    # clean documents pull against any sentence, toxic ones for theirs by their odds
+    pull = np.where(toxic == 1, -np.exp(none) / -np.expm1(none), 1.0)
+    slope = -p * pull[document]
+    return np.concatenate([[value], np.bincount(word, slope[group], len(x) - 2), [slope.sum(), (-leak * pull).sum()]])
+
+
+def least(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 8) -> np.ndarray:
+    """A least point of ``value`` (value and gradient) by the limited-memory quasi-Newton method with shrinking steps."""
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(g).max() < FLAT:
+            break
+        d, factors = -g, []
+        for s, y in reversed(past):
+            factors.append((s @ d) / (s @ y))
+            d = d - factors[-1] * y
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.abs(g).max()
+        for (s, y), a in zip(past, reversed(factors), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = min(1.0, 3 / max(1e-9, np.abs(d).max()))  # no weight moves by more than 3 at once
+        while True:
+            new, g_new = value(x + step * d)
+            if new <= f + 1e-4 * step * (g @ d) or step < 1e-3:
+                break
+            step /= 4
+        if new > f:
+            break
+        s, y = step * d, g_new - g
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+        done = f - new < FLAT / 10
+        x, f, g = x + s, new, g_new
+        if done:
+            break
+    return x
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", threshold: float = 0.3) -> DataFrame:
@@ -181,7 +255,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label:
         start, end = [None] * n, [None] * n
         if worst:
             original = words(batch.column("text"), NOT_ALNUM)  # the same words as in lower case
-            points = np.concatenate([[0], np.cumsum((original.data & 0xC0) != 0x80)])
+            points = Points(original.data)
             for r, (_, s) in worst.items():
                 a, b = w.word_at[r], w.word_at[r + 1]
                 x, y = a + np.searchsorted(sentence[a:b], s), a + np.searchsorted(sentence[a:b], s, "right")
