@@ -40,12 +40,16 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return _total(ring, lambda e: (e["x0"] + e["x1"]) * cross(e)) / six, _total(ring, lambda e: (e["y0"] + e["y1"]) * cross(e)) / six
 
 
+def on_edge(e: Column, x: Column, y: Column, slack: float = 1e-9) -> Column:
+    along = F.abs((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])) <= slack
+    return along & x.between(F.least(e["x0"], e["x1"]) - slack, F.greatest(e["x0"], e["x1"]) + slack) & y.between(F.least(e["y0"], e["y1"]) - slack, F.greatest(e["y0"], e["y1"]) + slack)
+
+
 def contains(ring: Column, x: Column, y: Column, slack: float = 1e-9) -> Column:
     """Inside by counting crossings, or on the border."""
     crossing = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) + e["x0"])
-    on = lambda e: (F.abs((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])) <= slack) & x.between(F.least(e["x0"], e["x1"]) - slack, F.greatest(e["x0"], e["x1"]) + slack) & y.between(F.least(e["y0"], e["y1"]) - slack, F.greatest(e["y0"], e["y1"]) + slack)
     odd = F.size(F.filter(edges(ring), lambda e: F.coalesce(crossing(e), F.lit(False)))) % 2 == 1
-    return odd | F.exists(edges(ring), on)
+    return odd | F.exists(edges(ring), lambda e: on_edge(e, x, y, slack))
 
 
 def orientation(ring: Column, shortest: float = 0.3) -> Column:

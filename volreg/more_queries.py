@@ -260,7 +260,7 @@ def plan_levels(spark, sf):
     return plan2d.stacked(plan2d.expanded(plan2d.buildings(parsed_plans(spark, sf), "plan_id"), "plan_id"), "plan_id")
 
 
-@query(_LEVELS + " SELECT k AS plan_id, 'B-01' AS building, level, CASE WHEN level < 0 THEN 'parking' ELSE '' END AS use, z_max - h AS z_min, z_max FROM st", False)
+@query(_LEVELS + " SELECT k AS plan_id, 'B-01' AS building, level, CASE WHEN level < 0 THEN 'parking' ELSE 'residential' END AS use, z_max - h AS z_min, z_max FROM st", False)
 def storey_levels(spark, sf):
     return plan_levels(spark, sf).select("plan_id", "building", "level", "use", "z_min", "z_max")
 
@@ -280,11 +280,83 @@ def corridor_sweep(spark, sf):
     return s.select("plan_id", "part_no", "length", F.abs(polygons.signed_area(F.col("ring"))).alias("area_m2"), "z_min", "z_max")
 
 
-@query()
+_SVG = """, d AS (SELECT k, level, CASE WHEN level > 0 THEN '160.0' ELSE '80.0' END AS w, CASE WHEN level > 0 THEN 4 ELSE 2 END AS n FROM st),
+room AS (SELECT k, level, string_agg('<polygon points="' || x || '.0,0.0 ' || (x + 80) || '.0,0.0 ' || (x + 80) || '.0,-100.0 ' || x || '.0,-100.0" fill="#ffffff" stroke="black"/><text x="' || (x + 40) || '.0" y="-50.0">' || CASE WHEN level < 0 THEN 'Parking ' || level WHEN level = 0 THEN 'Shop' ELSE 'Flat ' || level || '-' || (x // 80 + 1) END || '</text>', '' ORDER BY x) AS s FROM d, (VALUES (0), (80)) r(x) WHERE x = 0 OR level > 0 GROUP BY 1, 2)
+SELECT k AS plan_id, 'B-01' AS building, level, '<svg xmlns="http://www.w3.org/2000/svg">' || array_to_string(list_transform(range(0, n + 1), lambda i: '<line x1="' || 50 * i || '.0" y1="0.0" x2="' || 50 * i || '.0" y2="-100.0" stroke="#cccccc"/>'), '')
+ || array_to_string(list_transform(['0.0', '-50.0', '-100.0'], lambda y: '<line x1="0.0" y1="' || y || '" x2="' || w || '" y2="' || y || '" stroke="#cccccc"/>'), '') || s || '<path d="M0.0 20.0 h50.0" stroke="black"/><text class="scale">5 m</text><path class="north" d="M' || w || ' -100.0 v-20 l-4 8 m4 -8 l4 8" stroke="black"/></svg>' AS svg FROM d JOIN room USING (k, level)"""
+
+
+@query(_LEVELS + _SVG, False)
 def plan_svg(spark, sf):
     return plan2d.drawing(plan2d.units(plan_levels(spark, sf), "plan_id"), "plan_id")
 
 
+# ---- plans that become registers, and plans with faults
+
+
+def _documents(spark, sf, text):
+    n = F.col("p_size")
+    put = lambda t, mark, value: F.replace(t, F.lit(mark), value.cast("string"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("plan_id"), put(put(put(text, "%G", n % 4), "%R", 1 + n % 5), "%O", F.when(n % 3 == 0, F.lit("")).otherwise(F.lit('"outline": [[22, 2], [34, 2], [34, 12], [22, 12]], '))).alias("plan"))
+
+
+_TOWER = """{"site": {"name": "S", "lat": 18.5, "lon": 73.8}, "parcels": [{"id": "", "owner": "A", "survey_no": "12/3", "land_use": "res", "boundary": [[0, 0], [20, 0], [20, 20], [0, 20]]}, {"boundary": [[20, 0], [40, 0], [40, 20], [20, 20]]}],
+ "buildings": [{"name": "Tower", "owner": "B", "ground_level": %G, %O"floors": [{"level": 0, "height": 4, "use": "retail", "units": [{"name": "SHOP", "owner": "C", "boundary": [[22, 2], [34, 2], [34, 12], [22, 12]]}]},
+  {"level": 1, "repeat_to": %R, "units": [{"name": "FLAT-{n}01", "owner": "Owner {n}", "boundary": [[22, 2], [28, 2], [28, 12], [22, 12]]}, {"kind": "office", "boundary": [[28, 2], [34, 2], [34, 12], [28, 12]]}]}, {"level": -1, "height": 2.5}]}],
+ "infrastructure": [{"name": "Metro", "kind": "metro", "alignment": [[0, -5], [40, -5]], "width": 6, "height": 5, "invert_levels_m": [-20, -18]}]}"""
+
+_TOWERS = """WITH d AS (SELECT p_partkey AS plan_id, (p_size % 4)::DOUBLE AS g, 1 + p_size % 5 AS r, p_size % 3 <> 0 AS o FROM part),
+f AS (SELECT plan_id, g, r, i, CASE WHEN i < 0 THEN g - 2.5 WHEN i = 0 THEN g ELSE g + 4 + 3 * (i - 1) END AS z0, CASE WHEN i < 0 THEN g WHEN i = 0 THEN g + 4 ELSE g + 4 + 3 * i END AS z1, printf('B-01/L%+03d', i) AS sid, CASE WHEN i < 0 THEN 'U' ELSE 'B' END AS st, o FROM d, LATERAL (SELECT unnest(range(-1, r + 1))::INT AS i)),
+rows AS (SELECT plan_id, 'P-01' AS object_id, 'parcel' AS kind, NULL AS parent_id, '12/3' AS name, 'A' AS owner, 'res' AS use, 0 AS level, 'G' AS stratum, 'existing_record' AS provenance, 1.0 AS confidence, 400.0 AS area, 0.0 AS x0, -6.0 AS z_min, 0.001 AS z_max FROM d
+UNION ALL SELECT plan_id, 'P-02', 'parcel', NULL, '', '', '', 0, 'G', 'existing_record', 1, 400, 20, -6, 0.001 FROM d
+UNION ALL SELECT plan_id, 'B-01', 'building', 'P-02', 'Tower', 'B', '', 0, 'G', 'approved_plan', 1, CASE WHEN o THEN 120 END, CASE WHEN o THEN 22 ELSE 21.65 END, g - 2.5, g + 4 + 3 * r FROM d
+UNION ALL SELECT plan_id, sid, 'storey', 'B-01', CASE WHEN i < 0 THEN 'Basement ' || -i WHEN i = 0 THEN 'Ground floor' ELSE 'Floor ' || i END, '', CASE WHEN i < 0 THEN 'parking' WHEN i = 0 THEN 'retail' ELSE 'residential' END, i, st, 'approved_plan', 1, CASE WHEN o THEN 120 END, CASE WHEN o THEN 22 ELSE 21.65 END, z0, z1 FROM f
+UNION ALL SELECT plan_id, sid || '/SHOP', 'unit', sid, 'SHOP', 'C', 'retail', i, st, 'approved_plan', 1, 120, 22, z0, z1 FROM f WHERE i = 0
+UNION ALL SELECT plan_id, sid || '/FLAT-' || i || '01', 'unit', sid, 'FLAT-' || i || '01', 'Owner ' || i, 'residential', i, st, 'approved_plan', 1, 60, 22, z0, z1 FROM f WHERE i > 0
+UNION ALL SELECT plan_id, sid || '/UNIT-2', 'unit', sid, 'UNIT-2', '', 'office', i, st, 'approved_plan', 1, 60, 28, z0, z1 FROM f WHERE i > 0
+UNION ALL SELECT plan_id, 'B-01/AIR', 'air_rights', 'P-02', 'Air rights above Tower', 'B', '', 0, 'A', 'derived', 0.9, CASE WHEN o THEN 120 END, CASE WHEN o THEN 22 ELSE 21.65 END, g + 4 + 3 * r, g + 34 + 3 * r FROM d
+UNION ALL SELECT plan_id, 'INF-01', 'infrastructure', NULL, 'Metro', '', 'metro', 0, 'I', 'surveyed', 1, 240, 0, -20, -13 FROM d)
+SELECT plan_id, object_id, kind, parent_id, name, owner, use, level, stratum, provenance, confidence::DOUBLE AS confidence, area::DOUBLE AS area, x0::DOUBLE AS x0, z_min::DOUBLE AS z_min, z_max::DOUBLE AS z_max FROM rows"""
+
+
+@query(_TOWERS, False)
+def plan_register(spark, sf):
+    p = plan2d.register_parts(plan2d.parse(_documents(spark, sf, F.lit(_TOWER))), "plan_id")
+    ring = F.col("rings")[0]
+    x0 = F.bround(F.array_min(F.transform(ring, lambda q: q["x"])), 6)
+    # outlines that are derived have round corners, so their area is not told
+    return p.select("plan_id", "object_id", "kind", "parent_id", "name", "owner", "use", "level", "stratum", "provenance", "confidence", F.when(x0 != 21.65, F.bround(F.abs(polygons.signed_area(ring)), 6)).alias("area"), x0.alias("x0"), "z_min", "z_max")
+
+
+@query("SELECT p_partkey AS plan_id, 2 AS parcels, 1 AS buildings, 1 AS corridors, (3 + p_size % 5)::BIGINT AS storeys, (3 + 2 * (p_size % 5))::BIGINT AS units, 40.0::DOUBLE AS corridor_m FROM part", False)
+def plan_summary(spark, sf):
+    return plan2d.summary(plan2d.parse(_documents(spark, sf, F.lit(_TOWER))), "plan_id")
+
+
+_FAULTS = [
+    ('"lat": 18.5', '"lat": 98.5', "site: position out of range"),
+    ('[[0, 0], [20, 0], [20, 20], [0, 20]]', '[[0, 0], [20, 0]]', "parcel P-01: a boundary needs at least 3 corner points, got 2"),
+    ('[20, 0], [40, 0], [40, 20], [20, 20]', '[20, 0], [40], [40, 20], [20, 20]', "parcel P-02: corner 1 should be a pair"),
+    ('[20, 0], [40, 0], [40, 20], [20, 20]', '[20, 0], [40, 0], [40, "x"], [20, 20]', "parcel P-02: corner 2 has a non-numeric coordinate"),
+    ('[20, 0], [40, 0], [40, 20], [20, 20]', '[20, 0], [40, 0], [30, 0]', "parcel P-02: the corner points do not enclose an area"),
+    ('"level": 0, ', "", "building B-01: every floor needs a 'level'"),
+    ('"level": 1, "repeat_to": %R', '"level": 3, "repeat_to": 1', "building B-01, level 3: 'repeat_to' (1) cannot be below 'level'"),
+    ('"height": 2.5', '"height": 1.25', "building B-01, level -1: floor height 1.25 m is outside 1.8-12 m"),
+    ('"level": 1, "repeat_to"', '"level": 0, "repeat_to"', "building B-01: level 0 is defined twice"),
+    ('"kind": "office", "boundary": [[28, 2], [34, 2], [34, 12], [28, 12]]', '"kind": "office", "boundary": [[28, 2]]', "building B-01, level 1, unit UNIT-2: a boundary needs at least 3 corner points, got 1"),
+    ('"name": "Tower", ', '"name": "Tower", "parcel": "Q-7", ', "building B-01: 'parcel' refers to Q-7, which is not in the parcels list"),
+    ('[[0, -5], [40, -5]]', '[[0, -5]]', "infrastructure INF-01: 'alignment' needs at least 2 points"),
+]
+
+
+@query("SELECT p_partkey AS plan_id, " + "CASE p_partkey % 13 " + " ".join(f"WHEN {i} THEN '{said.replace(chr(39), chr(39) * 2)}'" for i, (_, _, said) in enumerate(_FAULTS)) + " END AS problem FROM part", False)
+def plan_errors(spark, sf):
+    text = F.lit(_TOWER)
+    for i, (old, new, _) in enumerate(_FAULTS):
+        text = F.when(F.col("p_partkey") % 13 == i, F.lit(_TOWER.replace(old, new, 1))).otherwise(text)
+    return plan2d.parse(_documents(spark, sf, text)).select("plan_id", "problem")
+
+
 # ---- general polygons: an L, a triangle and a turned square from each part
 
 _SHAPES = "SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part"
