@@ -233,7 +233,7 @@ def test_plan_stacking_and_errors(spark):
     good = json.dumps({"site": {"name": "s", "lat": 18.5, "lon": 73.8}, "parcels": [{"id": "P", "boundary": ring}], "buildings": [{"floors": floors}], "infrastructure": [{"alignment": [[0, 0], [0, 10]]}]})
     bad = json.dumps({"site": {"lat": 1, "lon": 2}, "parcels": [{"boundary": [[0, 0]]}]})
     p = plan2d.parse(spark.createDataFrame([(1, good), (2, bad), (3, json.dumps({"site": {"lat": 1, "lon": 2}}))], "k long, plan string"))
-    assert {r.k: r.problem for r in p.collect()} == {1: None, 2: "parcels: boundary needs three points", 3: "needs parcels or buildings"}
+    assert {r.k: r.problem for r in p.collect()} == {1: None, 2: "parcel P-01: a boundary needs at least 3 corner points, got 1", 3: "needs parcels or buildings"}
     levels = plan2d.stacked(plan2d.expanded(plan2d.buildings(p, "k"), "k"), "k")
     z = {r.level: (round(r.z_min, 3), round(r.z_max, 3)) for r in levels.collect()}
     assert z == {-1: (-3.0, 0.0), 0: (0.0, 3.6), 1: (3.6, 6.6), 2: (6.6, 9.6), 3: (9.6, 12.6)}

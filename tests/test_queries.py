@@ -2,7 +2,7 @@
 
 import pytest
 
-from volreg import more_queries, register_queries, solid_queries  # noqa: F401
+from volreg import more_queries, register_queries, solid_queries, survey_queries  # noqa: F401
 from volreg.queries import ORACLE_SQL, QUERIES
 
 from .conftest import SMALL, same_rows

@@ -91,13 +91,6 @@ def raster_decimate(spark, sf):
     return raster.decimated(surface(spark, sf), 100)
 
 
-@query()
-def ground_filter(spark, sf):
-    s = points(spark, sf)
-    terrain = raster.ground(s, 0.0, 0.0, 1.0, 6)
-    return raster.classified(s, terrain, 0.0, 0.0, 1.0).groupBy("flag", "is_ground").agg(F.count("*").alias("n"))
-
-
 @query(_POINTS + "SELECT b, least(floor(z / 0.5), 39)::INT AS bin, count(*) AS n FROM pts WHERE z BETWEEN 0 AND 20 GROUP BY 1, 2", False)
 def height_histogram(spark, sf):
     return cloud.histogram(points(spark, sf), "b", 0.0, 0.5, 40)
@@ -109,11 +102,11 @@ def percentile_levels(spark, sf):
     return out
 
 
-@query(_POINTS + """, bins AS (SELECT b, least(floor(z / 0.5), 39)::INT AS bin, count(*) AS n FROM pts WHERE z BETWEEN 0 AND 20 GROUP BY 1, 2), c AS (SELECT b, bin, n - avg(n) OVER (PARTITION BY b) AS v FROM bins),
+@query(_POINTS + """, sb AS (SELECT b, least(floor(z / 0.5), 39)::INT AS bin, count(*) AS n FROM pts WHERE z BETWEEN 0 AND 20 GROUP BY 1, 2), bins AS (SELECT g.b, g.bin, coalesce(n, 0) AS n FROM (SELECT b, unnest(range(0, 40))::INT AS bin FROM (SELECT DISTINCT b FROM sb)) g LEFT JOIN sb USING (b, bin)), c AS (SELECT b, bin, n - avg(n) OVER (PARTITION BY b) AS v FROM bins),
 s AS (SELECT x.b, y.bin - x.bin AS lag, sum(x.v * y.v) AS s FROM c x JOIN c y ON x.b = y.b AND y.bin - x.bin BETWEEN 3 AND 12 GROUP BY 1, 2), e AS (SELECT b, sum(v * v) AS e FROM c GROUP BY 1)
 SELECT b, arg_max(lag, (s, -lag)) AS lag, round_even(max(s) / any_value(e), 6) AS strength FROM s JOIN e USING (b) WHERE e > 0 GROUP BY b""", False)
 def autocorr_pitch(spark, sf):
-    return cloud.pitch(cloud.histogram(points(spark, sf), "b", 0.0, 0.5, 40), "b", 3, 12).withColumn("strength", F.bround("strength", 6))
+    return cloud.pitch(cloud.histogram(points(spark, sf), "b", 0.0, 0.5, 40), "b", 3, 12, 40).withColumn("strength", F.bround("strength", 6))
 
 
 _CLOUD = "WITH RECURSIVE p AS (SELECT c_custkey AS pid, (c_custkey % 37)::DOUBLE / 4 + (c_custkey % 3) * 20 AS x, (c_custkey * 7 % 41)::DOUBLE / 4 AS y, (c_custkey % 11)::DOUBLE / 8 AS z FROM customer)"
@@ -168,12 +161,6 @@ def ransac_planes(spark, sf):
     return cloud.planes(p, "b").select("b", "plane", *(F.bround(c, 4).alias(c) for c in ("nx", "ny", "nz", "d")), "n_in", "n")
 
 
-@query()
-def storey_segmentation(spark, sf):
-    b = reg.of_kind(register(spark, sf), "building").select(F.col("object_id").alias("b"), F.lit(0.0).alias("ground"), F.col("z_max").alias("eave"), F.col("floor_height_m").alias("pitch_m"), F.col("facade_periodicity").alias("strength"))
-    return cloud.storeys(b.select("b", "ground", "eave"), b.select("b", "pitch_m", "strength"))
-
-
 # ---- scores
 
 

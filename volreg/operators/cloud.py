@@ -105,11 +105,18 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     of_core = pairs.join(core.select(F.col("pid").alias("other")), "other")
     labels = connected(core, of_core.join(core, "pid").where("pid < other"))
     home = of_core.groupBy("pid").agg(F.min_by("other", F.struct("d2", "other")).alias("core")).join(labels.select(F.col("pid").alias("core"), "label"), "core").select("pid", "label")
-    sizes = home.groupBy("label").agg(F.count("*").alias("n"))
-    number = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # clusters, not points
+    number = numbered(home.groupBy("label").agg(F.count("*").alias("n")))
     return points.select("pid").join(home.join(number.select("label", "cluster"), "label").select("pid", "cluster"), "pid", "left")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``(label, n)`` with ``cluster``: 0, 1, ... by falling n, then label. Clusters of one size are numbered by themselves, in a range's tasks each."""
+    ranged = stored(sizes.repartitionByRange(F.desc("n"), "label").withColumn("part", F.spark_partition_id()), "sizes")
+    before = ranged.groupBy("part").agg(F.count("*").alias("rows")).withColumn("first", F.sum("rows").over(Window.orderBy("part")) - F.col("rows"))  # a row for each task
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "label"))
+    return ranged.withColumn("place", place).join(F.broadcast(before.select("part", "first")), "part").select("label", "n", (F.col("first") + F.col("place") - 1).cast("int").alias("cluster"))
+
+
 def planes(points: DataFrame, by: str, threshold: float = 0.15, rounds: int = 250, seed: int = 42, most: int = 3) -> DataFrame:
     """``(by, plane, nx, ny, nz, d, n_in, n)``: in each group the plane of most inliers, refitted to them, then those of what remains.
 
@@ -187,8 +194,14 @@ def levels(points: DataFrame, by: str, *shares: float) -> DataFrame:
     return points.groupBy(by).agg(*(F.percentile("z", F.lit(p)).alias(f"p{round(1000 * p):04d}") for p in shares))
 
 
-def pitch(bins: DataFrame, by: str, lo: int, hi: int) -> DataFrame:
-    """``(by, lag, strength)``: the lag of the greatest autocorrelation of the bins' counts about their mean; the first of equals."""
+def pitch(bins: DataFrame, by: str, lo: int, hi: int, n_bins: int | None = None) -> DataFrame:
+    """``(by, lag, strength)``: the lag of the greatest autocorrelation of the bins' counts about their mean; the first of equals.
+
+    Bins without points count as 0, up to ``n_bins`` or else the last that a group has.
+    """
+    last = F.lit(n_bins - 1) if n_bins else F.max("bin")
+    every = bins.groupBy(by).agg(last.alias("last")).select(by, F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    bins = every.join(bins, [by, "bin"], "left").na.fill(0, ["n"])
     centred = bins.withColumn("v", F.col("n") - F.avg("n").over(Window.partitionBy(by)))
     energy = centred.groupBy(by).agg(F.sum(F.col("v") * F.col("v")).alias("e"))
     lag = centred.select(by, F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("lag"), "bin", "v").withColumn("bin", F.col("bin") + F.col("lag"))

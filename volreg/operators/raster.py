@@ -96,26 +96,91 @@ def filled_from_nearest(raster: DataFrame, holes: DataFrame, reach: int) -> Data
         reach *= 2
 
 
-def ground(points: DataFrame, x0: float, y0: float, cell: float, largest: int, steepness: float = 0.2, reach: int = 16) -> DataFrame:
-    """Progressive morphological filter: the terrain raster, cells of objects filled from around them.
+def lattice(raster: DataFrame) -> DataFrame:
+    """Every (row, col) of the raster's box."""
+    box = raster.agg(*(f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max)))).where("row_lo is not null")
+    rows = box.withColumn("row", F.explode(F.sequence("row_lo", "row_hi"))).repartition("row")
+    return rows.select("row", F.explode(F.sequence("col_lo", "col_hi")).alias("col"))
 
-    Every opening works on the one before; a cell that drops by more than the slope
-    allows for the window belongs to an object.
+
+def holes(raster: DataFrame) -> DataFrame:
+    """The cells of the raster's box that have no value."""
+    return lattice(raster).join(raster, ["row", "col"], "left_anti")
+
+
+def complete(raster: DataFrame, reach: int = 4) -> DataFrame:
+    """The raster with every hole of its box filled from the nearest cell."""
+    raster = stored(raster.select("row", "col", "value"), "raster")
+    return raster.union(filled_from_nearest(raster, holes(raster), reach).select("row", "col", "value"))
+
+
+def blurred(raster: DataFrame, weights: list[float]) -> DataFrame:
+    """A full raster's weighted means along columns, then rows; beyond the border it is mirrored, the border cell itself too.
+
+    ``weights`` are those of the middle and of each distance. Every cell gives its share to
+    the cells around it, so both ways are partial sums without a join.
+    """
+    k = len(weights) - 1
+    total = weights[0] + 2 * sum(weights[1:])
+    size = raster.agg(F.min("row").alias("row_0"), F.max("row").alias("row_n"), F.min("col").alias("col_0"), F.max("col").alias("col_n"))
+    out = raster.crossJoin(F.broadcast(size))  # one row
+    keep = ["row_0", "row_n", "col_0", "col_n"]
+    for along, across in (("col", "row"), ("row", "col")):
+        lo, hi = F.col(f"{along}_0"), F.col(f"{along}_n")
+        # this cell is met at ``to`` from distance d, itself or as the mirror image before or behind the border
+        met = F.explode(F.array(*(F.struct((at + d).alias("to"), (at + d).between(lo, hi).alias("ok"), F.lit(weights[abs(d)] / total).alias("w")) for d in range(-k, k + 1) for at in (F.col(along), 2 * lo - 1 - F.col(along), 2 * hi + 1 - F.col(along)))))
+        out = out.select(across, "value", *keep, met.alias("m")).where("m.ok").groupBy(across, F.col("m.to").alias(along), *keep).agg(F.sum(F.col("value") * F.col("m.w")).alias("value"))
+    return out.select("row", "col", "value")
+
+
+def gaussian(sigma: float = 1.0, reach: float = 4.0) -> list[float]:
+    import math
+
+    return [math.exp(-0.5 * (d / sigma) ** 2) for d in range(int(reach * sigma + 0.5) + 1)]
+
+
+def ground(points: DataFrame, x0: float, y0: float, cell: float, largest: int, steepness: float = 0.2, smooth: bool = True) -> DataFrame:
+    """Progressive morphological filter: the terrain raster over the points' whole box.
+
+    Voids are filled, then every opening works on the one before; a cell that drops by
+    more than the slope allows for the window belongs to an object. Objects and voids are
+    filled from the nearest terrain, and the terrain is smoothed a little. Each round is
+    stored, so the plan of the next does not hold it.
     """
-    surface = binned(points, x0, y0, cell, "min").withColumn("is_object", F.lit(False))
+    seen = stored(binned(points, x0, y0, cell, "min"), "surface")
+    full = complete(seen)
+    surface = stored(full.select("row", "col", F.col("value").alias("surface"), "value", F.lit(False).alias("is_object")), "surface")
     for r in radii(largest):
-        before = surface.withColumnRenamed("value", "was")
-        now = opened(surface.select("row", "col", "value"), r)
-        surface = before.join(now, ["row", "col"]).withColumn("is_object", F.col("is_object") | (F.col("was") - F.col("value") > steepness * r * cell)).drop("was")
-    surface = stored(surface, "surface")
-    keep = surface.where("not is_object").select("row", "col", "value")
-    return keep.union(filled_from_nearest(keep, surface.where("is_object").select("row", "col"), reach).select("row", "col", "value"))
-
-
-def classified(points: DataFrame, terrain: DataFrame, x0: float, y0: float, cell: float, height: float = 0.3) -> DataFrame:
-    """``points`` with the height above the terrain and whether they are ground."""
-    at = sample(terrain.withColumnRenamed("value", "terrain"), points, x0, y0, cell, "nearest")
-    return at.withColumn("above", F.col("z") - F.col("terrain")).withColumn("is_ground", F.abs("above") <= height)
+        now = surface.withColumnRenamed("value", "was").withColumn("value", F.col("was"))
+        now = opened(now, r)
+        surface = stored(now.select("row", "col", "surface", "value", (F.col("is_object") | (F.col("was") - F.col("value") > steepness * r * cell)).alias("is_object")), "surface")
+    known = surface.join(seen.select("row", "col", F.lit(True).alias("seen")), ["row", "col"], "left")
+    known = stored(known.select("row", "col", F.col("surface").alias("value"), (F.col("is_object") | F.col("seen").isNull()).alias("gone")), "surface")
+    keep = known.where("not gone").select("row", "col", "value")
+    terrain = keep.union(filled_from_nearest(keep, known.where("gone").select("row", "col"), 4).select("row", "col", "value"))
+    return blurred(stored(terrain, "terrain"), gaussian()) if smooth else terrain
+
+
+def sample_inside(raster: DataFrame, points: DataFrame, x0: float, y0: float, cell: float, name: str) -> DataFrame:
+    """``points`` (pid, x, y; points of one place may share a pid) with the raster's bilinear value as ``name``; beyond the border's cells' middles, up to half a cell, the nearest cell's."""
+    at = points.select("pid", "x", "y").distinct()
+    inside = sample(raster, at, x0, y0, cell).select("pid", F.col("value").alias("v"))
+    edge = sample(raster, at, x0, y0, cell, "nearest").select("pid", F.col("value").alias("e"))
+    return points.join(inside.join(edge, "pid").select("pid", F.coalesce("v", "e").alias(name)), "pid")
+
+
+def classified(points: DataFrame, terrain: DataFrame, x0: float, y0: float, cell: float, height: float = 0.3, widen: float = 1.25) -> DataFrame:
+    """``points`` (with pid) with their height above the terrain and whether they are ground: the tolerance widens with the local slope."""
+    terrain = stored(terrain, "terrain")
+    at = sample_inside(terrain, points, x0, y0, cell, "terrain")
+    at = sample_inside(slope(terrain, cell), at, x0, y0, cell, "steep")
+    tolerance = height + widen * F.coalesce("steep", F.lit(0.0)) * cell
+    return at.withColumn("above", F.col("z") - F.col("terrain")).withColumn("is_ground", F.round(F.abs("above") - tolerance, 9) <= 0)
+
+
+def ground_summary(classified_: DataFrame) -> DataFrame:
+    """One row: points, the share that is ground, and mean and greatest height above it."""
+    return classified_.agg(F.count("*").alias("points"), F.bround(F.avg(F.col("is_ground").cast("int")), 6).alias("ground_share"), F.bround(F.avg("above"), 6).alias("mean_above"), F.bround(F.max("above"), 6).alias("max_above"))
 
 
 def decimated(raster: DataFrame, most: int) -> DataFrame:
