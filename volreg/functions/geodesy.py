@@ -122,6 +122,7 @@ class Fit(NamedTuple):
     scale: float
     active: list[int]
     rms: float
+    worst: float = 0.0
 
     def apply(self, x: Column, y: Column, z: Column) -> tuple[Column, ...]:
         """The fitted transform as column arithmetic."""
@@ -145,5 +146,5 @@ def fit_similarity(observed: np.ndarray, reference: np.ndarray, sigma: np.ndarra
         worst = int((away / sigma[active]).argmax())
         rounds -= 1
         if rounds < 0 or (away / sigma[active])[worst] <= reject or len(active) <= max(3, math.ceil((1 - max_share) * len(observed))):
-            return Fit(rotation, shift, scale, active, float(np.sqrt((away**2).mean())))
+            return Fit(rotation, shift, scale, active, float(np.sqrt((away**2).mean())), float(away.max()))
         del active[worst]

@@ -26,18 +26,39 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def geohash_encode(lat: Column, lon: Column, precision: int = PRECISION) -> Column:
-    """Bisection, longitude first; a coordinate on a middle goes to the lower half. Out of range is an error."""
-    start = F.struct(F.lit(-90.0).alias("a"), F.lit(90.0).alias("b"), F.lit(-180.0).alias("c"), F.lit(180.0).alias("d"), F.lit(0).cast("long").alias("bits"))
+def _cell_number(value: Column, half: float, bits: int) -> Column:
+    """Which of 2 ** bits equal cells between -half and half a value is in; a border belongs to the lower cell.
 
-    def halve(s: Column, i: Column) -> Column:
-        east = i % 2 == 0
-        mid = F.when(east, (s["c"] + s["d"]) / 2).otherwise((s["a"] + s["b"]) / 2)
-        up = F.when(east, lon > mid).otherwise(lat > mid)
-        keep = lambda mine, hi, old: F.when(mine & (up == hi), mid).otherwise(old)
-        return F.struct(keep(~east, F.lit(True), s["a"]).alias("a"), keep(~east, F.lit(False), s["b"]).alias("b"), keep(east, F.lit(True), s["c"]).alias("c"), keep(east, F.lit(False), s["d"]).alias("d"), (s["bits"] * 2 + up.cast("long")).alias("bits"))
+    Borders are exact numbers, so a number that rounding put beside its cell is put right by them.
+    """
+    step = 2 * half / 2**bits
+    last = 2**bits - 1
+
+    def right(i: Column) -> Column:
+        low = i * step - half
+        return F.when((value <= low) & (i > 0), i - 1).when((value > low + step) & (i < last), i + 1).otherwise(i)
+
+    guess = F.least(F.greatest(F.ceil((value + half) / step).cast("long") - 1, F.lit(0)), F.lit(last))
+    return let(guess, right)
+
+
+def _spread(x: Column) -> Column:
+    """The bits of a number at every other place."""
+
+    def apart(shift: int, mask: int):
+        return lambda v: v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = let(x, apart(shift, mask))
+    return x
 
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(5 * precision - 1)), start, halve, lambda s: s["bits"])
+
+def geohash_encode(lat: Column, lon: Column, precision: int = PRECISION) -> Column:
+    """Bits of the cells in turn, longitude first; a coordinate on a middle goes to the lower half. Out of range is an error."""
+    n = 5 * precision
+    east, north = _spread(_cell_number(lon, 180.0, (n + 1) // 2)), _spread(_cell_number(lat, 90.0, n // 2))
+    # the last bit is of the coordinate whose turn it is
+    bits = F.shiftleft(east, 1).bitwiseOR(north) if n % 2 == 0 else F.shiftleft(north, 1).bitwiseOR(east)
     char = lambda b, i: F.substring(F.lit(GEOHASH), F.shiftright(b, 5 * (precision - 1 - i)).bitwiseAND(31).cast("int") + 1, F.lit(1))
     fine = lat.between(-90, 90) & lon.between(-180, 180)
     return F.when(fine, let(bits, lambda b: F.concat(*(char(b, i) for i in range(precision))))).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lat.cast("string"), F.lit(" "), lon.cast("string"))))
@@ -109,15 +130,19 @@ def problem(text: Column) -> Column:
     return let(normalised(text), _problem)
 
 
-def parsed(text: Column) -> Column:
-    """Struct of a code's parts; null if it is not valid."""
+def _fields(code: Column) -> Column:
+    part = lambda a, n: code.substr(a, n)
+    return F.struct(part(1, 2).alias("state"), part(3, 3).alias("district"), part(6, 3).alias("tehsil"), F.lower(part(9, 10)).alias("geohash"), part(19, 1).alias("stratum"), unbase36(part(20, 2)).cast("int").alias("level"), unbase36(part(22, 4)).cast("int").alias("unit"), part(26, 1).alias("check"))
 
-    def parts(code: Column) -> Column:
-        part = lambda a, n: code.substr(a, n)
-        fields = F.struct(part(1, 2).alias("state"), part(3, 3).alias("district"), part(6, 3).alias("tehsil"), F.lower(part(9, 10)).alias("geohash"), part(19, 1).alias("stratum"), unbase36(part(20, 2)).cast("int").alias("level"), unbase36(part(22, 4)).cast("int").alias("unit"), part(26, 1).alias("check"))
-        return F.when(_problem(code).isNull(), fields)
 
-    return let(normalised(text), parts)
+def examined(text: Column) -> Column:
+    """Struct of ``problem`` (null if there is none) and ``fields`` (null if there is one), found in one go."""
+    return let(normalised(text), lambda code: let(_problem(code), lambda p: F.struct(p.alias("problem"), F.when(p.isNull(), _fields(code)).alias("fields"))))
+
+
+def parsed(text: Column) -> Column:
+    """Struct of a code's parts; null if it is not valid."""
+    return examined(text)["fields"]
 
 
 def signed_level(stratum: Column, level: Column) -> Column:
@@ -152,13 +177,22 @@ def mint_preferred(objects: DataFrame, cell: list[str], schema: str) -> DataFram
     """First free number at or above ``preferred`` (0 if null or out of range), in order of ``seq`` within a cell."""
 
     def assign(rows):
-        taken, numbers = set(), []
+        after: dict[int, int] = {}  # of a taken number, one that may be free
+
+        def free(n: int) -> int:
+            seen = []
+            while n in after:
+                seen.append(n)
+                n = after[n]
+            for x in seen:
+                after[x] = n
+            return n
+
+        numbers = []
         rows = rows.sort_values("seq")
         for p in rows["preferred"]:
-            n = int(p) if p == p and p is not None and 0 <= p <= MAX_UNIT else 0
-            while n in taken:
-                n += 1
-            taken.add(n)
+            n = free(int(p) if p == p and p is not None and 0 <= p <= MAX_UNIT else 0)
+            after[n] = n + 1
             numbers.append(n)
         return rows.assign(unit=numbers)
 

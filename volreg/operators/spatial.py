@@ -105,10 +105,14 @@ def ray_pick(objects: DataFrame, rays: DataFrame) -> DataFrame:
     from ..schema import lookup
 
     kinds = {"unit": 0, "storey": 1, "building": 2, "infrastructure": 3, "parcel": 4, "air_rights": 5}
-    # the cells under a ray's box bound the pairs; the slab test is exact
-    low = lambda a: F.least(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"d{a}"))
-    high = lambda a: F.greatest(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"d{a}"))
-    boxes = rays.select("*", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"), low("z").alias("z_min"), high("z").alias("z_max"))
+    # the cells under pieces of a ray, each about a cell long, bound the pairs; the slab test of the whole ray is exact
+    pieces = F.greatest(F.lit(1), F.ceil(F.hypot("dx", "dy") / CELL).cast("int"))
+    cut = rays.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    at = lambda a, k: F.col(f"o{a}") + F.col(f"d{a}") * ((F.col("piece") + k) / F.col("pieces"))
+    # a little wider than the piece, for rounding
+    low = lambda a: F.least(at(a, 0), at(a, 1)) - EPS
+    high = lambda a: F.greatest(at(a, 0), at(a, 1)) + EPS
+    boxes = cut.select(*rays.columns, low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"), low("z").alias("z_min"), high("z").alias("z_max"))
     pairs = box_pairs(boxes, objects)
     enter, leave = F.lit(0.0), F.lit(1.0)
     outside = F.lit(False)

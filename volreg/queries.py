@@ -329,9 +329,8 @@ def spelled(spark, sf):
 @query(_GEOHASH + _SPELLED + """SELECT k, CASE WHEN k % 13 = 0 THEN 'check' WHEN k % 29 = 0 THEN 'length' WHEN k % 31 = 0 THEN 'malformed' END AS problem,
  CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN code END AS geohash, CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN level END AS level, CASE WHEN k % 13 <> 0 AND k % 29 <> 0 AND k % 31 <> 0 THEN unit END AS unit FROM spelled""", False)
 def id_parse_validate(spark, sf):
-    both = idcode.let(F.col("code_text"), lambda t: F.struct(idcode.problem(t).alias("problem"), idcode.parsed(t).alias("p")))
-    fields = idcode.let(both, lambda b: F.struct(b["problem"].alias("problem"), b["p"]["geohash"].alias("geohash"), b["p"]["level"].alias("level"), b["p"]["unit"].alias("unit")))
-    return spelled(spark, sf).select("k", F.explode(F.array(fields)).alias("f")).select("k", "f.*")
+    e = spelled(spark, sf).select("k", F.explode(F.array(idcode.examined(F.col("code_text")))).alias("e"))
+    return e.select("k", "e.problem", "e.fields.geohash", "e.fields.level", "e.fields.unit")
 
 
 @query(_GEOHASH + """SELECT k, CASE WHEN k % 5 IN (2, 4) THEN -level ELSE level END AS signed_level, ['Surface parcel', 'Above-ground unit', 'Sub-surface unit', 'Air rights', 'Infrastructure corridor'][k % 5 + 1] || ', ' ||
