@@ -176,8 +176,9 @@ def mint_units(objects: DataFrame, cell: list[str], order: list[str]) -> DataFra
 def mint_preferred(objects: DataFrame, cell: list[str], schema: str) -> DataFrame:
     """First free number at or above ``preferred`` (0 if null or out of range), in order of ``seq`` within a cell."""
 
-    def assign(rows):
-        after: dict[int, int] = {}  # of a taken number, one that may be free
+    def assign(batches):
+        # a partition has whole cells, one after another; of a cell's taken numbers, each leads to one that may be free
+        own, after = None, {}
 
         def free(n: int) -> int:
             seen = []
@@ -188,12 +189,14 @@ def mint_preferred(objects: DataFrame, cell: list[str], schema: str) -> DataFram
                 after[x] = n
             return n
 
-        numbers = []
-        rows = rows.sort_values("seq")
-        for p in rows["preferred"]:
-            n = free(int(p) if p == p and p is not None and 0 <= p <= MAX_UNIT else 0)
-            after[n] = n + 1
-            numbers.append(n)
-        return rows.assign(unit=numbers)
-
-    return objects.groupBy(*cell).applyInPandas(assign, schema)
+        for rows in batches:
+            numbers = []
+            for *key, p in zip(*(rows[c] for c in cell), rows["preferred"], strict=True):
+                if key != own:
+                    own, after = key, {}
+                n = free(int(p) if p == p and p is not None and 0 <= p <= MAX_UNIT else 0)
+                after[n] = n + 1
+                numbers.append(n)
+            yield rows.assign(unit=numbers)
+
+    return objects.repartition(*cell).sortWithinPartitions(*cell, "seq").mapInPandas(assign, schema)
