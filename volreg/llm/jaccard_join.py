@@ -91,16 +91,20 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets are similar enough, stored."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+def _wanted_sets(pairs: DataFrame, side: str, docs: DataFrame) -> DataFrame:
+    """``(side, shingles)``: the whole sets of the documents on one side of pairs, and maybe of some others."""
+    ids = stored(pairs.select(F.col(side).alias("doc_id")).distinct(), "wanted")
     if ids.count() <= MOST_MARKED:
         wanted = marked(ids, lambda batch: id_keys(batch.column("doc_id").to_numpy()))
     else:  # most marks would be set
         wanted, docs = None, docs.join(ids, "doc_id", "left_semi")
-    sets = map_batches(docs, partial(_sets, wanted=wanted), "doc_id long, shingles binary")
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return map_batches(docs, partial(_sets, wanted=wanted), "doc_id long, shingles binary").withColumnRenamed("doc_id", side)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole sets are similar enough, stored."""
+    x = _wanted_sets(pairs, "a", docs).withColumnRenamed("shingles", "x")
+    y = _wanted_sets(pairs, "b", docs).withColumnRenamed("shingles", "y")
     return stored(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _linked, "a long, b long", column="y"), "links")
 
 
@@ -183,12 +187,12 @@ def _components(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that another one of their component stands for; of rows with equal doc_id one stays."""
-    found = stored(jaccard_components(docs).where("doc_id is not null").select("doc_id", "component_id"), "found")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = stored(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
+    kept = stored(kept, "kept")
     row = F.struct(*(kept[c] for c in kept.columns))
     one = kept.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(kept.columns).union(one)
