@@ -81,11 +81,13 @@ def _key() -> Column:
 
 
 def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(rank, start, end, n_words, kept_rank, key)``: the code points of each span to remove, the earliest rank that keeps of it, the hash of the text."""
-    ranked = with_text(docs, F.col(rank).cast("long").alias("rank"), _key().alias("key")).where("rank is not null")
+    """``(rank, start, end, n_words, kept_rank, key)``: the code points of each span to remove, the earliest rank that keeps of it, the hash of the text where ranks repeat (else null)."""
+    named = docs.select(F.col(rank).cast("long").alias("rank"), F.col("text")).where("rank is not null")
+    repeated = not named.groupBy("rank").count().where("count > 1").isEmpty()
+    ranked = with_text(named, "rank", (_key() if repeated else F.lit(None).cast("long")).alias("key"))
     each = map_batches(ranked, partial(units, min_words=min_words), "digest long, rank long, key long, words long, span long")
     firsts = each.groupBy("digest").agg(F.min(F.struct("rank", "key", "words")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = each.join(firsts, "digest").where("rank <> first.rank or key <> first.key or words <> first.words")
+    again = each.join(firsts, "digest").where("rank <> first.rank or not (key <=> first.key) or words <> first.words")
     again = again.selectExpr("rank", "key", "cast(words >> 32 as int) w0", "cast(words & 4294967295 as int) w1", "cast(span >> 32 as int) start", "cast(span & 4294967295 as int) end", "first.rank kept_rank").distinct()
     # each is a duplicate by itself; those that overlap or touch are one span; a partition holds one text's
     order = Window.partitionBy("rank", "key").orderBy("w0", "w1", "start", "end")
@@ -95,15 +97,16 @@ def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_W
 
 
 def without(docs: DataFrame, runs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """``docs`` with the runs cut out of their texts; a row has the runs of its rank and its text's hash."""
-    spans = runs.groupBy("rank", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    """``docs`` with the runs cut out of their texts; a row has the runs of its rank and, where they name it, its text's hash."""
+    spans = runs.groupBy("rank", F.col("key").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col(rank).cast("long").alias("rank"), _key().alias("key"))
     text = F.col("doc.text")
     cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
                       lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["text"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("text")),
                       lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
     new = F.when(F.col("spans").isNull(), text).otherwise(cut)
-    return rows.join(spans, ["rank", "key"], "left").select(*((new if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns))
+    own = (rows["rank"] == spans["rank"]) & (spans["of"].isNull() | (spans["of"] == rows["key"]))
+    return rows.join(spans, own, "left").select(*((new if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op1_substring_dedup(spark, sf_dir):
