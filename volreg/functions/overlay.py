@@ -199,26 +199,64 @@ def crosses_itself(s: Shape) -> bool:
     return False
 
 
-def border(s: Shape, d: float) -> list[Shape]:
-    """Boxes along edges and circles around corners that cover all within ``d`` of the border."""
+def _bends_out(s: Shape) -> list[np.ndarray]:
+    """For each ring, which corners the shape's inside bends outwards at."""
+    out = []
+    for k, p in enumerate(s):
+        u, v = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
+        left = (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) * np.sign(ring_area(p)) > 0
+        out.append(~left if holds(s[:k] + s[k + 1 :], *p[0]) else left)
+    return out
+
+
+def border(s: Shape, d: float, outwards: bool) -> list[Shape]:
+    """Boxes along edges, and circles around the corners that they leave open on one side: all within ``d`` of the border on that side."""
     turn = np.arange(CIRCLE) * 2 * np.pi / CIRCLE
     out = []
-    for p in s:
+    for p, bends in zip(s, _bends_out(s), strict=True):
         q = np.roll(p, -1, 0)
-        length = np.hypot(*(q - p).T)
-        for a, b, n in zip(p, q, length, strict=True):
-            out.append([a + d * np.column_stack([np.cos(turn), np.sin(turn)])])
+        for a, b, open_ in zip(p, q, bends == outwards, strict=True):
+            if open_:
+                out.append([a + d * np.column_stack([np.cos(turn), np.sin(turn)])])
+            n = np.hypot(*(b - a))
             if n > 0:
                 off = np.array([-(b - a)[1], (b - a)[0]]) / n * d
                 out.append([np.array([a + off, a - off, b - off, b + off])])
     return out
 
 
+def _round_about(p: np.ndarray, d: float) -> np.ndarray:
+    """A convex ring grown by ``d``: its edges moved out, with arcs between them."""
+    p = p if ring_area(p) > 0 else p[::-1]
+    v = np.roll(p, -1, 0) - p
+    out_ = np.arctan2(v[:, 1], v[:, 0]) - np.pi / 2
+    step, ring = 2 * np.pi / CIRCLE, []
+    for corner, a, b in zip(p, np.roll(out_, 1), out_, strict=True):
+        b = a + (b - a) % (2 * np.pi)
+        between = np.arange(np.floor(a / step + 1e-9) + 1, np.ceil(b / step - 1e-9)) * step
+        ring += [corner + d * np.array([np.cos(t), np.sin(t)]) for t in (a, *between, b)]
+    return np.array(ring)
+
+
 def buffered(s: Shape, d: float) -> Shape:
     """Grown by ``d`` with round corners, or shrunk if it is negative."""
-    if d >= 0:
-        return rings(joined([s, *border(s, d)])) if d else s
-    return rings(trapezoids([s, *border(s, -d)], lambda x: x[0] and not x[1:].any()))
+    if not d or not s:
+        return s
+    if d < 0:
+        return rings(trapezoids([s, *border(s, -d, False)], lambda x: x[0] and not x[1:].any()))
+    if len(s) == 1 and _bends_out(s)[0].all():
+        return [_round_about(s[0], d)]
+    return rings(joined([s, *border(s, d, True)]))
+
+
+def beyond(a: Shape, b: Shape, grow: float) -> float:
+    """Area of ``a`` beyond ``b`` grown: only what sticks out meets the pieces of the border that are near it."""
+    out = rings(less(a, b))
+    if not out or not grow:
+        return sum(map(ring_area, out))
+    lo, hi = np.concatenate(out).min(0), np.concatenate(out).max(0)
+    near = [p for p in border(b, grow, True) if (p[0].max(0) >= lo).all() and (p[0].min(0) <= hi).all()]
+    return area(trapezoids([out, *near], lambda x: x[0] and not x[1:].any()))
 
 
 def _to_segments(points: np.ndarray, p: np.ndarray, q: np.ndarray) -> float:
@@ -314,7 +352,7 @@ def shared(a: Column, b: Column) -> Column:
 
 def outside(a: Column, b: Column, grow: float = 0.0) -> Column:
     """Area of ``a`` beyond ``b`` grown."""
-    return _pairwise(lambda x, y: area(less(x, buffered(y, grow))), "double")(a, b)
+    return _pairwise(lambda x, y: beyond(x, y, grow), "double")(a, b)
 
 
 def apart(a: Column, b: Column) -> Column:
