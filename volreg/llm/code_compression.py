@@ -104,7 +104,7 @@ def coded(df: DataFrame, scale: int = 1024) -> tuple[DataFrame, list[np.ndarray]
     width = (rows.agg(F.max(F.size("v"))).first()[0] or 0) + PARTS - 1
     width -= width % PARTS
     start = rows.where("vec_id is not null").orderBy("vec_id", "v").limit(ENTRIES).select("v").collect()
-    books = [b.copy() for b in np.split(np.array([[*r.v, *[0] * (width - len(r.v))] for r in start], np.int64).reshape(-1, width), PARTS, axis=1)]
+    books = [b.copy() for b in np.split(np.array([[*r.v, *[0] * (width - len(r.v))] for r in start], np.int64).reshape(len(start), width), PARTS, axis=1)]
     if not start:  # no row has a vec_id: there is nothing to start from but zeros
         books = [np.zeros((1, width // PARTS), np.int64)] * PARTS
     for _ in range(ROUNDS):
