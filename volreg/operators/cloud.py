@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def voxels(points: DataFrame, size: float) -> DataFrame:
     """The first point (by pid) of each voxel."""
@@ -64,23 +64,6 @@ def building_score(height: Column, planarity: Column, sphericity: Column, return
     return gate * flat * F.when(returns > 1, 0.25).otherwise(1.0)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import re
-        import tempfile
-
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(pid, label)``: the smallest pid that links reach, by passing labels on and halving chains."""
     labels = stored(nodes.select("pid", F.col("pid").alias("label")), "labels")

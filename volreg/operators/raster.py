@@ -1,15 +1,20 @@
 """Rasters in long form: one row for each cell with a value, ``(row, col, value)``.
 
-Holes are absent rows. Windows are bounded by the cells' numbers, not by counts of rows,
-so holes need no filling first.
+Holes are absent rows. What looks at a cell's surroundings works on tiles (``tiles.py``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cloud import stored
+from ..shared import stored
+from . import tiles
+from .tiles import Box
+
+#: Cells around a tile that holes are filled from; what is farther takes joins.
+REACH = 64
 
 
 def index(x: Column, origin: float, cell: float) -> Column:
@@ -22,16 +27,9 @@ def binned(points: DataFrame, x0: float, y0: float, cell: float, stat: str = "mi
     return points.groupBy(index(F.col("y"), y0, cell).alias("row"), index(F.col("x"), x0, cell).alias("col")).agg(agg(value).alias("value"))
 
 
-def _moving(raster: DataFrame, along: str, across: str, radius: int, f) -> DataFrame:
-    w = Window.partitionBy(across).orderBy(along).rangeBetween(-radius, radius)
-    return raster.withColumn("value", f("value").over(w))
-
-
 def opened(raster: DataFrame, radius: int) -> DataFrame:
-    """Grey opening with a square of side 2 r + 1: least, then greatest, each along columns and rows by itself."""
-    for f in (F.min, F.max):
-        raster = _moving(_moving(raster, "col", "row", radius, f), "row", "col", radius, f)
-    return raster
+    """Grey opening with a square of side 2 r + 1: least, then greatest, each along rows and columns by itself."""
+    return tiles.to_cells(tiles.cut(raster, 2 * radius), 2 * radius, lambda a, row, col: tiles.inner(tiles.opened(a[0], radius), 2 * radius)[None])
 
 
 def radii(largest: int) -> list[int]:
@@ -45,13 +43,7 @@ def radii(largest: int) -> list[int]:
 
 def slope(raster: DataFrame, cell: float) -> DataFrame:
     """Steepness from differences of neighbours, central where both are there, else one-sided, else 0."""
-
-    def gradient(along: str, across: str) -> Column:
-        at = lambda d: F.max("value").over(Window.partitionBy(across).orderBy(along).rangeBetween(d, d))
-        lo, hi, mid = at(-1), at(1), F.col("value")
-        return F.coalesce((hi - lo) / (2 * cell), (hi - mid) / cell, (mid - lo) / cell, F.lit(0.0))
-
-    return raster.select("row", "col", F.hypot(gradient("col", "row"), gradient("row", "col")).alias("value"))
+    return tiles.to_cells(tiles.cut(raster, 1), 1, lambda a, row, col: tiles.slope(a[0], cell)[None])
 
 
 def difference(a: DataFrame, b: DataFrame, floor: float | None = None) -> DataFrame:
@@ -64,13 +56,16 @@ def sample(raster: DataFrame, points: DataFrame, x0: float, y0: float, cell: flo
     r, c = (F.col("y") - y0) / cell, (F.col("x") - x0) / cell
     if how == "nearest":
         return points.withColumns({"row": F.rint(r).cast("int"), "col": F.rint(c).cast("int")}).join(raster, ["row", "col"], "left").drop("row", "col")
-    corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    at = points.withColumns({"r0": F.floor(r).cast("int"), "c0": F.floor(c).cast("int"), "fr": r - F.floor(r), "fc": c - F.floor(c)}).withColumn("corner", corners)
-    at = at.withColumns({"row": F.col("r0") + F.col("corner.i"), "col": F.col("c0") + F.col("corner.j")})
-    weight = F.when(F.col("corner.i") == 1, F.col("fr")).otherwise(1 - F.col("fr")) * F.when(F.col("corner.j") == 1, F.col("fc")).otherwise(1 - F.col("fc"))
-    met = at.join(raster, ["row", "col"]).groupBy(*points.columns).agg(F.sum(weight * F.col("value")).alias("v"), F.count("*").alias("n"))
-    keys = points.columns[0]
-    return points.join(met.select(keys, F.when(F.col("n") == 4, F.col("v")).alias("value")), keys, "left")
+    near = tiles.corners(raster, cell).withColumnsRenamed({"row": "r0", "col": "c0"})
+    at = points.withColumns({"r0": F.floor(r).cast("int"), "c0": F.floor(c).cast("int"), "fr": r - F.floor(r), "fc": c - F.floor(c)})
+    return at.join(near, ["r0", "c0"], "left").select(*points.columns, _bilinear("t").alias("value"))
+
+
+def _bilinear(layer: str) -> Column:
+    """The value between four corners; null beside holes."""
+    share = lambda k, f: F.col(f) if k else 1 - F.col(f)
+    terms = [F.col(f"{layer}{i}{j}") * (share(i, "fr") * share(j, "fc")) for i in (0, 1) for j in (0, 1)]
+    return terms[0] + terms[1] + terms[2] + terms[3]
 
 
 def filled(raster: DataFrame, holes: DataFrame, reach: int) -> DataFrame:
@@ -108,29 +103,28 @@ def holes(raster: DataFrame) -> DataFrame:
     return lattice(raster).join(raster, ["row", "col"], "left_anti")
 
 
-def complete(raster: DataFrame, reach: int = 4) -> DataFrame:
+def complete(raster: DataFrame, reach: int = REACH) -> DataFrame:
     """The raster with every hole of its box filled from the nearest cell."""
-    raster = stored(raster.select("row", "col", "value"), "raster")
-    return raster.union(filled_from_nearest(raster, holes(raster), reach).select("row", "col", "value"))
+    box = Box.of(raster)
+    if box is None:
+        return raster.select("row", "col", "value")
+    done = tiles.filled(tiles.cut(raster, reach, box), reach, reach, box, _first, 0, "complete")
+    return tiles.to_cells(done, 0)
+
+
+def _first(a: np.ndarray, row: int, col: int) -> tuple[np.ndarray, np.ndarray]:
+    return a[0], np.empty((0, tiles.TILE, tiles.TILE))
 
 
 def blurred(raster: DataFrame, weights: list[float]) -> DataFrame:
-    """A full raster's weighted means along columns, then rows; beyond the border it is mirrored, the border cell itself too.
+    """A full raster's weighted means along rows, then columns; beyond the border it is mirrored, the border cell itself too.
 
-    ``weights`` are those of the middle and of each distance. Every cell gives its share to
-    the cells around it, so both ways are partial sums without a join.
+    ``weights`` are those of the middle and of each distance.
     """
-    k = len(weights) - 1
-    total = weights[0] + 2 * sum(weights[1:])
-    size = raster.agg(F.min("row").alias("row_0"), F.max("row").alias("row_n"), F.min("col").alias("col_0"), F.max("col").alias("col_n"))
-    out = raster.crossJoin(F.broadcast(size))  # one row
-    keep = ["row_0", "row_n", "col_0", "col_n"]
-    for along, across in (("col", "row"), ("row", "col")):
-        lo, hi = F.col(f"{along}_0"), F.col(f"{along}_n")
-        # this cell is met at ``to`` from distance d, itself or as the mirror image before or behind the border
-        met = F.explode(F.array(*(F.struct((at + d).alias("to"), (at + d).between(lo, hi).alias("ok"), F.lit(weights[abs(d)] / total).alias("w")) for d in range(-k, k + 1) for at in (F.col(along), 2 * lo - 1 - F.col(along), 2 * hi + 1 - F.col(along)))))
-        out = out.select(across, "value", *keep, met.alias("m")).where("m.ok").groupBy(across, F.col("m.to").alias(along), *keep).agg(F.sum(F.col("value") * F.col("m.w")).alias("value"))
-    return out.select("row", "col", "value")
+    box, k = Box.of(raster), len(weights) - 1
+    if box is None:
+        return raster.select("row", "col", "value")
+    return tiles.to_cells(tiles.cut(raster, k), k, lambda a, row, col: tiles.blurred(a[0], weights, row, col, box)[None])
 
 
 def gaussian(sigma: float = 1.0, reach: float = 4.0) -> list[float]:
@@ -144,36 +138,57 @@ def ground(points: DataFrame, x0: float, y0: float, cell: float, largest: int, s
 
     Voids are filled, then every opening works on the one before; a cell that drops by
     more than the slope allows for the window belongs to an object. Objects and voids are
-    filled from the nearest terrain, and the terrain is smoothed a little. Each round is
-    stored, so the plan of the next does not hold it.
+    filled from the nearest terrain, and the terrain is smoothed a little. Openings whose
+    halos add up to less than a tile share one exchange of borders.
     """
-    seen = stored(binned(points, x0, y0, cell, "min"), "surface")
-    full = complete(seen)
-    surface = stored(full.select("row", "col", F.col("value").alias("surface"), "value", F.lit(False).alias("is_object")), "surface")
+    seen = stored(binned(points, x0, y0, cell, "min"), "seen")
+    box = Box.of(seen)
+    if box is None:
+        return seen
+    groups = [[]]
     for r in radii(largest):
-        now = surface.withColumnRenamed("value", "was").withColumn("value", F.col("was"))
-        now = opened(now, r)
-        surface = stored(now.select("row", "col", "surface", "value", (F.col("is_object") | (F.col("was") - F.col("value") > steepness * r * cell)).alias("is_object")), "surface")
-    known = surface.join(seen.select("row", "col", F.lit(True).alias("seen")), ["row", "col"], "left")
-    known = stored(known.select("row", "col", F.col("surface").alias("value"), (F.col("is_object") | F.col("seen").isNull()).alias("gone")), "surface")
-    keep = known.where("not gone").select("row", "col", "value")
-    terrain = keep.union(filled_from_nearest(keep, known.where("gone").select("row", "col"), 4).select("row", "col", "value"))
-    return blurred(stored(terrain, "terrain"), gaussian()) if smooth else terrain
-
-
-def sample_inside(raster: DataFrame, points: DataFrame, x0: float, y0: float, cell: float, name: str) -> DataFrame:
-    """``points`` (pid, x, y; points of one place may share a pid) with the raster's bilinear value as ``name``; beyond the border's cells' middles, up to half a cell, the nearest cell's."""
-    at = points.select("pid", "x", "y").distinct()
-    inside = sample(raster, at, x0, y0, cell).select("pid", F.col("value").alias("v"))
-    edge = sample(raster, at, x0, y0, cell, "nearest").select("pid", F.col("value").alias("e"))
-    return points.join(inside.join(edge, "pid").select("pid", F.coalesce("v", "e").alias(name)), "pid")
+        if groups[-1] and 2 * (sum(groups[-1]) + r) > tiles.TILE - REACH:
+            groups.append([])
+        groups[-1].append(r)
+    halos = [2 * sum(g) + (REACH if g is groups[-1] else 0) for g in groups]
+
+    def observed(a: np.ndarray, row: int, col: int) -> tuple[np.ndarray, np.ndarray]:
+        mid = tiles.inner(a[0], REACH)
+        return a[0], np.stack([np.isnan(mid).astype(float)])  # 1: a void, never taken for terrain
+
+    def sifted(a: np.ndarray, radii_: list[int]) -> np.ndarray:
+        """Layers surface, gone, opened so far: after further openings, within what they leave of the halo."""
+        surface, gone, now = a
+        for r in radii_:
+            was, now = now, tiles.opened(now, r)
+            gone = np.where(was - now > steepness * r * cell, 1.0, gone)
+        return tiles.inner(np.stack([surface, gone, now]), 2 * sum(radii_))
+
+    def started(a: np.ndarray) -> np.ndarray:
+        return a if len(a) == 3 else np.stack([a[0], a[1], a[0]])
+
+    def terrain(a: np.ndarray, row: int, col: int) -> tuple[np.ndarray, np.ndarray]:
+        surface, gone, _ = sifted(started(a), groups[-1])
+        return np.where(gone == 0, surface, np.nan), np.empty((0, tiles.TILE, tiles.TILE))
+
+    pieces = tiles.filled(tiles.cut(seen, REACH, box), REACH, REACH, box, observed, halos[0], "surface")
+    for g, halo, onward in zip(groups[:-1], halos[:-1], halos[1:], strict=True):
+        pieces = tiles.step(pieces, halo, lambda a, row, col, g=g: sifted(started(a), g), onward)
+    weights = gaussian() if smooth else [1.0]
+    k = len(weights) - 1
+    bare = tiles.filled(pieces, halos[-1], REACH, box, terrain, k, "terrain")
+    return tiles.to_cells(bare, k, lambda a, row, col: tiles.blurred(a[0], weights, row, col, box)[None])
 
 
 def classified(points: DataFrame, terrain: DataFrame, x0: float, y0: float, cell: float, height: float = 0.3, widen: float = 1.25) -> DataFrame:
-    """``points`` (with pid) with their height above the terrain and whether they are ground: the tolerance widens with the local slope."""
-    terrain = stored(terrain, "terrain")
-    at = sample_inside(terrain, points, x0, y0, cell, "terrain")
-    at = sample_inside(slope(terrain, cell), at, x0, y0, cell, "steep")
+    """``points`` with their height above the terrain and whether they are ground: the tolerance widens with the local slope."""
+    r, c = (F.col("y") - y0) / cell, (F.col("x") - x0) / cell
+    near = tiles.corners(terrain, cell).withColumnsRenamed({"row": "r0", "col": "c0"})
+    at = points.withColumns({"r0": F.floor(r).cast("int"), "c0": F.floor(c).cast("int"), "fr": r - F.floor(r), "fc": c - F.floor(c)}).join(near, ["r0", "c0"], "left")
+    # beyond the border's cells' middles, up to half a cell, and beside holes: the nearest cell's
+    place = (F.rint(F.col("r0") + F.col("fr")).cast("int") - F.col("r0")) * 2 + F.rint(F.col("c0") + F.col("fc")).cast("int") - F.col("c0")
+    closest = lambda layer: F.get(F.array(*(F.col(f"{layer}{i}{j}") for i in (0, 1) for j in (0, 1))), place)
+    at = at.select(*points.columns, *(F.coalesce(_bilinear(x), closest(x)).alias(n) for x, n in (("t", "terrain"), ("s", "steep"))))
     tolerance = height + widen * F.coalesce("steep", F.lit(0.0)) * cell
     return at.withColumn("above", F.col("z") - F.col("terrain")).withColumn("is_ground", F.round(F.abs("above") - tolerance, 9) <= 0)
 
