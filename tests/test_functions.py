@@ -121,7 +121,7 @@ def test_shared_area_of_polygons():
 
 def test_boxes(spark):
     o = box(spark, ("a", "unit", None, 0, 0, 10, 10, 0, 3), ("b", "unit", None, 6, 5, 16, 15, 1, 6), ("c", "unit", None, 20, 0, 30, 10, 0, 3), ("d", "unit", None, 14, 13, 20, 20, 9, 11))
-    pairs = {(r.a_object_id, r.b_object_id): r for r in spatial.box_pairs(o, o, 7.0, 20.0).select("a_object_id", "b_object_id", spatial.shared_volume().alias("v"), spatial.clearance().alias("d")).collect()}
+    pairs = {(r.a_object_id, r.b_object_id): r for r in spatial.box_pairs(o, o, 20.0).select("a_object_id", "b_object_id", spatial.shared_volume().alias("v"), spatial.clearance().alias("d")).collect()}
     assert pairs["a", "b"].v == 4 * 5 * 2 and pairs["a", "b"].d == 0 and pairs["b", "c"].d == 4
     assert pairs["a", "d"].d == pytest.approx(math.sqrt(4**2 + 3**2 + 6**2)) and len(pairs) == 16
     assert [r.object_id for r in spatial.column_at(o, 10.0, 10.0).collect()] == ["b", "a"]

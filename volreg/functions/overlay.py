@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import on_workers
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 #: Corners of a circle that stands for a rounded corner.
 CIRCLE = 64
@@ -328,6 +330,8 @@ def as_rings(s: Shape) -> list:
 
 
 def _pairwise(f: Callable[[Shape, Shape], object], kind: str):
+    on_workers(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
@@ -337,6 +341,8 @@ def _pairwise(f: Callable[[Shape, Shape], object], kind: str):
 
 
 def _single(f: Callable[[Shape], object], kind: str):
+    on_workers(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for a in batches:
@@ -404,13 +410,19 @@ def union_by(df: DataFrame, by: list[str], rings_: str, grow: float = 0.0, simpl
 
     Groups are the units of a storey or the parts of an object, few shapes each.
     """
-    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        pieces = [buffered(shape(r), grow) for r in rows[rings_]]
-        found = rings(joined(pieces)) if pieces else []
+    def unite(shapes) -> tuple:
+        found = rings(joined([buffered(shape(r), grow) for r in shapes]))
         if simplify:
             found = [simplified(p, simplify) for p in found]
-        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in by}, "rings": [as_rings(found)], "area": [sum(map(ring_area, found))], "n_parts": [len(parts(found))]})
+        return as_rings(found), sum(map(ring_area, found)), len(parts(found))
+
+    on_workers(df.sparkSession)
+
+    @F.pandas_udf(f"rings {RINGS}, area double, n_parts int")
+    def united(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for groups in batches:
+            yield pd.DataFrame([unite(g) for g in groups], columns=["rings", "area", "n_parts"])
 
-    return df.select(*by, rings_).groupBy(*by).applyInPandas(unite, f"{keys}, rings {RINGS}, area double, n_parts int")
+    # batches of groups, as a call of Python for each of many small groups costs more than its shapes
+    of = df.groupBy(*by).agg(F.collect_list(rings_).alias("_shapes"))
+    return of.select(*by, united("_shapes").alias("_u")).select(*by, "_u.*")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import on_workers
+
 
 def edges(ring: Column) -> Column:
     """Array of (x0, y0, x1, y1), the last edge back to the first point."""
@@ -134,6 +136,7 @@ def shared_area(a, b) -> float:
 
 def with_shared_area(pairs: DataFrame, a: str, b: str, name: str = "shared_m2") -> DataFrame:
     """``pairs`` with the area that the rings in columns ``a`` and ``b`` share. Put box tests before it."""
+    on_workers(pairs.sparkSession)
     points = lambda ring: [(p["x"], p["y"]) for p in ring]
 
     @F.pandas_udf("double")

@@ -111,18 +111,18 @@ def identifier_integrity(objects: DataFrame, code: str = "code") -> DataFrame:
     return finding(objects.where(F.col(code).isNull()), "CODE_MISSING", "error", "object_id", None, F.lit(None)).union(finding(held, "CODE_DUPLICATE", "error", "object_id", "earlier", F.lit(None)))
 
 
-def area_mismatch(objects: DataFrame, tol: dict = TOLERANCES) -> DataFrame:
-    r = F.col("recorded_area_m2")
-    off = objects.where(r.isNotNull() & (r != 0)).withColumn("pct", 100.0 * F.abs(area() - r) / r).where(F.col("pct") > tol["area_mismatch_pct"])
+def area_mismatch(objects: DataFrame, tol: dict = TOLERANCES, size: Column | None = None) -> DataFrame:
+    r, size = F.col("recorded_area_m2"), area() if size is None else size
+    off = objects.where(r.isNotNull() & (r != 0)).withColumn("pct", 100.0 * F.abs(size - r) / r).where(F.col("pct") > tol["area_mismatch_pct"])
     return finding(off, "AREA_MISMATCH", "warning", "object_id", None, F.bround("pct", 2), r)
 
 
-def unauthorised_storeys(objects: DataFrame, tol: dict = TOLERANCES) -> DataFrame:
+def unauthorised_storeys(objects: DataFrame, tol: dict = TOLERANCES, size: Column | None = None) -> DataFrame:
     """More storeys scanned than sanctioned; the extra volume goes with the finding."""
     extra = F.col("storey_estimate_from_scan") - F.col("storeys_above_ground")
     b = of_kind(objects, "building").withColumn("extra", extra).where("extra > 0")
     sure = F.coalesce("facade_periodicity", F.lit(0.0)) >= tol["periodicity"]
-    return finding(b, "UNAUTHORISED_STOREY", F.when(sure, "error").otherwise("warning"), "object_id", None, F.col("extra"), F.col("extra") * F.coalesce("floor_height_m", F.lit(3.0)) * area())
+    return finding(b, "UNAUTHORISED_STOREY", F.when(sure, "error").otherwise("warning"), "object_id", None, F.col("extra"), F.col("extra") * F.coalesce("floor_height_m", F.lit(3.0)) * (area() if size is None else size))
 
 
 def provenance_review(objects: DataFrame, tol: dict = TOLERANCES) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import overlay, polygons
-from ..schema import EPS, TOLERANCES, lookup
-from .spatial import box_pairs, cell, overlap, plan_distance
+from ..schema import EPS, SEVERITIES, TOLERANCES, lookup
+from ..shared import stored
+from .spatial import box_pairs, overlap, plan_distance
 
 
 def with_boxes(parts: DataFrame) -> DataFrame:
@@ -72,42 +73,46 @@ def clearances(a: DataFrame, b: DataFrame, most: float) -> DataFrame:
     return near.groupBy("a_object_id", "b_object_id").agg(F.min(F.hypot("plan", gap)).alias("clearance"))
 
 
+def footprints(parts: DataFrame) -> DataFrame:
+    """``(object_id, rings, area)``: each object's plan, the union of its parts' where it has several."""
+    n = parts.groupBy("object_id").count()
+    one = part_measures(parts.join(n.where("count = 1").select("object_id"), "object_id", "left_semi")).select("object_id", "rings", "area")
+    several = parts.join(n.where("count > 1").select("object_id"), "object_id", "left_semi")
+    return one.unionByName(overlay.union_by(several, ["object_id"], "rings").select("object_id", "rings", "area"))
+
+
 def beyond_parent(parts: DataFrame, parents: DataFrame, grow: float = TOLERANCES["containment_buffer_m"]) -> DataFrame:
-    """``(object_id, parent_id, outside)``: the plan area of each child's parts beyond its parent's footprint, grown a little."""
-    up = parts.select(F.col("object_id").alias("parent_id"), F.col("rings").alias("p_rings"))
-    pairs = parents.join(parts, "object_id").join(up, "parent_id")
-    return pairs.withColumn("outside", overlay.outside(F.col("rings"), F.col("p_rings"), grow)).groupBy("object_id", "parent_id").agg(F.min("outside").alias("outside"))
+    """``(object_id, parent_id, outside)``: the area of each child's plan beyond its parent's, grown a little; plans are unions of parts."""
+    plans = stored(footprints(parts), "plans")
+    up = plans.select(F.col("object_id").alias("parent_id"), F.col("rings").alias("p_rings"))
+    pairs = parents.join(plans, "object_id").join(up, "parent_id")
+    return pairs.select("object_id", "parent_id", overlay.outside(F.col("rings"), F.col("p_rings"), grow).alias("outside"))
 
 
 def unclaimed(storeys: DataFrame, units: DataFrame) -> DataFrame:
     """``(object_id, floor, residue, rings)``: floor of each storey with units that none of them covers; ``units`` have parent_id."""
     own = units.select(F.col("parent_id").alias("object_id"), "rings")
     claimed = overlay.union_by(own, ["object_id"], "rings").select("object_id", F.col("rings").alias("claimed"))
-    out = storeys.select("object_id", "rings").join(claimed, "object_id").withColumn("left", overlay.difference(F.col("rings"), F.col("claimed")))
+    out = footprints(storeys).join(claimed, "object_id").withColumn("left", overlay.difference(F.col("rings"), F.col("claimed")))
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda total, ring: total + polygons.signed_area(ring))
-    floor = F.abs(polygons.signed_area(F.col("rings")[0])) - F.aggregate(F.slice("rings", 2, F.size("rings")), F.lit(0.0), lambda total, ring: total + F.abs(polygons.signed_area(ring)))
-    return out.select("object_id", floor.alias("floor"), size("left").alias("residue"), F.col("left").alias("rings"))
+    return out.select("object_id", F.col("area").alias("floor"), size("left").alias("residue"), F.col("left").alias("rings"))
 
 
 def best_shared(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each object of ``a`` the one of ``b`` with the largest shared plan area and their intersection over union; the smaller id of equals; null without any."""
-    pairs = box_pairs(_named(a), _named(b)).withColumn("area", overlay.shared(F.col("a_rings"), F.col("b_rings"))).where("area > 0")
-    each = pairs.groupBy("a_object_id", "b_object_id").agg(F.sum("area").alias("area"))
-    rank = F.row_number().over(Window.partitionBy("a_object_id").orderBy(F.desc("area"), "b_object_id"))
-    best = each.withColumn("r", rank).where("r = 1")
-    size = lambda t, n: part_measures(t).groupBy(F.col("object_id").alias(f"{n}_object_id")).agg(F.sum("area").alias(f"{n}_area"))
-    best = best.join(size(a, "a"), "a_object_id").join(size(b, "b"), "b_object_id")
+    plans = lambda t: stored(with_boxes(footprints(t)), "plans")
+    pairs = box_pairs(plans(a), plans(b)).withColumn("shared", overlay.shared(F.col("a_rings"), F.col("b_rings"))).where("shared > 0")
+    rank = F.row_number().over(Window.partitionBy("a_object_id").orderBy(F.desc("shared"), "b_object_id"))
+    best = pairs.withColumn("r", rank).where("r = 1").withColumn("area", F.col("shared"))
     best = best.select(F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("best_id"), F.col("area").alias("shared_m2"), (F.col("area") / (F.col("a_area") + F.col("b_area") - F.col("area"))).alias("iou"))
     return a.select("object_id").distinct().join(best, "object_id", "left")
 
 
 def probe(parts: DataFrame, probes: DataFrame, with_z: bool = True) -> DataFrame:
     """``(probe_id, object_id)`` of points in parts, borders included, holes not; of columns through them without ``with_z``."""
-    from .spatial import with_cells
+    from .spatial import in_boxes
 
-    boxes = with_cells(_named(parts))
-    at = probes.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    met = at.join(boxes, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    met = in_boxes(probes, _named(parts))
     if with_z:
         met = met.where((F.col("z") >= F.col("z_min") - EPS) & (F.col("z") <= F.col("z_max") + EPS))
     inside = polygons.contains(F.col("rings")[0], F.col("x"), F.col("y"))
@@ -171,6 +176,31 @@ def geometry_validity(parts: DataFrame) -> DataFrame:
     return finding(m.withColumn("crossing", crossing).withColumn("bad", rule).where("bad is not null"), F.col("bad"), "error", "object_id", None, F.col("volume"))
 
 
+def validate(parts: DataFrame, objects: DataFrame, tol: dict = TOLERANCES) -> DataFrame:
+    """All findings on objects of any plan, with the severity's rank.
+
+    ``objects`` has object_id, kind and parent_id, and of the register's other columns what
+    is known. Rules on shapes take parts and their unions; those on heights and records take
+    each object's box and plan area.
+    """
+    from functools import reduce
+
+    from . import rules
+
+    kinds = {"seq": "long", "level": "int", "provenance": "string", "confidence": "double", "corridor_kind": "string", "recorded_area_m2": "double", "storeys_above_ground": "int", "storey_estimate_from_scan": "int", "floor_height_m": "double", "facade_periodicity": "double"}
+    known = objects.select("*", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in objects.columns)).drop("x0", "y0", "x1", "y1", "z_min", "z_max", "plan_area")
+    boxes = with_boxes(parts).groupBy("object_id").agg(*(F.min(c).alias(c) for c in ("x0", "y0", "z_min")), *(F.max(c).alias(c) for c in ("x1", "y1", "z_max")))
+    boxed = known.join(boxes, "object_id", "left").join(footprints(parts).select("object_id", F.col("area").alias("plan_area")), "object_id", "left")
+    size = F.col("plan_area")
+    found = [
+        geometry_validity(parts), volumetric_overlap(parts, known, tol), rules.orphan_findings(known), plan_containment(parts, known, tol), rules.vertical_containment(boxed, tol), rules.storey_continuity(boxed, tol),
+        unassigned_area(parts, known, tol), corridor_clearance(parts, known, tol), rules.area_mismatch(boxed, tol, size), rules.unauthorised_storeys(boxed, tol, size), rules.provenance_review(known, tol),
+    ]
+    if "code" in objects.columns:
+        found.append(rules.identifier_integrity(known))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", lookup(F.col("severity"), SEVERITIES))
+
+
 # ---- documents
 
 

@@ -1,43 +1,83 @@
 """Joins of boxes: by column, by point, by overlap and by distance.
 
-Spark has no range join, so boxes are put into the cells of a grid and joined on the
-cell. A pair is kept only in the cell of its larger lower corner, so none comes twice and
-no distinct is needed.
+Spark has no range join, so boxes are put into the cells of grids and joined on the cell.
+There is a grid for each level of sizes, with cells four times as wide as the level below;
+a box lies in the grid of its size, where it meets four cells at most, however large it is.
+Two boxes meet in the grid of the larger one: the smaller is put into that grid too, but
+only if the other side has boxes of that level. A pair is kept only in the cell of its
+larger lower corner, so none comes twice and no distinct is needed.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EPS
 
-#: Metres of a cell's side: somewhat larger than most boxes.
-CELL = 32.0
+#: Metres of the finest cell's side, somewhat larger than most boxes, and the factor from level to level.
+CELL, FACTOR = 32.0, 4.0
+#: Levels: the coarsest cells are wider than the Earth is round.
+LEVELS = 11
+_KEY = ["_turn", "_level", "_cx", "_cy"]
+
+
+def cell(x: Column, level: Column) -> Column:
+    return F.floor(x / (CELL * F.pow(F.lit(FACTOR), level)))
+
+
+def level(x0: str = "x0", x1: str = "x1", y0: str = "y0", y1: str = "y1", grow: float = 0.0) -> Column:
+    """The level whose cells are as wide as the box, or the coarsest."""
+    size = F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)) + 2 * grow
+    found = F.ceil(F.log(F.greatest(size, F.lit(CELL)) / CELL) / math.log(FACTOR) - 1e-9)
+    return F.least(found, F.lit(LEVELS - 1)).cast("int")
 
 
-def cell(x: Column, size: float = CELL) -> Column:
-    return F.floor(x / size)
+def _with_levels(df: DataFrame, other: DataFrame, grow: float) -> DataFrame:
+    """The rows with the array ``_levels`` of levels that the other side's boxes have: one row, of a few numbers, is sent."""
+    found = other.select(level(grow=grow).alias("_l")).agg(F.collect_set("_l").alias("_levels"))
+    return df.crossJoin(F.broadcast(found))
 
 
-def with_cells(boxes: DataFrame, size: float = CELL, grow: float = 0.0) -> DataFrame:
-    """A row for each cell that a box, grown on all sides, meets: ``cx`` and ``cy``."""
-    span = lambda a, b: F.explode(F.sequence(cell(F.col(a) - grow, size), cell(F.col(b) + grow, size)))
-    return boxes.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+def _in_cells(boxes: DataFrame, grow: float) -> DataFrame:
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a) - grow, F.col("_level")), cell(F.col(b) + grow, F.col("_level"))))
+    return boxes.withColumn("_cx", span("x0", "x1")).withColumn("_cy", span("y0", "y1"))
 
 
 def _renamed(df: DataFrame, tag: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{tag}_{c}") if c not in ("cx", "cy") else F.col(c) for c in df.columns))
+    return df.select(*(F.col(c).alias(f"{tag}_{c}") if not c.startswith("_") else F.col(c) for c in df.columns))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, size: float = CELL, grow: float = 0.0) -> DataFrame:
-    """Pairs of boxes that touch in plan once ``a`` is grown; columns get the prefixes ``a_`` and ``b_``."""
-    left, right = _renamed(with_cells(a, size, grow), "a"), _renamed(with_cells(b, size), "b")
-    pairs = left.join(right, ["cx", "cy"])
+def box_pairs(a: DataFrame, b: DataFrame, grow: float = 0.0) -> DataFrame:
+    """Pairs of boxes that touch in plan once ``a`` is grown; columns get the prefixes ``a_`` and ``b_``.
+
+    Turn 0 joins boxes of ``a`` in their own grids with those of ``b`` of no higher level,
+    turn 1 boxes of ``b`` in theirs with smaller ones of ``a``.
+    """
+    at = lambda turn, levels: F.transform(levels, lambda x: F.struct(F.lit(turn).alias("turn"), x.alias("level")))
+    own = lambda *turns: F.array(*(F.struct(F.lit(t).alias("turn"), F.col("_l").alias("level")) for t in turns))
+    higher = F.filter("_levels", lambda x: x > F.col("_l"))
+
+    def side(df: DataFrame, other: DataFrame, tag: str, mine: Column, up: int, grow_: float, others_: float) -> DataFrame:
+        df = _with_levels(df.withColumn("_l", level(grow=grow_)), other, others_).withColumn("_at", F.explode(F.concat(mine, at(up, higher))))
+        df = _in_cells(df.withColumns({"_turn": F.col("_at.turn"), "_level": F.col("_at.level")}).drop("_at", "_levels", "_l"), grow_)
+        return _renamed(df, tag)
+
+    pairs = side(a, b, "a", own(0), 1, grow, 0.0).join(side(b, a, "b", own(0, 1), 0, 0.0, grow), _KEY)
     c = F.col
     touch = (c("a_x0") - grow <= c("b_x1")) & (c("b_x0") <= c("a_x1") + grow) & (c("a_y0") - grow <= c("b_y1")) & (c("b_y0") <= c("a_y1") + grow)
-    once = (c("cx") == F.greatest(cell(c("a_x0") - grow, size), cell(c("b_x0"), size))) & (c("cy") == F.greatest(cell(c("a_y0") - grow, size), cell(c("b_y0"), size)))
-    return pairs.where(touch & once).drop("cx", "cy")
+    corner = lambda axis: F.greatest(cell(c(f"a_{axis}0") - grow, c("_level")), cell(c(f"b_{axis}0"), c("_level")))
+    return pairs.where(touch & (c("_cx") == corner("x")) & (c("_cy") == corner("y"))).drop(*_KEY)
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, grow: float = 0.0) -> DataFrame:
+    """Rows of ``points`` (x, y) with those of ``boxes``, grown on all sides, that they lie in, borders included; names of both must differ."""
+    at = _with_levels(points, boxes, grow).withColumn("_level", F.explode("_levels")).drop("_levels")
+    at = at.withColumns({"_cx": cell(F.col("x"), F.col("_level")), "_cy": cell(F.col("y"), F.col("_level"))})
+    met = at.join(_in_cells(boxes.withColumn("_level", level(grow=grow)), grow), _KEY[1:])
+    return met.where(F.col("x").between(F.col("x0") - grow, F.col("x1") + grow) & F.col("y").between(F.col("y0") - grow, F.col("y1") + grow)).drop(*_KEY)
 
 
 def overlap(axis: str = "x") -> Column:
@@ -79,12 +119,10 @@ def at_point(objects: DataFrame, x: float, y: float, z: float, kinds: list[str]
 
 def probe(objects: DataFrame, probes: DataFrame, with_z: bool = True) -> DataFrame:
     """``(probe_id, object_id)`` for many probes ``(probe_id, x, y, z)`` at once."""
-    boxes = with_cells(objects)
-    points = probes.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    inside = (F.col("x").between(F.col("x0"), F.col("x1"))) & (F.col("y").between(F.col("y0"), F.col("y1")))
+    met = in_boxes(probes, objects)
     if with_z:
-        inside = inside & (F.col("z") >= F.col("z_min") - EPS) & (F.col("z") <= F.col("z_max") + EPS)
-    return points.join(boxes, ["cx", "cy"]).where(inside).select("probe_id", "object_id", "kind", "seq", "z_min")
+        met = met.where((F.col("z") >= F.col("z_min") - EPS) & (F.col("z") <= F.col("z_max") + EPS))
+    return met.select("probe_id", "object_id", "kind", "seq", "z_min")
 
 
 def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def solid_clearance(spark, sf):
 
 
 @query(_SITES + """ SELECT 'K' || k || '/B' AS object_id, 'K' || k || '/P' AS best_id, 27 * s * s AS shared_m2, round_even(27 / 99::DOUBLE, 9) AS iou FROM t
-UNION ALL SELECT 'K' || k || '/C', 'K' || k || '/P', round_even(least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5)), 9), round_even(least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5)) / (14 * s + 7.5 + 99 * s * s - least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5))), 9) FROM t""", False)
+UNION ALL SELECT 'K' || k || '/C', 'K' || k || '/P', round_even(least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5)), 9), round_even(least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5)) / (14 * s + 7.25 + 99 * s * s - least(10 * s, 8 * s) * greatest(0, least(1, 10 * s - 6 * s - 2.5))), 9) FROM t""", False)
 def solid_parcels(spark, sf):
     p, o = split(spark, sf)
     of = lambda *kinds: p.join(o.where(F.col("kind").isin(*kinds)).select("object_id"), "object_id", "left_semi")
@@ -186,3 +186,58 @@ def building_outline(spark, sf):
     s = F.col("s")
     want = (6 * s + 1) * (4 * s + 0.7) + (s + 0.7) * (s + 0.7)
     return u.select("k", "n_parts", side(F.array_min).alias("x0"), side(F.array_max).alias("x1"), (F.abs(F.col("area") - want) < 1.0).alias("area_fits"))
+
+
+# ---- unions of parts: a parent of two parts side by side, children across both, with a part far outside, and over the border
+
+_UNITED = {
+    "D": ("building", None, [[((0, 0), (3, 0), (3, 6), (0, 6))], [((3, 0), (6, 0), (6, 6), (3, 6))]], 0.0, 6.0),
+    "E": ("storey", "D", [[((1, 1), (5, 1), (5, 2), (1, 2))]], 0.0, 3.0),
+    "F": ("storey", "D", [[((1, 3), (2, 3), (2, 4), (1, 4))], [((10, 0), (12, 0), (12, 2), (10, 2))]], 3.0, 6.0),
+    "G": ("storey", "D", [[((4, 2), (5, 2), (5, 4), (4, 4))], [((5, 2), (7, 2), (7, 4), (5, 4))]], 6.0, 9.0),
+    "V": ("unit", "G", [[((4, 2), (6, 2), (6, 3), (4, 3))]], 6.0, 9.0),
+}
+
+
+def united(spark, sf):
+    site = sites(spark, sf)
+    name = lambda n: F.concat(F.lit("K"), "k", F.lit(f"/{n}")) if n else F.lit(None).cast("string")
+    each = [
+        F.struct(name(n).alias("object_id"), F.lit(i).alias("part_no"), F.array(*(_ring(*r) for r in rings)).alias("rings"), F.lit(lo).alias("z_min"), F.lit(hi).alias("z_max"), F.lit(kind).alias("kind"), name(up).alias("parent_id"))
+        for n, (kind, up, all_, lo, hi) in _UNITED.items() for i, rings in enumerate(all_)
+    ]
+    p = stored(site.select(F.explode(F.array(*each)).alias("o")).select("o.*"), "united")
+    return p.select("object_id", "part_no", "rings", "z_min", "z_max"), p.select("object_id", "kind", "parent_id").distinct()
+
+
+@query(_SITES + """ SELECT 'K' || k || '/' || n AS object_id, 'K' || k || '/' || p AS parent_id, round_even(a, 6) AS outside FROM t, LATERAL (VALUES ('E', 'D', 0.0::DOUBLE), ('F', 'D', 4 * s * s), ('G', 'D', (s - 0.05) * 2 * s), ('V', 'G', 0.0::DOUBLE)) x(n, p, a)""", False)
+def composite_containment(spark, sf):
+    p, o = united(spark, sf)
+    return solids.beyond_parent(p, o.where("parent_id is not null").select("object_id", "parent_id")).withColumn("outside", F.bround("outside", 6))
+
+
+@query(_SITES + """ SELECT 'K' || k || '/G' AS object_id, round_even(6 * s * s, 6) AS floor, round_even(4 * s * s, 6) AS residue FROM t""", False)
+def composite_unclaimed(spark, sf):
+    p, o = united(spark, sf)
+    of = lambda kind: p.join(o.where(F.col("kind") == kind).select("object_id", "parent_id"), "object_id")
+    return solids.unclaimed(of("storey"), of("unit")).select("object_id", F.bround("floor", 6).alias("floor"), F.bround("residue", 6).alias("residue"))
+
+
+_ALL = _NEAR.split("\nSELECT", 1)
+_VALID = [
+    _F.format(rule="VERT_OVERLAP", severity="error", a="U1", b="'K' || k || '/U2'", m="0.75 * s * s", c="3"),
+    _F.format(rule="PLAN_CONTAINMENT", severity="error", a="U3", b="'K' || k || '/B'", m="(s - 0.05) ** 2 / 4", c="NULL") + " WHERE (s - 0.05) ** 2 / 4 > 0.25",
+    _F.format(rule="UNASSIGNED_AREA", severity="info", a="S", b="NULL", m="4.75 * s * s", c="round_even(4.75 / 27, 6)"),
+    "SELECT" + _ALL[1],
+    _F.format(rule="AREA_MISMATCH", severity="warning", a="B", b="NULL", m="35.0", c="20 * s * s"),
+    _F.format(rule="UNAUTHORISED_STOREY", severity="error", a="B", b="NULL", m="2", c="2 * 3 * 27 * s * s"),
+    _F.format(rule="HIER_ORPHAN", severity="error", a="U3b", b="'K' || k || '/none'", m="NULL::DOUBLE", c="NULL").replace("'/U3b'", "'/L'"),
+]
+
+
+@query(_SITES + _ALL[0] + " " + " UNION ALL ".join(f"(SELECT *, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM ({x}))" for x in _VALID), False)
+def solid_validation(spark, sf):
+    p, o = split(spark, sf)
+    lost = sites(spark, sf).select(F.concat(F.lit("K"), "k", F.lit("/L")).alias("object_id"), F.lit("unit").alias("kind"), F.concat(F.lit("K"), "k", F.lit("/none")).alias("parent_id"), F.lit(None).cast("string").alias("corridor_kind"))
+    site = sites(spark, sf).select(F.concat(F.lit("K"), "k", F.lit("/B")).alias("object_id"), (20 * F.col("s") * F.col("s")).alias("recorded_area_m2"), F.lit(2).alias("storeys_above_ground"), F.lit(4).alias("storey_estimate_from_scan"), F.lit(3.0).alias("floor_height_m"), F.lit(0.5).alias("facade_periodicity"))
+    return _shown(solids.validate(p, o.unionByName(lost).join(site, "object_id", "left")))
