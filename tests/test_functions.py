@@ -12,7 +12,7 @@ from volreg.functions import geodesy, idcode, polygons
 from volreg.operators import cloud, hierarchy, raster, register, rules, scoring, spatial
 from volreg.plans import plan2d
 from volreg.schema import OBJECT_COLUMNS, TOLERANCES
-from volreg.sources import files
+from volreg.sources import files, pointfiles
 from volreg.streaming import mint
 
 
@@ -254,7 +254,7 @@ def test_files_round_trip(spark, tmp_path):
     head[131:179] = struct.pack("<6d", 0.01, 0.01, 0.001, 100.0, 200.0, 0.0)
     body = b"".join(struct.pack("<iiiHBBbBH", x, y, z, 7, 0b010001, c, 0, 0, 0) for x, y, z, c in ((100, 200, 3000, 2), (-100, 0, 500, 6)))
     (tmp_path / "a.las").write_bytes(bytes(head) + body)
-    got = files.read_las(spark, str(tmp_path / "a.las")).orderBy("z").collect()
+    got = pointfiles.read(spark, str(tmp_path / "a.las")).orderBy("z").collect()
     assert [(round(r.x, 3), round(r.y, 3), r.z, r.classification, r.return_number, r.intensity) for r in got] == [(99.0, 200.0, 0.5, 6, 1, 7), (101.0, 202.0, 3.0, 2, 1, 7)]
     o = box(spark, ("P&1", "parcel", None, 0, 0, 10, 10, 0, 3))
     files.save(o, str(tmp_path / "register"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .fixtures import REGISTER_SQL, _lots, register, table
@@ -10,7 +12,8 @@ from .operators import cloud, imagery, raster, scoring
 from .operators import register as reg
 from .operators.cloud import stored
 from .queries import _SCANS, query, scans
-from .sources import files
+from .shared import shared_folder
+from .sources import pointfiles
 from .survey_queries import _LATTICE, _filled_sql
 
 # ---- an image of 20 columns from parts: stripes of plants, shadow and roofs
@@ -204,5 +207,7 @@ def pixel_to_world(spark, sf):
 def las_round_trip(spark, sf):
     k = F.col("l_orderkey")
     p = table(spark, sf, "lineitem").select((k % 97 / 2).alias("x"), (F.col("l_partkey") % 61 / 2).alias("y"), (F.col("l_quantity") / 4).alias("z"), F.col("l_linenumber").cast("smallint").alias("classification"), F.lit(7).alias("intensity"), F.lit(1).cast("smallint").alias("return_number"))
-    back = files.read_las_content(stored(files.las_parts(p.repartition(4)), "las"))
+    at = f"{shared_folder(spark)}/las-{uuid.uuid4().hex}"
+    pointfiles.write(p.repartition(4), at)
+    back = pointfiles.read(spark, at, schema="z double, classification smallint")
     return back.groupBy("classification").agg(F.count("*").alias("n"), F.bround(F.sum("z"), 6).alias("z"))

@@ -31,66 +31,6 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return with_pid(p.where("x is not null and y is not null and z is not null"))
 
 
-def las_parts(points: DataFrame, scale: float = 0.001) -> DataFrame:
-    """``(part, n, content)``: the points as uncompressed LAS 1.2 files of format 0, one for each partition, to be written as they are."""
-    import struct
-
-    import numpy as np
-    import pandas as pd
-    from pyspark import TaskContext
-
-    def encode(batches):
-        rows = [b for b in batches if len(b)]
-        if rows:
-            p = pd.concat(rows)
-            xyz = p[["x", "y", "z"]].to_numpy()
-            low, high = xyz.min(0), xyz.max(0)
-            whole = np.rint((xyz - low) / scale).astype("<i4")
-            out = np.zeros(len(p), dtype=[("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("kind", "u1"), ("rest", "u1", 4)])
-            out["xyz"], out["intensity"] = whole, p["intensity"].fillna(0)
-            out["flags"], out["kind"] = p["return_number"].fillna(1).astype(int) & 7, p["classification"].fillna(1).astype(int) & 31
-            head = bytearray(227)
-            head[:4], head[24:26], head[104] = b"LASF", bytes([1, 2]), 0
-            head[94:100], head[105:111] = struct.pack("<HI", 227, 227), struct.pack("<HI", 20, len(p))
-            head[131:227] = struct.pack("<12d", *[scale] * 3, *low, *(v for hi_lo in zip(high, low, strict=True) for v in hi_lo))
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [len(p)], "content": [bytes(head) + out.tobytes()]})
-
-    return points.select("x", "y", "z", "classification", "intensity", "return_number").mapInPandas(encode, "part int, n long, content binary")
-
-
-def read_las_content(files_: DataFrame) -> DataFrame:
-    """The points of ``files_ (content)``: whole LAS files as binary values."""
-    return with_pid(files_.select("content").mapInPandas(_decode_las, POINTS))
-
-
-#: Bytes of a public LAS 1.x header and of a point's common start.
-_HEADER, _POINT = 227, 20
-
-
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Uncompressed LAS files, one Arrow batch of files at a time: coordinates, class, intensity, return number."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_decode_las, POINTS)
-
-
-def _decode_las(files):
-    import numpy as np
-    import pandas as pd
-
-    for pdf in files:
-        for content in pdf["content"]:
-            if content[:4] != b"LASF":
-                raise ValueError("not a LAS file")
-            head = np.frombuffer(content, np.uint8, _HEADER)
-            at = int(head[96:100].view("<u4")[0])
-            form, size = int(head[104]) & 0x3F, int(head[105:107].view("<u2")[0])
-            n = int(head[107:111].view("<u4")[0]) or int(np.frombuffer(content, "<u8", 1, 247)[0])
-            scale, offset = head[131:155].view("<f8"), head[155:179].view("<f8")
-            raw = np.frombuffer(content, np.uint8, n * size, at).reshape(n, size)
-            xyz = np.ascontiguousarray(raw[:, :12]).view("<i4") * scale + offset
-            flags, kind = raw[:, 14], raw[:, 16 if form >= 6 else 15]
-            yield pd.DataFrame({"x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "classification": kind.astype("int16") & (255 if form >= 6 else 31), "intensity": np.ascontiguousarray(raw[:, 12:14]).view("<u2")[:, 0].astype("int32"), "return_number": (flags & (15 if form >= 6 else 7)).astype("int16")})
-
-
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Polygons of GeoJSON files: (id, owner, land_use, ring) with the outer ring's positions."""
     schema = "type string, features array<struct<properties:struct<parcel_id:string,owner:string,land_use:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
