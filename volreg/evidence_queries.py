@@ -164,10 +164,10 @@ def surface_parcels(spark, sf):
 
 
 @query(_CLOUD + """, rp AS MATERIALIZED (SELECT pid, x, y, z, pid % 5 AS label FROM (SELECT *, row_number() OVER (PARTITION BY floor(x / 1.5), floor(y / 1.5), floor(z / 1.5) ORDER BY pid) AS r FROM p) WHERE r = 1)
-SELECT p.pid, (SELECT arg_min(label, ((p.x-r.x)**2 + (p.y-r.y)**2 + (p.z-r.z)**2, r.pid)) FROM rp r WHERE (p.x-r.x)**2 + (p.y-r.y)**2 + (p.z-r.z)**2 <= 2.6::DOUBLE * 2.6::DOUBLE) AS label FROM p""", False)
+SELECT p.pid, (SELECT arg_min(label, ((p.x-r.x)**2 + (p.y-r.y)**2 + (p.z-r.z)**2, r.pid)) FROM rp r WHERE r.x < 12 AND r.y < 5) AS label FROM p""", False)
 def spread_labels(spark, sf):
     p = small_cloud(spark, sf)
-    return imagery.spread_labels(p, cloud.voxels(p, 1.5).withColumn("label", F.col("pid") % 5), 2.6)
+    return imagery.spread_labels(p, cloud.voxels(p, 1.5).where("x < 12 and y < 5").withColumn("label", F.col("pid") % 5), 2.6)
 
 
 @query(_CLOUD + " SELECT pid, round_even(1 / (1 + exp(-(z * 8 - 2.5::DOUBLE) / 0.4::DOUBLE)) * greatest(0, least(1, (pid % 9) / 8::DOUBLE - 1.4::DOUBLE * (pid % 4) / 10::DOUBLE)) * CASE WHEN pid % 3 > 0 THEN 0.25 ELSE 1 END, 9) AS score FROM p", False)

@@ -206,3 +206,38 @@ def storeys(buildings: DataFrame, pitches: DataFrame) -> DataFrame:
     fitted = F.when(~weak & ((fitted < 1.92) | (fitted > 6.24)), per(F.lit(3.0))).otherwise(fitted)
     base = buildings.join(pitches, "b", "left").withColumn("storey_m", fitted).withColumn("n", F.greatest(F.lit(1), F.rint(h / F.col("storey_m")).cast("int")))
     return base.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("level"), "storey_m", "ground", "n", "eave").select("b", "level", (F.col("ground") + F.col("level") * F.col("storey_m")).alias("z_min"), F.when(F.col("level") == F.col("n") - 1, F.col("eave")).otherwise(F.col("ground") + (F.col("level") + 1) * F.col("storey_m")).alias("z_max"))
+
+
+def nearest_of(points: DataFrame, others: DataFrame, reach: float) -> DataFrame:
+    """``(pid, other, d2)``: of ``others`` the one nearest to each point at any distance, the smallest pid of equals.
+
+    First all within ``reach``. Who has found none looks further, twice as far each time, but
+    only at the boxes of what lies in cells of a quarter of that distance: the farthest
+    corner of one box bounds the distance, and only points in boxes that begin nearer are met.
+    """
+    near = lambda df: df.groupBy("pid").agg(F.min_by(F.struct("other", "d2"), F.struct("d2", "other")).alias("m")).select("pid", "m.other", "m.d2")
+    points, others = points.select("pid", "x", "y", "z"), stored(others.select("pid", "x", "y", "z"), "others")
+    out = stored(near(neighbours(points, others, reach)), "near")
+    left = stored(points.join(out.select("pid"), "pid", "left_anti"), "left")
+    if others.isEmpty():
+        return out
+    while not left.isEmpty():
+        reach *= 2
+        fine, coarse = (lambda c: F.floor(F.col(c) / (reach / 4))), (lambda c: F.floor(F.floor(F.col(c) / (reach / 4)) / 4))
+        placed = others.select(F.col("pid").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *(fine(c).alias(f"f{c}") for c in "xyz"), *(coarse(c).alias(f"c{c}") for c in "xyz"))
+        keys, inside = [f"c{c}" for c in "xyz"], [f"f{c}" for c in "xyz"]
+        boxes = placed.groupBy(*keys, *inside).agg(*(f(f"o{c}").alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+        shifts = F.explode(F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip("ijk", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+        seek = left.select("*", shifts.alias("s")).select("pid", "x", "y", "z", *((coarse(c) + F.col(f"s.{i}")).alias(f"c{c}") for c, i in zip("xyz", "ijk", strict=True)))
+        met = seek.join(boxes, keys)
+        below = sum((F.pow(F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), F.lit(0.0)), 2) for c in "xyz"), F.lit(0.0))
+        above = sum((F.pow(F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))), 2) for c in "xyz"), F.lit(0.0))
+        met = stored(met.select("pid", "x", "y", "z", *inside, below.alias("below"), above.alias("above")), "boxes")
+        bound = met.groupBy("pid").agg(F.min("above").alias("bound"))
+        some = met.join(bound, "pid").where("below <= bound").join(placed, inside)
+        d2 = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in "xyz"), F.lit(0.0))
+        # what lies within reach lies in the cells around; what is farther may have nearer ones beyond them
+        found = stored(near(some.withColumn("d2", d2).select("pid", "other", "d2")).where(F.col("d2") <= reach * reach), "near")
+        out = out.union(found)
+        left = stored(left.join(found.select("pid"), "pid", "left_anti"), "left")
+    return out

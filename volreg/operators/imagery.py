@@ -123,12 +123,14 @@ def surface_heights(parcels: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def spread_labels(points: DataFrame, representatives: DataFrame, reach: float) -> DataFrame:
-    """``(pid, label)``: of the representative (pid, x, y, z, label) that is nearest within ``reach``, the smallest pid of equals; null without any."""
-    from .cloud import neighbours
+    """``(pid, label)``: of the nearest representative (pid, x, y, z, label) at any distance, the smallest pid of equals.
+
+    ``reach`` is where the search begins; null only where there is no representative at all.
+    """
+    from .cloud import nearest_of
 
-    near = neighbours(points, representatives, reach).groupBy("pid").agg(F.min_by("other", F.struct("d2", "other")).alias("other"))
     label = representatives.select(F.col("pid").alias("other"), "label")
-    return points.select("pid").join(near.join(label, "other").select("pid", "label"), "pid", "left")
+    return points.select("pid").join(nearest_of(points, representatives, reach).join(label, "other").select("pid", "label"), "pid", "left")
 
 
 def roof_levels(points: DataFrame, by: str = "b") -> DataFrame:
