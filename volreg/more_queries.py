@@ -434,7 +434,7 @@ def mercator_world(spark, sf):
     return located(spark, sf).select("k", F.round(x, 3).alias("px"), F.round(y, 3).alias("py"), F.round(geodesy.metres_per_pixel(F.col("lat"), F.lit(18)), 9).alias("metres"))
 
 
-@query("SELECT o_orderkey AS k, round(0.8 * lat - 0.6 * lon + 10, 2) AS x, round(0.6 * lat + 0.8 * lon + 20, 2) AS y, round(h + 3, 2) AS z FROM (SELECT o_orderkey, 18.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 65536 AS lat, 73.75::DOUBLE + (o_orderkey % 1009)::DOUBLE / 32768 AS lon, (o_orderkey % 100)::DOUBLE AS h FROM orders)", False)
+@query("SELECT o_orderkey AS k, round(0.8 * lat - 0.6 * lon + 10 + 0.01::DOUBLE / 32768, 2) AS x, round(0.6 * lat + 0.8 * lon + 20 + 0.01::DOUBLE / 32768, 2) AS y, round(h + 3, 2) AS z FROM (SELECT o_orderkey, 18.5::DOUBLE + (o_orderkey % 997)::DOUBLE / 65536 AS lat, 73.75::DOUBLE + (o_orderkey % 1009)::DOUBLE / 32768 AS lon, (o_orderkey % 100)::DOUBLE AS h FROM orders)", False)
 def helmert_apply(spark, sf):
     import numpy as np
 
@@ -444,7 +444,8 @@ def helmert_apply(spark, sf):
     observed[5] += 0.75
     fit = geodesy.fit_similarity(observed, known, np.full(8, 0.02))
     x, y, z = fit.apply(F.col("lat"), F.col("lon"), F.col("h"))
-    return located(spark, sf).select("k", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), F.round(z, 2).alias("z"))
+    off = F.lit(0.01) / 32768  # positions are multiples of a fraction of this, so none lies at a tie, where the fit's last bits would decide
+    return located(spark, sf).select("k", F.round(x + off, 2).alias("x"), F.round(y + off, 2).alias("y"), F.round(z, 2).alias("z"))
 
 
 # ---- exports and streams

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EPS
+from ..shared import stored
 
 #: Metres of the finest cell's side, somewhat larger than most boxes, and the factor from level to level.
 CELL, FACTOR = 32.0, 4.0
@@ -54,8 +55,10 @@ def box_pairs(a: DataFrame, b: DataFrame, grow: float = 0.0) -> DataFrame:
     """Pairs of boxes that touch in plan once ``a`` is grown; columns get the prefixes ``a_`` and ``b_``.
 
     Turn 0 joins boxes of ``a`` in their own grids with those of ``b`` of no higher level,
-    turn 1 boxes of ``b`` in theirs with smaller ones of ``a``.
+    turn 1 boxes of ``b`` in theirs with smaller ones of ``a``. Both sides are stored, as
+    each is read for its boxes and for its levels.
     """
+    a, b = (stored(a, "boxes"),) * 2 if a is b else (stored(a, "boxes"), stored(b, "boxes"))
     at = lambda turn, levels: F.transform(levels, lambda x: F.struct(F.lit(turn).alias("turn"), x.alias("level")))
     own = lambda *turns: F.array(*(F.struct(F.lit(t).alias("turn"), F.col("_l").alias("level")) for t in turns))
     higher = F.filter("_levels", lambda x: x > F.col("_l"))
@@ -74,6 +77,7 @@ def box_pairs(a: DataFrame, b: DataFrame, grow: float = 0.0) -> DataFrame:
 
 def in_boxes(points: DataFrame, boxes: DataFrame, grow: float = 0.0) -> DataFrame:
     """Rows of ``points`` (x, y) with those of ``boxes``, grown on all sides, that they lie in, borders included; names of both must differ."""
+    boxes = stored(boxes, "boxes")
     at = _with_levels(points, boxes, grow).withColumn("_level", F.explode("_levels")).drop("_levels")
     at = at.withColumns({"_cx": cell(F.col("x"), F.col("_level")), "_cy": cell(F.col("y"), F.col("_level"))})
     met = at.join(_in_cells(boxes.withColumn("_level", level(grow=grow)), grow), _KEY[1:])

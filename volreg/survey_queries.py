@@ -143,22 +143,21 @@ def storey_segmentation(spark, sf):
 @query(_FACADE + " SELECT b, round_even(pitch, 6) AS pitch_m, round_even(strength, 6) AS strength FROM pch", False)
 def facade_pitch(spark, sf):
     b, p = towers(spark, sf)
-    df = stored(facade.smoothed(facade.bins(facade.around(b, p), b)), "bins")
+    df = facade.signals(facade.around(b, p), b)
     return facade.pitches(df).select("b", F.bround("pitch_m", 6).alias("pitch_m"), F.bround("strength", 6).alias("strength"))
 
 
 @query(_FACADE + " SELECT b, bin, n, round_even(s, 9) AS s, round_even(v, 6) AS v FROM sm JOIN sg USING (b, bin)", False)
 def facade_signal(spark, sf):
     b, p = towers(spark, sf)
-    df = facade.smoothed(facade.bins(facade.around(b, p), b)).where(F.col("bins") >= facade.LEAST_BINS)
-    return facade.detrended(df, 104).select("b", "bin", "n", F.bround("s", 9).alias("s"), F.bround("v", 6).alias("v"))
+    return facade.detrended(facade.signals(facade.around(b, p), b), 104).select("b", "bin", F.col("n").cast("long").alias("n"), F.bround("s", 9).alias("s"), F.bround("v", 6).alias("v"))
 
 
 @query(_FACADE + " SELECT b, round_even(phase, 6) AS phase_m FROM ph", False)
 def comb_phase(spark, sf):
     b, p = towers(spark, sf)
-    df = stored(facade.smoothed(facade.bins(facade.around(b, p), b)), "bins")
-    fit = stored(facade.fitted(b.select("b", "ground", "eave"), facade.pitches(df)), "fit")
+    df = stored(facade.signals(facade.around(b, p), b), "signals")
+    fit = facade.fitted(b, facade.pitches(df))
     return facade.phases(df, fit).select("b", F.bround("phase_m", 6).alias("phase_m"))
 
 
