@@ -2,7 +2,7 @@
 
 import pytest
 
-from volreg import evidence_queries, more_queries, register_queries, site_queries, solid_queries, survey_queries  # noqa: F401
+from volreg import evidence_queries, more_queries, register_queries, site_queries, solid_queries, sql_queries, survey_queries  # noqa: F401
 from volreg.queries import ORACLE_SQL, QUERIES
 
 from .conftest import SMALL, same_rows

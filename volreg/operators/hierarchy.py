@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cloud import stored
+from ..shared import stored
 
 
 def children(objects: DataFrame) -> DataFrame:
@@ -57,6 +57,33 @@ def tree(objects: DataFrame) -> DataFrame:
     return below.union(roots)
 
 
+def nested(objects: DataFrame) -> DataFrame:
+    """``(object_id, n_objects, document)``: a JSON document for each root, with all below it nested as ``children``, any depth.
+
+    Siblings come by kind, falling level and id. The fold goes bottom-up, a level at a
+    time: what lies below an object is one text by then, so a level costs one shuffle.
+    An object whose parent is absent is a root.
+    """
+    depth = ancestors(objects).groupBy("object_id").agg(F.max("distance").alias("depth"))
+    there = objects.select(F.col("object_id").alias("parent_id"), F.lit(True).alias("known"))
+    head = F.to_json(F.struct("object_id", "kind", "level"))
+    nodes = objects.join(depth, "object_id", "left").join(there, "parent_id", "left").select("object_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.coalesce("depth", F.lit(0)).alias("depth"), F.struct("kind", (-F.col("level")).alias("down"), "object_id").alias("place"), F.substring(head, F.lit(1), F.length(head) - 1).alias("head"))
+    nodes = stored(nodes, "nodes")
+    last = nodes.agg(F.max("depth")).first()[0]
+    docs = None
+    for d in range(last if last is not None else 0, -1, -1):
+        own = nodes.where(F.col("depth") == d)
+        if docs is None:
+            own = own.withColumns({"below": F.array().cast("array<string>"), "n": F.lit(0).cast("long")})
+        else:
+            # an object's document holds those of its children, so they must meet
+            kids = docs.groupBy(F.col("parent_id").alias("object_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "document"))), lambda x: x["document"]).alias("below"), F.sum("n_objects").alias("n"))
+            own = own.join(kids, "object_id", "left")
+        text = F.concat("head", F.lit(',"children":['), F.array_join(F.coalesce("below", F.array().cast("array<string>")), ","), F.lit("]}"))
+        docs = stored(own.select("object_id", "parent_id", "place", (F.coalesce("n", F.lit(0)) + 1).alias("n_objects"), text.alias("document")), "documents")
+    return docs.select("object_id", "n_objects", "document")
+
+
 def section_height(objects: DataFrame) -> DataFrame:
     """For each level, the height of a plane just above its storeys."""
     return objects.where("kind = 'storey'").groupBy("level").agg((F.max("z_max") + 0.05).alias("plane_z"), F.count("*").alias("n_storeys"))
