@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from volreg.llm import toxicity, wordkernel
 from volreg.llm.jaccard_join import jaccard_components, one_of_each
@@ -75,3 +76,15 @@ def test_least_point_of_a_bowl():
     h, b = a.T @ a + 0.1 * np.eye(6), r.normal(size=6)
     x = toxicity.least(lambda x: (x @ h @ x / 2 - b @ x, h @ x - b), np.zeros(6))
     assert np.allclose(x, np.linalg.solve(h, b), atol=0.02)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_item_ids_of_any_type(spark, kind):
+    from volreg.llm.decontaminate import contaminated
+
+    passage = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "other words here"), (None, passage)], "doc_id int, text string")
+    items = spark.sql(f"select cast(x as {kind}) as item_id, text from values (7, '{passage}'), (null, '{passage}'), (8, null) as t(x, text)")
+    got = contaminated(docs, items)
+    assert dict(got.dtypes)["item_id"] == dict(items.dtypes)["item_id"]
+    assert sorted(map(repr, {(r.doc_id, r.item_id) for r in got.collect()})) == sorted(map(repr, [(d, i) for d in (1, None) for i in (7 if kind != "string" else "7", None)]))

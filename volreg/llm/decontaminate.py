@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_batches, on_workers, record, split_batch, with_text
 from .wordkernel import NOT_ALNUM, Points, Words, inner_windows, text_of_words, windows, words
@@ -248,11 +249,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id {}, item_id {}, score double, start long, end long, n_seeds long".format(*keys)
     out = docs.sparkSession.createDataFrame([], schema)
     for ids, index in seeded(docs, benchmark):
-        out = out.union(map_batches(docs, partial(_rows, ids=ids, index=index), schema))
+        named = pa.array(ids, to_arrow_type(benchmark.schema["item_id"].dataType))
+        out = out.union(map_batches(docs, partial(_rows, ids=named, index=index), schema))
     return out
 
 
-def _rows(batch: pa.RecordBatch, ids: list, index) -> pa.RecordBatch | None:
+def _rows(batch: pa.RecordBatch, ids: pa.Array, index) -> pa.RecordBatch | None:
     found = matches(batch, index.value)
     if not found:
         return None
@@ -260,7 +262,7 @@ def _rows(batch: pa.RecordBatch, ids: list, index) -> pa.RecordBatch | None:
     w = words(batch.column("text"), NOT_ALNUM)  # lower case may change a word's length, but not which words there are
     points = Points(w.data)
     zero = points[w.text_at[row]]
-    return record(doc_id=batch.column("doc_id").take(pa.array(row)), item_id=pa.array([ids[i] for i in item]), score=np.round(score, 4), start=points[w.start[first]] - zero, end=points[w.end[end - 1]] - zero, n_seeds=n)
+    return record(doc_id=batch.column("doc_id").take(pa.array(row)), item_id=ids.take(pa.array(item)), score=np.round(score, 4), start=points[w.start[first]] - zero, end=points[w.end[end - 1]] - zero, n_seeds=n)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_ITEM_WORDS) -> DataFrame:
