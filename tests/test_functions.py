@@ -259,6 +259,18 @@ def test_files_round_trip(spark, tmp_path):
     o = box(spark, ("P&1", "parcel", None, 0, 0, 10, 10, 0, 3))
     files.save(o, str(tmp_path / "register"))
     assert files.load(spark, str(tmp_path / "register")).count() == 1
+    place = ({"state": "27", "district": "025", "tehsil": "004"}, {"lat": 18.5, "lon": 73.8, "height": 0.0})
+    files.save_document(o, str(tmp_path / "document"), "Site", *place)
+    again, head = files.load_document(spark, str(tmp_path / "document"))
+    assert again.count() == 1 and head["stats"]["by_kind"] == {"parcel": 1} and head["jurisdiction"] == place[0] and head["origin"] == place[1]
+    with pytest.raises(Exception, match="already exists"):
+        files.save_document(o, str(tmp_path / "document"), "Site", *place)
+    files.save_document(o.union(o), str(tmp_path / "doubled"), "Site", *place)
+    with pytest.raises(ValueError, match="more than once: object_id P&1"):
+        files.load_document(spark, str(tmp_path / "doubled"))
+    o.write.mode("append").partitionBy("kind").parquet(str(tmp_path / "document" / "objects"))
+    with pytest.raises(ValueError, match="more than once"):
+        files.load_document(spark, str(tmp_path / "document"))
     f = json.loads(one(files.geojson(o, geodesy.Local(18.5, 73.8))).feature)
     ring = f["geometry"]["coordinates"][0]
     assert ring[0] == ring[-1] == [73.8, 18.5] and f["properties"]["area_m2"] == 100

@@ -47,6 +47,41 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_document(objects: DataFrame, path: str, name: str, jurisdiction: dict[str, str], origin: dict[str, float]) -> None:
+    """A register as a folder: ``objects`` in parts by kind, and ``register``, one JSON line with its name, jurisdiction, origin and statistics.
+
+    The statistics are aggregates of what was written; the line comes last, so a folder
+    without it is no register.
+    """
+    spark = objects.sparkSession
+    objects.write.mode("errorifexists").partitionBy("kind").parquet(f"{path}/objects")
+    by_kind = spark.read.parquet(f"{path}/objects").groupBy("kind").agg(F.count("*").alias("n"), *(f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("z_min", F.min), ("x1", F.max), ("y1", F.max), ("z_max", F.max))))
+    # a row for each kind
+    total = by_kind.agg(F.sum("n").alias("objects"), F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("by_kind"), F.struct(*(f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("z_min", F.min), ("x1", F.max), ("y1", F.max), ("z_max", F.max)))).alias("extent"))
+    known = lambda d: F.struct(*(F.lit(v).alias(k) for k, v in d.items()))
+    head = total.select(F.lit(name).alias("name"), known(jurisdiction).alias("jurisdiction"), known(origin).alias("origin"), F.struct("objects", "by_kind", "extent").alias("stats"))
+    head.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("errorifexists").text(f"{path}/register")
+
+
+def load_document(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The objects of a saved register and its head. Doubled ids or codes, and a number of objects that is not the head's, are errors before anything is returned.
+
+    Ids and codes are counted by one aggregation, whose few offenders alone reach the driver.
+    """
+    import json
+
+    head = json.loads(spark.read.text(f"{path}/register").first()[0])
+    objects = spark.read.parquet(f"{path}/objects")
+    named = [F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in ("object_id", "code") if c in objects.columns]
+    counts = objects.select(F.explode(F.array(*named)).alias("v")).where("v.value is not null").groupBy("v").count()
+    doubled = [f"{r.v.what} {r.v.value}" for r in counts.where("count > 1").orderBy("v").limit(5).collect()]
+    if doubled:
+        raise ValueError(f"in the register more than once: {', '.join(doubled)}")
+    if (n := objects.count()) != head["stats"]["objects"]:
+        raise ValueError(f"the register has {n} objects, its head says {head['stats']['objects']}")
+    return objects, head
+
+
 def box_ring(origin: Local | None = None) -> Column:
     """The closed ring of a box, in degrees at the ground if an origin is given."""
     corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")]

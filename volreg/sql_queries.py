@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .fixtures import register, table
 from .functions.sql import register_functions
 from .operators import hierarchy
 from .queries import _ANCESTORS, _GEOHASH, positions, query
+from .shared import shared_folder
+from .sources import files
 
 
 @query(_GEOHASH + "SELECT k, code AS geohash, array_to_string(ds[3:6], '') AS unit36, right(compact, 1) AS mark FROM ids", False)
@@ -48,3 +52,15 @@ def _fold_sql() -> str:
 @query(_fold_sql())
 def register_tree(spark, sf):
     return hierarchy.nested(register(spark, sf))
+
+
+@query("SELECT kind, count(*) AS n, count(*) AS n_in_head, round_even(sum((x1 - x0) * (y1 - y0) * (z_max - z_min)), 3) AS volume, 'Block 7' AS name, '27/025/004' AS jurisdiction, 18.5::DOUBLE AS lat, (SELECT count(*) FROM objects) AS objects, (SELECT max(z_max) FROM objects) AS top FROM objects GROUP BY 1")
+def register_document(spark, sf):
+    path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    files.save_document(register(spark, sf), path, "Block 7", {"state": "27", "district": "025", "tehsil": "004"}, {"lat": 18.5, "lon": 73.75, "height": 560.0})
+    objects, head = files.load_document(spark, path)
+    volume = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z_max") - F.col("z_min"))
+    by_kind = objects.groupBy("kind").agg(F.count("*").alias("n"), F.bround(F.sum(volume), 3).alias("volume"))
+    stats, place = head["stats"], head["jurisdiction"]
+    counted = spark.createDataFrame(list(stats["by_kind"].items()), "kind string, n_in_head long")
+    return by_kind.join(counted, "kind", "left").select("kind", "n", "n_in_head", "volume", F.lit(head["name"]).alias("name"), F.lit("/".join(place.values())).alias("jurisdiction"), F.lit(head["origin"]["lat"]).alias("lat"), F.lit(stats["objects"]).cast("long").alias("objects"), F.lit(stats["extent"]["z_max"]).alias("top"))
