@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .fixtures import table
 from .functions import overlay, polygons
+from .more_queries import ORIGIN, _e6, enu_inverse_sql
 from .operators import solids
-from .operators.cloud import stored
 from .queries import query
+from .shared import stored
+from .sources import files
 
 # s: a site's scale; ox, oy: its place
 _SITES = "WITH t AS (SELECT p_partkey AS k, (1 + p_size % 8)::DOUBLE AS s, (p_partkey % 50) * 300.0::DOUBLE AS ox, (p_partkey // 50) * 300.0::DOUBLE AS oy FROM part)"
@@ -241,3 +243,31 @@ def solid_validation(spark, sf):
     lost = sites(spark, sf).select(F.concat(F.lit("K"), "k", F.lit("/L")).alias("object_id"), F.lit("unit").alias("kind"), F.concat(F.lit("K"), "k", F.lit("/none")).alias("parent_id"), F.lit(None).cast("string").alias("corridor_kind"))
     site = sites(spark, sf).select(F.concat(F.lit("K"), "k", F.lit("/B")).alias("object_id"), (20 * F.col("s") * F.col("s")).alias("recorded_area_m2"), F.lit(2).alias("storeys_above_ground"), F.lit(4).alias("storey_estimate_from_scan"), F.lit(3.0).alias("floor_height_m"), F.lit(0.5).alias("facade_periodicity"))
     return _shown(solids.validate(p, o.unionByName(lost).join(site, "object_id", "left")))
+
+
+# ---- exports of real plans
+
+_OUT = f""", v AS (SELECT 'K' || k || '/' || n AS object_id, kind, np, nr, co, x * s + ox + dx AS east, y * s + oy + dy AS north, 0.0::DOUBLE AS up, hi - lo AS high FROM t, LATERAL (VALUES ('P', 'LandUse', 1, 2, 10, 0, 0, 0, 0, -6.0, 0.0), ('B', 'Building', 1, 1, 7, 0, 0, 0, 0, 0.0, 6.0), ('S', 'BuildingPart', 1, 1, 7, 0, 0, 0, 0, 0.0, 3.0), ('U1', 'Room', 1, 1, 5, 0, 0, 0, 0, 0.0, 3.0),
+ ('U2', 'Room', 1, 1, 5, 2.5, 1.5, 0, 0, 0.0, 3.0), ('U3', 'Room', 1, 1, 4, 3, 0, 0, 0, 3.0, 6.0), ('C', 'Tunnel', 2, 2, 10, 0, 0, -2, -3, -2.0, 1.0)) q(n, kind, np, nr, co, x, y, dx, dy, lo, hi)),
+c AS ({enu_inverse_sql('SELECT * FROM v')})"""
+
+
+@query(_SITES + _OUT + " SELECT object_id, CASE WHEN np > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS shape, np AS polygons, nr AS rings, co AS positions, round(lon * 1e8)::BIGINT // 100 AS lon_e6, round(lat * 1e8)::BIGINT // 100 AS lat_e6 FROM c", False)
+def solid_geojson(spark, sf):
+    p, o = split(spark, sf)
+    out = files.plan_geojson(p, o.select("object_id", "kind"), ORIGIN)
+    kind = F.get_json_object("feature", "$.geometry.type")
+    text = F.get_json_object("feature", "$.geometry.coordinates")
+    many = F.when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>")).otherwise(F.array(F.from_json(text, "array<array<array<double>>>")))
+    rings = F.flatten(F.col("many"))
+    out = out.select("object_id", kind.alias("shape"), many.alias("many"))
+    return out.select("object_id", "shape", F.size("many").alias("polygons"), F.size(rings).alias("rings"), F.size(F.flatten(rings)).alias("positions"), _e6(rings[0][0][0]).alias("lon_e6"), _e6(rings[0][0][1]).alias("lat_e6"))
+
+
+@query(_SITES + _OUT + " SELECT object_id, kind AS tag, np AS polygons, nr - np AS holes, printf('%.3f', high) AS height, round(lon * 1e8)::BIGINT // 100 AS lon_e6, round(lat * 1e8)::BIGINT // 100 AS lat_e6 FROM c", False)
+def solid_citygml(spark, sf):
+    p, o = split(spark, sf)
+    e = files.plan_citygml(p, o, ORIGIN)
+    count = lambda tag: ((F.length("element") - F.length(F.replace("element", F.lit(tag)))) / len(tag)).cast("int")
+    at = F.split(F.xpath_string("element", F.lit("/*/polygon/exterior")), " ")
+    return e.select("object_id", F.regexp_extract("element", "^<([A-Za-z]+) ", 1).alias("tag"), count("<polygon>").alias("polygons"), count("<interior>").alias("holes"), F.xpath_string("element", F.lit("/*/height")).alias("height"), _e6(at[0].cast("double")).alias("lon_e6"), _e6(at[1].cast("double")).alias("lat_e6"))

@@ -111,3 +111,43 @@ def citygml(objects: DataFrame, origin: Local) -> DataFrame:
     positions = F.array_join(F.transform(box_ring(origin), lambda p: F.format_string("%.8f %.8f %.3f", p[0], p[1], F.col("z_min"))), " ")
     text = F.concat(F.lit("<"), tag, F.lit(' id="'), escape(F.col("object_id")), F.lit('"><name>'), escape(F.col("name")), F.lit("</name><posList>"), positions, F.lit("</posList><height>"), F.format_string("%.3f", F.col("z_max") - F.col("z_min")), F.lit("</height></"), tag, F.lit(">"))
     return objects.select("object_id", text.alias("element"))
+
+
+def _plans(parts: DataFrame, origin: Local) -> DataFrame:
+    """``(object_id, polygons, z_min, z_max)``: each part's rings, closed, as positions of longitude and latitude to eight places; parts in order."""
+
+    def position(p: Column) -> Column:
+        lat, lon, _ = origin.inverse(p["x"], p["y"], F.lit(0.0))
+        return F.array(F.round(lon, 8), F.round(lat, 8))
+
+    closed = lambda ring: F.transform(F.concat(ring, F.slice(ring, 1, 1)), position)
+    each = parts.select("object_id", F.struct("part_no", F.transform("rings", closed).alias("rings")).alias("p"), "z_min", "z_max")
+    # the few parts of an object
+    return each.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["rings"]).alias("polygons"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"))
+
+
+def plan_geojson(parts: DataFrame, objects: DataFrame, origin: Local) -> DataFrame:
+    """``(object_id, feature)``: a GeoJSON feature of each object's real plan, with holes, and a MultiPolygon for several parts.
+
+    ``objects`` has object_id, kind and whatever else is to be a property.
+    """
+    properties = [c for c in objects.columns if c not in ("object_id", "rings", "z_min", "z_max")]
+    df = _plans(parts, origin).join(objects.select("object_id", *properties), "object_id")
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get("polygons", F.lit(0)).alias("coordinates")))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates")))
+    text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("object_id", *properties, "z_min", "z_max")), F.lit(',"geometry":'), F.when(F.size("polygons") == 1, one).otherwise(many), F.lit("}"))
+    return df.select("object_id", text.alias("feature"))
+
+
+def plan_citygml(parts: DataFrame, objects: DataFrame, origin: Local) -> DataFrame:
+    """``(object_id, element)``: a city model element with a polygon for each part, its outer ring and its holes at the object's z_min, and the height."""
+    from ..schema import lookup
+
+    df = _plans(parts, origin).join(objects.select("object_id", "kind"), "object_id")
+    tag = lookup(F.col("kind"), CITY_TAGS)
+    escaped = F.replace(F.replace(F.replace("object_id", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    positions = lambda ring: F.array_join(F.transform(ring, lambda p: F.format_string("%.8f %.8f %.3f", p[0], p[1], F.col("z_min"))), " ")
+    named = lambda ring, i: F.concat(F.when(i == 0, "<exterior>").otherwise("<interior>"), positions(ring), F.when(i == 0, "</exterior>").otherwise("</interior>"))
+    polygon = lambda rings: F.concat(F.lit("<polygon>"), F.array_join(F.transform(rings, named), ""), F.lit("</polygon>"))
+    text = F.concat(F.lit("<"), tag, F.lit(' id="'), escaped, F.lit('">'), F.array_join(F.transform("polygons", polygon), ""), F.lit("<height>"), F.format_string("%.3f", F.col("z_max") - F.col("z_min")), F.lit("</height></"), tag, F.lit(">"))
+    return df.select("object_id", text.alias("element"))
