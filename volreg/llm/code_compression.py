@@ -33,7 +33,7 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 #: Share of the dimensions that all entries meet, and rows worked on at once.
-DENSE = 1 / 2
+DENSE = 3 / 4
 ROWS = 4096
 
 
