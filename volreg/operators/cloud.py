@@ -69,7 +69,8 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels = stored(nodes.select("pid", F.col("pid").alias("label")), "labels")
     both = stored(links.select("pid", "other").union(links.select(F.col("other").alias("pid"), F.col("pid").alias("other"))).distinct(), "links")
     while True:
-        best = both.join(labels.select(F.col("pid").alias("other"), "label"), "other").groupBy("pid").agg(F.min("label").alias("seen"))
+        # stored, so that a join's large partition, by a hub, can be split
+        best = stored(both.join(labels.select(F.col("pid").alias("other"), "label"), "other").groupBy("pid").agg(F.min("label").alias("seen")), "best")
         step = labels.join(best, "pid", "left").select("pid", F.least("label", F.coalesce("seen", "label")).alias("next"), "label")
         hop = step.select(F.col("pid").alias("next"), F.col("next").alias("further"))
         moved = stored(step.join(hop, "next").select("pid", F.least("next", "further").alias("new"), "label"), "labels")

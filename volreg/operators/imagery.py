@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cloud import connected, stored
+from ..shared import stored
+from .cloud import connected, numbered
 from .raster import blurred
 
 
@@ -84,8 +85,9 @@ def footprints(probability: DataFrame, resolution: float, x0: float, y0: float,
     least = max(8, int(least_m2 / resolution**2))
     by = found.groupBy("label").agg(F.count("*").alias("pixels"), *(f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))), F.avg("value").alias("mean")).where(F.col("pixels") >= least)
     x, y = lambda c, d: x0 + (F.col(c) + d) * resolution, lambda c, d: y0 + (F.col(c) + d) * resolution
-    rank = F.row_number().over(Window.orderBy(F.desc("pixels"), "label"))  # buildings of one image
-    return by.select(rank.alias("place"), "label", "pixels", (F.col("pixels") * resolution**2).alias("area_m2"), x("col_lo", 0).alias("x0"), y("row_lo", 0).alias("y0"), x("col_hi", 1).alias("x1"), y("row_hi", 1).alias("y1"), "mean")
+    by = stored(by, "regions")
+    by = by.join(numbered(by.select("label", F.col("pixels").alias("n"))).select("label", "cluster"), "label")
+    return by.select((F.col("cluster") + 1).alias("place"), "label", "pixels", (F.col("pixels") * resolution**2).alias("area_m2"), x("col_lo", 0).alias("x0"), y("row_lo", 0).alias("y0"), x("col_hi", 1).alias("x1"), y("row_hi", 1).alias("y1"), "mean")
 
 
 def to_world(pixels: DataFrame, resolution: float, x0: float, y0: float) -> DataFrame:
