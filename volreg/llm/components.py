@@ -12,18 +12,19 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``links (a, b)``; the component is its smallest node.
 
     Rounds grow with the logarithm of the longest chain; each is stored in the shared
-    folder. A node of many links is met by partial aggregation and by joins whose large
-    partitions Spark splits.
+    folder. A node of many links is met by partial aggregation and by joins with stored
+    tables: both sides come straight from a shuffle, so Spark can split large partitions.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smallest neighbour takes the others and the node itself
-        low = large.where("u > v")
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.where("u > v"), "low")
+        least = stored(low.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = low.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -162,6 +162,7 @@ def _components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # in a block of several components the largest is not paired with itself: only the others' entries meet all
     most = F.max_by("component", F.struct("entries", -F.col("component")))
     mixed = placed.groupBy("h", "component").agg(F.count("*").alias("entries")).groupBy("h").agg(most.alias("most"), F.count("*").alias("components")).where("components > 1").drop("components")
+    mixed = stored(mixed, "most")
     mixed = placed.join(mixed, "h").withColumn("minor", F.col("component") != F.col("most")).drop("most")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILARITY + 1e-4)).cast("int")
     mixed = stored(mixed.withColumn("band", band).join(classes.select("rep", *SIGNATURE), "rep"), "mixed")

@@ -17,7 +17,7 @@ that start at one place are ordered by kind. Columns besides those named are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -35,15 +35,27 @@ KINDS = ["assign", "access", "hex", "owned"]
 #: A value of at most so many owners and repositories looks live; one of more of either is an example.
 MAX_LIVE_OWNERS = 2
 MAX_LIVE_REPOSITORIES = 10
+#: Matches that are walked in one go, and code points of a text that are cut in one go.
+CHUNK = 64
+BLOCK = 1 << 15
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _spans(text: Column, kind: int, sign: str, pattern: str, value_group: int, keep) -> Column:
-    """Array of (start, kind, end, hash) of the matches whose value passes ``keep``."""
+    """Array of (start, kind, end, hash) of the matches whose value passes ``keep``.
+
+    Matches are walked in chunks, each from its own zero, and moved to where the chunks
+    before them end: an array that grows by one is copied within a chunk only, so time
+    follows the number of matches.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), whole.alias("m"), values.alias("v"))
-    span = "start int, kind int, end int, hash binary"
-    none = F.from_json(F.lit("[]"), f"array<struct<{span}>>")
+    spans = "array<struct<start int, kind int, end int, hash binary>>"
 
     def add(so_far: Column, x: Column) -> Column:
         start = so_far["at"] + F.length(x["p"])
@@ -52,8 +64,15 @@ def _spans(text: Column, kind: int, sign: str, pattern: str, value_group: int, k
         kept = x["m"].isNotNull() & keep(x["v"])
         return F.struct(end.alias("at"), F.when(kept, F.concat(so_far["spans"], F.array(found))).otherwise(so_far["spans"]).alias("spans"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{span}>>").alias("spans")), add, lambda x: x["spans"])
-    return F.when(text.rlike(sign), walked).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
+    chunks = _bound(parts, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(all_, c * CHUNK + 1, CHUNK), start, add)))
+
+    def moved(walked: Column) -> Column:
+        before = lambda c: F.aggregate(F.slice(walked, 1, c), F.lit(0), lambda n, w: n + w["at"])
+        by = lambda w, n: F.transform(w["spans"], lambda x: F.struct((x["start"] + n).alias("start"), x["kind"].alias("kind"), (x["end"] + n).alias("end"), x["hash"].alias("hash")))
+        return F.flatten(F.transform(walked, lambda w, c: F.when(F.size(w["spans"]) > 0, _bound(before(c), lambda n: by(w, n))).otherwise(w["spans"])))
+
+    return F.when(text.rlike(sign), _bound(chunks, moved)).otherwise(F.array().cast(spans))
 
 
 def _mixed(value: Column) -> Column:
@@ -61,36 +80,52 @@ def _mixed(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``extra``: arrays of (start, kind, end, hash)."""
+    """``docs`` with ``base`` and ``extra``: arrays of (start, kind, end, hash); some of ``extra`` may overlap ``base``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(
         _spans(text, 0, SIGNS["assign"], ASSIGN, 2, lambda v: F.length(v) >= 6),
         _spans(text, 1, SIGNS["access"], ACCESS, 0, lambda v: F.length(v) >= 20),
         _spans(text, 2, SIGNS["hex"], HEX, 0, lambda v: F.length(v) >= 24),
     )
-    extra = _spans(text, 3, SIGNS["mixed"], MIXED, 0, _mixed)
-    both = docs.withColumn("base", F.array_sort(base)).withColumn("extra", extra)
-    clear = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return both.withColumn("extra", F.when(F.size("extra") > 0, clear).otherwise(F.col("extra")))
+    return docs.withColumn("base", F.array_sort(base)).withColumn("extra", _spans(text, 3, SIGNS["mixed"], MIXED, 0, _mixed))
 
 
-def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
+def entries(found: DataFrame, repository: str, owner: str) -> DataFrame:
+    """``(row, repository, owner, c, hash)`` of each candidate, stored; mixed tokens that overlap a base span are left out.
+
+    Overlaps show in one walk over a row's candidates by start: the furthest end of the
+    base spans before, and the next one's start.
+    """
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    each = lambda f, c: f.select("row", name(repository), name(owner), F.explode(c).alias("c"))
+    order = Window.partitionBy("row").orderBy("c.start", "c.kind", "c.end")
+    begins, ends = (F.when(F.col("c.kind") < 3, F.col(f"c.{x}")) for x in ("start", "end"))
+    mixed = each(found.where("size(extra) > 0"), F.concat("base", "extra")).withColumns({"begins": begins, "ends": ends})
+    mixed = mixed.withColumn("reached", F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    mixed = mixed.withColumn("next", F.expr("lead(begins) ignore nulls over (partition by row order by c.start, c.kind, c.end)"))
+    clear = (F.coalesce("reached", F.lit(-1)) <= F.col("c.start")) & (F.col("next").isNull() | (F.col("next") >= F.col("c.end")))
+    mixed = mixed.where((F.col("c.kind") < 3) | clear).drop("begins", "ends", "reached", "next")
+    both = each(found.where("size(extra) = 0"), F.col("base")).union(mixed)
+    return stored(both.withColumn("hash", F.col("c.hash")), "entries")
+
+
+def ownership(held: DataFrame, repository: str, owner: str) -> DataFrame:
     """For each value's hash: how many distinct repositories and owners hold it."""
-    held = found.select(F.explode(F.concat("base", "extra")["hash"]).alias("hash"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
     # each distinct holder once, summed in the map tasks before the shuffle
-    owners = held.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+    owners = held.groupBy("hash", owner, repository).agg(F.lit(1).alias("one")).groupBy("hash", owner).agg(F.count("*").alias("repositories"))
     return owners.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
 def judged(found: DataFrame, repository: str, owner: str) -> DataFrame:
     """For each ``row`` with candidates: those that look live, and counts."""
-    stats = ownership(found, repository, owner)
-    each = found.select("row", F.explode(F.concat("base", "extra")).alias("c")).select("row", "c", F.col("c.hash").alias("hash"))
+    each = entries(found, repository, owner)
+    # stored, so that the partition of a value that very many texts hold can be split
+    stats = stored(ownership(each, repository, owner), "owners")
     live = (F.col("n_owners") <= MAX_LIVE_OWNERS) & (F.col("n_repositories") <= MAX_LIVE_REPOSITORIES)
     owned = live & (F.col("n_owners") == 1)
     base = F.col("c.kind") < 3
     # a struct's fields in order of the sort: the start, then the kind
-    return each.join(stats, "hash").groupBy("row").agg(
+    return each.select("row", "c", "hash").join(stats, "hash").groupBy("row").agg(
         F.count(F.when(base & live, 1)).alias("n_live"),
         F.count(F.when(base & ~live, 1)).alias("n_example"),
         F.max("n_owners").alias("most_owners"),
@@ -122,6 +157,39 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFram
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort("spans")).alias("spans"), *COUNTS)
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with each of the sorted spans (start, end) masked; one that begins inside another adds no mask of its own.
+
+    Substrings count code points from a text's start, so the text is cut into blocks once
+    and each block's pieces are taken from it.
+    """
+    step = "struct<at: int, upto: int, mask: string>"
+
+    def add(so_far: Column, x: Column) -> Column:
+        piece = F.struct(so_far["at"].alias("at"), x["start"].alias("upto"), F.lit(mask).alias("mask"))
+        new = F.when(x["start"] >= so_far["at"], F.concat(so_far["pieces"], F.array(piece))).otherwise(so_far["pieces"])
+        return F.struct(F.greatest(so_far["at"], x["end"]).alias("at"), new.alias("pieces"))
+
+    # chunks of spans, each begun where the furthest of those before ends
+    def walked(all_: Column) -> Column:
+        chunk = lambda c: F.slice(all_, c * CHUNK + 1, CHUNK)
+        chunks = F.sequence(F.lit(0), F.floor(F.size(all_) / CHUNK).cast("int"))
+        begun = lambda ends, c: F.struct(F.coalesce(F.array_max(F.slice(ends, 1, c)), F.lit(0)).alias("at"), F.array().cast(f"array<{step}>").alias("pieces"))
+        return _bound(F.transform(chunks, lambda c: F.array_max(F.transform(chunk(c), lambda x: x["end"]))), lambda ends: F.transform(chunks, lambda c: F.aggregate(chunk(c), begun(ends, c), add)))
+
+    end = lambda w: F.array(F.struct(F.element_at(w, -1)["at"].alias("at"), F.length(text).alias("upto"), F.lit("").alias("mask")))
+    pieces = _bound(_bound(spans, walked), lambda w: F.concat(F.flatten(F.transform(w, lambda x: x["pieces"])), end(w)))
+
+    def block(i: Column, all_: Column) -> Column:
+        lo, hi = i * BLOCK, (i + 1) * BLOCK
+        own = F.filter(all_, lambda p: (p["at"] < hi) & (p["upto"] >= lo))
+        cut = lambda b, p: F.concat(F.substring(b, F.greatest(p["at"] - lo, F.lit(0)) + 1, F.least(p["upto"], hi) - F.greatest(p["at"], lo)), F.when(p["upto"] < hi, p["mask"]).otherwise(F.lit("")))
+        return _bound(F.substring(text, lo + 1, F.lit(BLOCK)), lambda b: F.array_join(F.transform(own, lambda p: cut(b, p)), ""))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int"))
+    return _bound(pieces, lambda all_: F.array_join(F.transform(blocks, lambda i: block(i, all_)), ""))
+
+
 def redact(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the spans that look live masked; other documents are untouched."""
     # a document's own columns stay in a struct, so that no name can clash
@@ -131,13 +199,7 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mask: str = "[SEC
     some = found.where("size(base) + size(extra) > 0").withColumn("text", F.col("doc.text"))
     verdict = judged(some, "repository", "owner").select("row", "live")
 
-    def cut(so_far: Column, x: Column) -> Column:
-        # a span that begins inside the one before adds no mask of its own
-        new = F.concat(so_far["text"], F.when(x["start"] >= so_far["at"], F.concat(F.substring(F.col("text"), so_far["at"] + 1, x["start"] - so_far["at"]), F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(so_far["at"], x["end"]).alias("at"), new.alias("text"))
-
-    rest = lambda x: F.concat(x["text"], F.substring(F.col("text"), x["at"] + 1, F.length("text")))
-    changed = some.join(verdict, "row").withColumn("text", F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), cut, rest))
+    changed = some.join(verdict, "row").withColumn("text", masked(F.col("text"), F.col("live"), mask))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     changed = changed.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
     return found.where("size(base) + size(extra) = 0").select("doc.*").union(changed)

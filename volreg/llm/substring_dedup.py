@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, record, with_text
+from .common import map_batches, record, stored, with_text
 from .wordkernel import LOWER, NOT_ALNUM, Points, mix, spans_hash, text_of_words, windows, words
 
 #: Words of a run of units that is no whole line, at least.
@@ -87,6 +87,8 @@ def duplicate_runs(docs: DataFrame, rank: str = "doc_id", min_words: int = MIN_W
     ranked = with_text(named, "rank", (_key() if repeated else F.lit(None).cast("long")).alias("key"))
     each = map_batches(ranked, partial(units, min_words=min_words), "digest long, rank long, key long, words long, span long")
     firsts = each.groupBy("digest").agg(F.min(F.struct("rank", "key", "words")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join's partition of a line that very many texts hold can be split
+    firsts = stored(firsts, "firsts")
     again = each.join(firsts, "digest").where("rank <> first.rank or not (key <=> first.key) or words <> first.words")
     again = again.selectExpr("rank", "key", "cast(words >> 32 as int) w0", "cast(words & 4294967295 as int) w1", "cast(span >> 32 as int) start", "cast(span & 4294967295 as int) end", "first.rank kept_rank").distinct()
     # each is a duplicate by itself; those that overlap or touch are one span; a partition holds one text's
