@@ -13,7 +13,6 @@ from volreg.operators import cloud, hierarchy, raster, register, rules, scoring,
 from volreg.plans import plan2d
 from volreg.schema import OBJECT_COLUMNS, TOLERANCES
 from volreg.sources import files, pointfiles
-from volreg.streaming import mint
 
 
 def box(spark, *rows):
@@ -279,13 +278,3 @@ def test_files_round_trip(spark, tmp_path):
     assert len(one(files.read_features(spark, str(tmp_path / "p.json"))).ring) == 5
     (tmp_path / "c.csv").write_text("x,y,z,classification,intensity,return_number\n1,2,3,2,5,1\n")
     assert one(files.read_points(spark, str(tmp_path / "c.csv"))).z == 3.0
-
-
-def test_streamed_minting(spark, tmp_path):
-    for i, rows in enumerate(([("a", "c1", 5), ("b", "c1", 5)], [("d", "c1", 5), ("e", "c2", None)])):
-        spark.createDataFrame(rows, "object_id string, cell string, preferred int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("object_id string, cell string, preferred int").parquet(str(tmp_path / "in"))
-        q = mint.mint_stream(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    got = {r.object_id: r.unit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert sorted(got[x] for x in "abd") == [5, 6, 7] and got["e"] == 0

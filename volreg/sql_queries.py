@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .fixtures import register, table
+from .functions import idcode
 from .functions.sql import register_functions
 from .operators import hierarchy
 from .queries import _ANCESTORS, _GEOHASH, positions, query
 from .shared import shared_folder
 from .sources import files
+from .streaming import mint
 
 
 @query(_GEOHASH + "SELECT k, code AS geohash, array_to_string(ds[3:6], '') AS unit36, right(compact, 1) AS mark FROM ids", False)
@@ -64,3 +67,46 @@ def register_document(spark, sf):
     stats, place = head["stats"], head["jurisdiction"]
     counted = spark.createDataFrame(list(stats["by_kind"].items()), "kind string, n_in_head long")
     return by_kind.join(counted, "kind", "left").select("kind", "n", "n_in_head", "volume", F.lit(head["name"]).alias("name"), F.lit("/".join(place.values())).alias("jurisdiction"), F.lit(head["origin"]["lat"]).alias("lat"), F.lit(stats["objects"]).cast("long").alias("objects"), F.lit(stats["extent"]["z_max"]).alias("top"))
+
+
+# every fourth position was numbered before the stream began; of the others some bring a code that is refused. Which numbers a cell gives does not depend on the order of arrival
+_ARRIVED = """, shared AS MATERIALIZED (SELECT o.k, h.code, o.unit FROM (SELECT *, min(k) OVER (PARTITION BY k // 256) AS first FROM p) o JOIN h ON h.k = o.first),
+v AS MATERIALIZED (SELECT k, code, k % 5 AS s, unit % 3 AS p, CASE WHEN k % 4 = 0 THEN 'old' WHEN k % 7 = 1 THEN 'invalid' WHEN k % 7 = 2 THEN 'foreign' ELSE 'minted' END AS verdict FROM shared),
+r AS MATERIALIZED (SELECT code, s, verdict, CASE WHEN verdict = 'old' THEN row_number() OVER (PARTITION BY code, s, verdict ORDER BY k) - 1 ELSE p END::INT AS p, row_number() OVER (PARTITION BY code, s ORDER BY verdict = 'minted', k) AS i FROM v WHERE verdict IN ('old', 'minted')),
+m(code, s, verdict, i, taken, u) AS (SELECT code, s, verdict, i, [p], p FROM r WHERE i = 1 UNION ALL
+ SELECT code, s, verdict, i, list_append(taken, n), n FROM (SELECT r.*, m.taken, list_min(list_filter(range(r.p, r.p + len(m.taken) + 1), lambda x: NOT list_contains(m.taken, x)))::INT AS n FROM m JOIN r ON r.code = m.code AND r.s = m.s AND r.i = m.i + 1))
+SELECT code AS geohash, ['G', 'B', 'U', 'A', 'I'][s + 1] AS stratum, verdict, count(*) AS n, string_agg(u::VARCHAR, ',' ORDER BY u) AS units FROM m WHERE verdict = 'minted' GROUP BY 1, 2, 3
+UNION ALL SELECT '', ['G', 'B', 'U', 'A', 'I'][s + 1], verdict, count(*), '' FROM v WHERE verdict IN ('invalid', 'foreign') GROUP BY 1, 2, 3"""
+
+
+def _shared_positions(spark, sf):
+    """Orders of one range of 256 keys stand where the first of them does."""
+    first = F.min("k").over(Window.partitionBy(F.expr("k div 256")))
+    return positions(spark, sf).withColumn("first", first).withColumns({"lat": 18.5 + (F.col("first") % 997) / 65536, "lon": 73.75 + (F.col("first") % 1009) / 32768}).drop("first")
+
+
+@query(_GEOHASH + _ARRIVED, False)
+def minted_stream(spark, sf):
+    lit, k = F.lit, F.col("k")
+    code = lambda district, unit: idcode.compact(lit("27"), lit(district), lit("4"), F.col("geohash"), F.col("stratum"), lit(1), unit)
+    placed = lambda df: df.withColumns({"geohash": idcode.geohash_encode(F.col("lat"), F.col("lon")), "stratum": F.element_at(F.split(lit("G,B,U,A,I"), ","), (k % 5 + 1).cast("int")), "object_id": k.cast("string")})
+    old = idcode.mint_units(placed(_shared_positions(spark, sf)).where("k % 4 = 0").drop("unit"), ["geohash", "stratum"], ["k"])
+    register = old.select("object_id", code("25", F.col("unit")).alias("code"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _shared_positions(spark, sf).where("k % 4 <> 0").write.parquet(f"{folder}/in")
+    arriving = placed(spark.readStream.schema(_shared_positions(spark, sf).schema).parquet(f"{folder}/in"))
+    spoilt = F.concat(F.substring(code("25", lit(0)), 1, 25), lit("-"))
+    arriving = arriving.select("object_id", "lat", "lon", "stratum", lit(1).alias("level"), (F.col("unit") % 3).alias("preferred"), F.when(k % 7 == 1, spoilt).when(k % 7 == 2, code("99", lit(0))).alias("code"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, mint.STORE)
+    try:
+        out = mint.mint_stream(arriving, "27", "25", "4", register)
+        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.schema(out.schema).parquet(f"{folder}/out")
+    minted = F.col("verdict") == "minted"
+    units = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(minted, F.col("unit")))), lambda u: u.cast("string")), ",")
+    return got.groupBy(F.when(minted, F.col("geohash")).otherwise("").alias("geohash"), "stratum", "verdict").agg(F.count("*").alias("n"), units.alias("units"))

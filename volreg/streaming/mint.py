@@ -4,33 +4,113 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import idcode
+from ..shared import on_workers
 
-def mint_stream(arrivals: DataFrame) -> DataFrame:
-    """Streamed rows (object_id, cell, preferred) with ``unit``: the first free number of the cell.
+#: Where numbers are given: a geohash cell of about a square metre, a layer and a level.
+CELL = ["geohash", "stratum", "level"]
+#: The state of minting lives in this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NUMBERED = "object_id string, geohash string, stratum string, level int, unit int, verdict string"
 
-    The state of a cell is the numbers that are taken in it. A cell is a place of about a
-    square metre on one level, so its state is small; cells are the partitioning.
+
+class Numbers(StatefulProcessor):
+    """Unit numbers of one cell.
+
+    ``taken`` maps a number to its holder and to a number above it from which the search
+    for a free one may go on, so a long run of taken numbers is not walked again for each
+    arrival; ``free`` is the least number that may be free. Rows change single entries:
+    no set of a cell's numbers is ever built.
     """
 
-    def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = set(state.get[0]) if state.exists else set()
-        for rows in batches:
-            numbers = []
-            for p in rows["preferred"]:
-                n = int(p) if p == p and p is not None and p >= 0 else 0
-                while n in taken:
-                    n += 1
-                taken.add(n)
-                numbers.append(n)
-            yield pd.DataFrame({"object_id": rows["object_id"], "cell": key[0], "unit": numbers})
-        state.update((sorted(taken),))
-
-    return arrivals.groupBy("cell").applyInPandasWithState(assign, "object_id string, cell string, unit int", "taken array<int>", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getMapState("taken", "unit int", "holder string, after int")
+        self.free = handle.getValueState("free", "unit int")
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        self.take(initialState.unit, initialState.object_id)
+
+    def take(self, unit: int, holder: str) -> None:
+        self.taken.updateValue((unit,), (holder, unit + 1))
+
+    def first_free(self, unit: int) -> int:
+        seen = []
+        while self.taken.containsKey((unit,)):
+            holder, after = self.taken.getValue((unit,))
+            seen.append((unit, holder, after))
+            unit = after
+        for at, holder, after in seen:
+            if after != unit:
+                self.taken.updateValue((at,), (holder, unit))
+        return unit
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in rows:
+            if r.claimed is not None:
+                unit = r.claimed
+                holder = self.taken.getValue((unit,))[0] if self.taken.containsKey((unit,)) else None
+                verdict = "registered" if holder is None else "held" if holder == r.object_id else "taken"
+            else:
+                wish = r.preferred if r.preferred is not None and 0 <= r.preferred <= idcode.MAX_UNIT else 0
+                if wish == 0 and self.free.exists():
+                    wish = self.free.get()[0]
+                unit, verdict = self.first_free(wish), "minted"
+                if r.preferred is None or r.preferred <= 0 or r.preferred > idcode.MAX_UNIT:
+                    self.free.update((min(unit + 1, idcode.MAX_UNIT + 1),))
+                if unit > idcode.MAX_UNIT:
+                    unit, verdict = None, "exhausted"
+            if verdict in ("minted", "registered"):
+                self.take(unit, r.object_id)
+            yield Row(object_id=r.object_id, geohash=key[0], stratum=key[1], level=key[2], unit=unit if verdict != "taken" else None, verdict=verdict)
+
+    def close(self) -> None:
+        pass
+
+
+def _own(fields: Column, state: str, district: str, tehsil: str) -> Column:
+    return (fields["state"] == idcode.jurisdiction(F.lit(state), 2)) & (fields["district"] == idcode.jurisdiction(F.lit(district), 3)) & (fields["tehsil"] == idcode.jurisdiction(F.lit(tehsil), 3))
+
+
+def mint_stream(arrivals: DataFrame, state: str, district: str, tehsil: str, register: DataFrame | None = None) -> DataFrame:
+    """Streamed ``(object_id, lat, lon, stratum, level, preferred, code)`` with number, code and verdict.
+
+    A row without a code is *minted*: the first free number of its cell at or above
+    ``preferred`` (0 if null or out of range), in order of arrival; *exhausted* if there is
+    none. A row with a code, in any spelling, claims it: *registered* if it was free,
+    *held* if the same object has it, else *taken*. Codes that are no codes are *invalid*,
+    those of another jurisdiction *foreign*, rows without a code and a position
+    *unplaced*; they never reach the state. Refused rows have neither unit nor code.
+
+    ``register`` has (object_id, code) of what was issued before the stream began; it is
+    read with the first batch only. Its codes of other jurisdictions, and texts that are no
+    codes, take no numbers. The session must keep state in ``STORE``.
+    """
+    on_workers(arrivals.sparkSession)
+    known = arrivals.withColumn("_e", F.when(F.col("code").isNotNull(), idcode.examined(F.col("code"))))
+    fields = F.col("_e.fields")
+    there = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col("stratum").isNotNull() & F.col("level").between(-idcode.MAX_LEVEL, idcode.MAX_LEVEL)
+    refused = (
+        F.when(F.col("code").isNull(), F.when(~F.coalesce(there, F.lit(False)), "unplaced"))
+        .when(F.col("_e.problem").isNotNull(), "invalid").when(~_own(fields, state, district, tehsil), "foreign")
+    )
+    known = known.withColumn("verdict", refused)
+    fine = known.where("verdict is null").select(
+        "object_id", F.coalesce(fields["geohash"], F.when(fields.isNull(), idcode.geohash_encode(F.col("lat"), F.col("lon")))).alias("geohash"), F.coalesce(fields["stratum"], "stratum").alias("stratum"),
+        F.coalesce(fields["level"], F.abs("level")).cast("int").alias("level"), F.col("preferred").cast("int").alias("preferred"), fields["unit"].alias("claimed"))
+    before = None
+    if register is not None:
+        issued = register.select("object_id", idcode.parsed(F.col("code")).alias("f")).where(_own(F.col("f"), state, district, tehsil))
+        # of several objects with one code the smallest holds it
+        before = issued.groupBy(*(F.col(f"f.{c}").alias(c) for c in CELL), F.col("f.unit").alias("unit")).agg(F.min("object_id").alias("object_id")).groupBy(*CELL)
+    numbered = fine.groupBy(*CELL).transformWithState(Numbers(), _NUMBERED, "Append", "None", initialState=before)
+    code = idcode.compact(F.lit(state), F.lit(district), F.lit(tehsil), F.col("geohash"), F.col("stratum"), F.col("level"), F.col("unit"))
+    numbered = numbered.withColumn("code", F.when(F.col("unit").isNotNull(), code))
+    none = known.where("verdict is not null").select("object_id", F.lit(None).cast("string").alias("geohash"), "stratum", F.abs("level").cast("int").alias("level"), F.lit(None).cast("int").alias("unit"), "verdict", F.lit(None).cast("string").alias("code"))
+    return numbered.union(none)
 
 
 def activity(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
