@@ -28,3 +28,24 @@ def test_clusters_of_equal_places(spark):
     at = {r.pid: r.x for r in p.collect()}
     assert got == {pid: 0 if x < 1 else None for pid, x in at.items()}
     assert {(r.x, r.n) for r in cloud.places(p).select("x", F.col("n")).collect()} == {(0.0, 40), (0.5, 3), (1.25, 30)}
+
+
+def test_documents_are_parsed_once(spark):
+    from volreg.plans import plan2d
+
+    d = spark.createDataFrame([(1, '{"site": {"lat": 1, "lon": 2}, "parcels": [{"boundary": [[0, 0], [1, 0], [1, 1]]}]}'), (2, "{")], "plan_id int, plan string")
+    fine = plan2d.parse(d).where("problem is null").select("plan_id", "p.site.lat")
+    assert [tuple(r) for r in fine.collect()] == [(1, 1.0)]
+    # the filter would carry the parser to each of the places it judges
+    assert "from_json" not in fine._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_costly_rows_are_spread_over_the_cores(spark):
+    from volreg import more_queries, solid_queries
+
+    from .conftest import SMALL
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{SMALL}/part.parquet").rdd.getNumPartitions() < least
+    for df in (solid_queries.sites(spark, SMALL), more_queries.plans(spark, SMALL)):
+        assert df.rdd.getNumPartitions() >= least

@@ -10,7 +10,7 @@ from .functions import overlay, polygons
 from .more_queries import ORIGIN, _e6, enu_inverse_sql
 from .operators import solids
 from .queries import query
-from .shared import stored
+from .shared import spread, stored
 from .sources import files
 
 # s: a site's scale; ox, oy: its place
@@ -19,7 +19,7 @@ _SITES = "WITH t AS (SELECT p_partkey AS k, (1 + p_size % 8)::DOUBLE AS s, (p_pa
 
 def sites(spark, sf):
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select(k.alias("k"), (1 + F.col("p_size") % 8).cast("double").alias("s"), (k % 50 * 300.0).alias("ox"), (F.expr("p_partkey div 50") * 300.0).alias("oy"))
+    return spread(table(spark, sf, "part"), "p_partkey").select(k.alias("k"), (1 + F.col("p_size") % 8).cast("double").alias("s"), (k % 50 * 300.0).alias("ox"), (F.expr("p_partkey div 50") * 300.0).alias("oy"))
 
 
 def _ring(*corners):
