@@ -49,3 +49,17 @@ def test_costly_rows_are_spread_over_the_cores(spark):
     assert spark.read.parquet(f"{SMALL}/part.parquet").rdd.getNumPartitions() < least
     for df in (solid_queries.sites(spark, SMALL), more_queries.plans(spark, SMALL)):
         assert df.rdd.getNumPartitions() >= least
+
+
+def test_slabs_of_a_union_go_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from volreg.functions import overlay
+
+    box = lambda x, y, w: [np.array([(x, y), (x + w, y), (x + w, y + w), (x, y + w)], float)]
+    shapes = [box(0, 0, 4), box(2, 2, 4), box(20, 0, 1)]
+    whole = overlay.joined(shapes)
+    assert overlay.area(whole) == 16 + 16 - 4 + 1
+    monkeypatch.setattr(overlay, "_BLOCK", 1)
+    assert np.array_equal(overlay.joined(shapes), whole)
+    assert overlay.area(overlay.less(shapes[0], shapes[1])) == 12 and overlay.area(overlay.both(shapes[0], shapes[1])) == 4
