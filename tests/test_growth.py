@@ -72,3 +72,61 @@ def test_an_element_is_read_in_one_pass(spark):
 
     plan = more_queries.citygml_export(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "xpath" not in plan
+
+
+def _stars(n, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        k = rng.integers(3, 9)
+        a, r = np.sort(rng.uniform(0, 2 * np.pi, k)), rng.uniform(1, 5, k)
+        out.append([rng.uniform(-3, 3, 2) + np.column_stack([r * np.cos(a), r * np.sin(a)])])
+    # a shape with a hole, and one without corners
+    out[1] = [np.array([(-4, -4), (4, -4), (4, 4), (-4, 4)], float), np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)], float)]
+    out[2] = []
+    return out
+
+
+def test_overlays_of_a_batch_as_of_each_pair(monkeypatch):
+    import numpy as np
+
+    from volreg.functions import overlay, overlays
+
+    x, y = _stars(60, 1), _stars(60, 2)[::-1]
+    a, b, n = overlays.read(overlays.write(x)), overlays.read(overlays.write(y)), 60
+    same = lambda s, t: len(s) == len(t) and all(np.array_equal(p, q) for p, q in zip(s, t, strict=True))
+    for pairs in (1 << 20, 50):
+        # in one piece, and in many
+        monkeypatch.setattr(overlays, "_PAIRS", pairs)
+        for wanted, one in ((overlays.BOTH, overlay.both), (overlays.LESS, overlay.less), (overlays.JOINED, lambda p, q: overlay.joined([p, q]))):
+            found = overlays.borders(*overlays.pairwise(a, b, n, wanted), n)
+            assert all(same(found[i], overlay.rings(one(x[i], y[i]))) for i in range(n))
+        assert np.allclose(overlays.shared(a, b, n), [overlay.area(overlay.both(p, q)) for p, q in zip(x, y, strict=True)])
+        assert np.allclose(overlays.beyond(a, b, n, 0.05), [overlay.beyond(p, q, 0.05) for p, q in zip(x, y, strict=True)], atol=1e-5)
+        assert np.allclose(overlays.apart(a, b, n), [overlay.distance(p, q) for p, q in zip(x, y, strict=True)])
+        assert overlays.crossing(a, n).tolist() == [overlay.crosses_itself(s) for s in x]
+    whole = overlays.pairwise(a, b, n, overlays.JOINED)
+    # rows of very many edges go one by one
+    monkeypatch.setattr(overlays, "_MANY", 5)
+    assert all(np.array_equal(p, q) for p, q in zip(whole, overlays.pairwise(a, b, n, overlays.JOINED), strict=True))
+
+
+def test_footprints_of_a_batch_are_laid_as_each_alone():
+    import numpy as np
+
+    from volreg.functions import overlay, overlays
+
+    def one(s):
+        if not s:
+            return []
+        v = np.roll(s[0], -1, 0) - s[0]
+        n, turn = np.hypot(*v.T), np.arctan2(v[:, 1], v[:, 0])
+        long = n > 0.3
+        return [overlay.regular(s[0], np.arctan2((n * np.sin(4 * turn))[long].sum(), (n * np.cos(4 * turn))[long].sum()) / 4)]
+
+    x = _stars(200, 3)
+    found = overlays.regularised(overlays.read(overlays.write(x)), 200)
+    for s, t in zip(found, map(one, x), strict=True):
+        assert len(s) == len(t) and all(p.shape == q.shape and np.allclose(p, q) for p, q in zip(s, t, strict=True))

@@ -52,8 +52,13 @@ def _named(parts: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_volumes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(a_object_id, b_object_id, volume, area, z_overlap)`` of all pairs of objects whose parts share space: parts' pairs add up."""
-    pairs = box_pairs(_named(a), _named(b)).where((F.col("a_object_id") != F.col("b_object_id")) & (overlap("z") > 0) & (overlap("x") > 0) & (overlap("y") > 0))
+    """``(a_object_id, b_object_id, volume, area, z_overlap)`` of all pairs of objects whose parts share space: parts' pairs add up.
+
+    Of one table with itself, each pair is met once, its smaller id first.
+    """
+    own = _named(a)
+    two = F.col("a_object_id") < F.col("b_object_id") if a is b else F.col("a_object_id") != F.col("b_object_id")
+    pairs = box_pairs(own, own if a is b else _named(b)).where(two & (overlap("z") > 0) & (overlap("x") > 0) & (overlap("y") > 0))
     pairs = pairs.withColumn("area", overlay.shared(F.col("a_rings"), F.col("b_rings"))).where("area > 0")
     return pairs.withColumn("z", overlap("z")).groupBy("a_object_id", "b_object_id").agg(F.sum(F.col("area") * F.col("z")).alias("volume"), F.sum("area").alias("area"), F.max("z").alias("z_overlap"))
 
@@ -81,9 +86,9 @@ def footprints(parts: DataFrame) -> DataFrame:
     return one.unionByName(overlay.union_by(several, ["object_id"], "rings").select("object_id", "rings", "area"))
 
 
-def beyond_parent(parts: DataFrame, parents: DataFrame, grow: float = TOLERANCES["containment_buffer_m"]) -> DataFrame:
-    """``(object_id, parent_id, outside)``: the area of each child's plan beyond its parent's, grown a little; plans are unions of parts."""
-    plans = stored(footprints(parts), "plans")
+def beyond_parent(parts: DataFrame, parents: DataFrame, grow: float = TOLERANCES["containment_buffer_m"], plans: DataFrame | None = None) -> DataFrame:
+    """``(object_id, parent_id, outside)``: the area of each child's plan beyond its parent's, grown a little; plans are unions of parts, or ``plans`` if they are there already."""
+    plans = stored(footprints(parts), "plans") if plans is None else plans
     up = plans.select(F.col("object_id").alias("parent_id"), F.col("rings").alias("p_rings"))
     pairs = parents.join(plans, "object_id").join(up, "parent_id")
     return pairs.select("object_id", "parent_id", overlay.outside(F.col("rings"), F.col("p_rings"), grow).alias("outside"))
@@ -130,18 +135,18 @@ def volumetric_overlap(parts: DataFrame, objects: DataFrame, tol: dict = TOLERAN
 
     kinds = objects.where(F.col("kind").isin("unit", "infrastructure")).select("object_id", "parent_id")
     own = parts.join(kinds.select("object_id"), "object_id", "left_semi")
-    pairs = shared_volumes(own, own).where(F.col("a_object_id") < F.col("b_object_id"))
+    pairs = shared_volumes(own, own)
     up = lambda t: kinds.select(F.col("object_id").alias(f"{t}_object_id"), F.col("parent_id").alias(f"{t}_parent"))
     pairs = pairs.join(up("a"), "a_object_id").join(up("b"), "b_object_id")
     family = F.coalesce(F.col("a_parent") == F.col("b_object_id"), F.lit(False)) | F.coalesce(F.col("b_parent") == F.col("a_object_id"), F.lit(False))
     return finding(pairs.where(~family & (F.col("volume") > tol["overlap_volume_m3"])), "VERT_OVERLAP", "error", "a_object_id", "b_object_id", F.col("volume"), F.col("z_overlap"))
 
 
-def plan_containment(parts: DataFrame, objects: DataFrame, tol: dict = TOLERANCES) -> DataFrame:
+def plan_containment(parts: DataFrame, objects: DataFrame, tol: dict = TOLERANCES, plans: DataFrame | None = None) -> DataFrame:
     from .rules import finding
 
     parents = objects.where("parent_id is not null and kind <> 'air_rights'").select("object_id", "parent_id")
-    out = beyond_parent(parts, parents, tol["containment_buffer_m"]).where(F.col("outside") > tol["containment_slack_m2"])
+    out = beyond_parent(parts, parents, tol["containment_buffer_m"], plans).where(F.col("outside") > tol["containment_slack_m2"])
     return finding(out, "PLAN_CONTAINMENT", "error", "object_id", "parent_id", F.col("outside"))
 
 
@@ -190,10 +195,13 @@ def validate(parts: DataFrame, objects: DataFrame, tol: dict = TOLERANCES) -> Da
     kinds = {"seq": "long", "level": "int", "provenance": "string", "confidence": "double", "corridor_kind": "string", "recorded_area_m2": "double", "storeys_above_ground": "int", "storey_estimate_from_scan": "int", "floor_height_m": "double", "facade_periodicity": "double"}
     known = objects.select("*", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in objects.columns)).drop("x0", "y0", "x1", "y1", "z_min", "z_max", "plan_area")
     boxes = with_boxes(parts).groupBy("object_id").agg(*(F.min(c).alias(c) for c in ("x0", "y0", "z_min")), *(F.max(c).alias(c) for c in ("x1", "y1", "z_max")))
-    boxed = known.join(boxes, "object_id", "left").join(footprints(parts).select("object_id", F.col("area").alias("plan_area")), "object_id", "left")
+    # unions, boxes and records are read by many rules each, and found once
+    plans = stored(footprints(parts), "plans")
+    boxed = stored(known.join(boxes, "object_id", "left").join(plans.select("object_id", F.col("area").alias("plan_area")), "object_id", "left"), "boxed")
+    known = boxed.select(*known.columns)
     size = F.col("plan_area")
     found = [
-        geometry_validity(parts), volumetric_overlap(parts, known, tol), rules.orphan_findings(known), plan_containment(parts, known, tol), rules.vertical_containment(boxed, tol), rules.storey_continuity(boxed, tol),
+        geometry_validity(parts), volumetric_overlap(parts, known, tol), rules.orphan_findings(known), plan_containment(parts, known, tol, plans), rules.vertical_containment(boxed, tol), rules.storey_continuity(boxed, tol),
         unassigned_area(parts, known, tol), corridor_clearance(parts, known, tol), rules.area_mismatch(boxed, tol, size), rules.unauthorised_storeys(boxed, tol, size), rules.provenance_review(known, tol),
     ]
     if "code" in objects.columns:
