@@ -130,3 +130,13 @@ def test_footprints_of_a_batch_are_laid_as_each_alone():
     found = overlays.regularised(overlays.read(overlays.write(x)), 200)
     for s, t in zip(found, map(one, x), strict=True):
         assert len(s) == len(t) and all(p.shape == q.shape and np.allclose(p, q) for p, q in zip(s, t, strict=True))
+
+
+def test_parts_of_the_register_are_spread(spark):
+    from volreg import fixtures
+
+    from .conftest import SMALL
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    for df in (fixtures.buildings(spark, SMALL), fixtures.storeys(spark, SMALL), fixtures.air_rights(spark, SMALL)):
+        assert df.rdd.getNumPartitions() >= least

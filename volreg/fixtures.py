@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import OBJECT_COLUMNS
+from .shared import spread
 
 CORRIDOR_KINDS = ["metro", "water", "storm", "power", "unknown"]
 
@@ -35,9 +36,9 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with their place, floors and storey height. The parcel count is one number."""
+    """Parts with their place, floors and storey height, over all tasks: a part becomes some ten objects and hundreds of points. The parcel count is one number."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("ns"))
-    lots = table(spark, sf_dir, "part").crossJoin(F.broadcast(n))  # one row by construction
+    lots = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", fine=False).crossJoin(F.broadcast(n))  # one row by construction
     k = F.expr("p_partkey % ns")
     return lots.select(
         "p_partkey", "p_name", "p_size", k.alias("parcel"), F.expr("p_partkey div ns").alias("slot"), (1 + F.col("p_size") % 10).alias("nf"), (F.col("p_size") % 2).alias("nb"), (2.75 + 0.25 * (F.col("p_size") % 4)).alias("h"),

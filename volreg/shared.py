@@ -37,11 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in several tasks for each core, whatever few files or row groups it is read from: for rows that cost much each."""
+def spread(df: DataFrame, *keys: str, fine: bool = True) -> DataFrame:
+    """``df`` in several tasks for each core, whatever few files or row groups it is read from: for rows that cost much each, or, not so ``fine``, that become many."""
     spark = df.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *keys)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))) if fine else tasks, *keys)
 
 
 def large(df: DataFrame) -> DataFrame:
