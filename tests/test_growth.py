@@ -140,3 +140,15 @@ def test_parts_of_the_register_are_spread(spark):
     least = 4 * spark.sparkContext.defaultParallelism
     for df in (fixtures.buildings(spark, SMALL), fixtures.storeys(spark, SMALL), fixtures.air_rights(spark, SMALL)):
         assert df.rdd.getNumPartitions() >= least
+
+
+def test_a_position_is_computed_once(spark):
+    from volreg import solid_queries
+    from volreg.sources import files
+
+    from .conftest import SMALL
+
+    p, o = solid_queries.split(spark, SMALL)
+    plan = files.plan_geojson(p, o.select("object_id", "kind"), solid_queries.ORIGIN)._jdf.queryExecution().optimizedPlan().toString()
+    # longitude, the reduced latitude, the latitude
+    assert plan.count("ATAN2(") == 3

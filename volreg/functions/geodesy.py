@@ -56,8 +56,29 @@ class Local(NamedTuple):
         return tuple(d[0] * a[0] + d[1] * a[1] + d[2] * a[2] for a in axes)
 
     def inverse(self, e: Column, n: Column, u: Column) -> tuple[Column, Column, Column]:
+        return from_ecef(*self._ecef(e, n, u))
+
+    def _ecef(self, e: Column, n: Column, u: Column) -> list[Column]:
         origin, (x, y, z) = self._frame()
-        return from_ecef(*(F.lit(origin[i]) + e * x[i] + n * y[i] + u * z[i] for i in range(3)))
+        return [F.lit(origin[i]) + e * x[i] + n * y[i] + u * z[i] for i in range(3)]
+
+    def ground(self, e: Column, n: Column, made) -> Column:
+        """``made(lat, lon)`` of a place at height 0, where no generated code finds what is common, as in arrays of corners: steps are computed once."""
+        x, y, z = self._ecef(e, n, F.lit(0.0))
+
+        def at(c: Column) -> Column:
+            r = c["r"]
+            t = F.atan2(c["z"] * A, r * B)
+            lat = let(t, lambda t: F.atan2(c["z"] + EP2 * B * F.pow(F.sin(t), 3), r - E2 * A * F.pow(F.cos(t), 3)))
+            return made(F.degrees(lat), F.degrees(c["lon"]))
+
+        flat = let(F.struct(x.alias("x"), y.alias("y")), lambda p: F.struct(F.hypot(p["x"], p["y"]).alias("r"), F.atan2(p["y"], p["x"]).alias("lon"), z.alias("z")))
+        return let(flat, at)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def utm_zone(lon: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import STRATA, lookup
+from .geodesy import let
 
 # The alphabets of geohash and of base 36.
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -21,11 +22,6 @@ METRES_PER_DEGREE = (111_132.0, 111_320.0)
 _CODE = "^[0-9A-Z]{8}[0-9B-HJKMNP-Z]{10}[GBUAI][0-9A-Z]{6}[0-9A-Z]$"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once for each row, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _cell_number(value: Column, half: float, bits: int) -> Column:
     """Which of 2 ** bits equal cells between -half and half a value is in; a border belongs to the lower cell.
 
@@ -42,26 +38,26 @@ def _cell_number(value: Column, half: float, bits: int) -> Column:
     return let(guess, right)
 
 
-def _spread(x: Column) -> Column:
-    """The bits of a number at every other place."""
+#: Characters by the three bits of the coordinate that begins, then the two of the other.
+_MIXED = "".join(GEOHASH[(a >> 2) << 4 | (a >> 1 & 1) << 2 | (a & 1) | (b >> 1) << 3 | (b & 1) << 1] for a in range(8) for b in range(4))
 
-    def apart(shift: int, mask: int):
-        return lambda v: v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
 
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = let(x, apart(shift, mask))
-    return x
+def _bits(number: Column, width: int, start: int, turn: int) -> Column:
+    """Of a coordinate whose turn is at even (0) or odd (1) places, its bits among five places of the code from ``start`` on."""
+    lo, hi = (start - turn + 1) // 2, (start + 5 - turn + 1) // 2
+    return F.shiftright(number, width - hi).bitwiseAND(2 ** (hi - lo) - 1).cast("int")
 
 
 def geohash_encode(lat: Column, lon: Column, precision: int = PRECISION) -> Column:
     """Bits of the cells in turn, longitude first; a coordinate on a middle goes to the lower half. Out of range is an error."""
     n = 5 * precision
-    east, north = _spread(_cell_number(lon, 180.0, (n + 1) // 2)), _spread(_cell_number(lat, 90.0, n // 2))
-    # the last bit is of the coordinate whose turn it is
-    bits = F.shiftleft(east, 1).bitwiseOR(north) if n % 2 == 0 else F.shiftleft(north, 1).bitwiseOR(east)
-    char = lambda b, i: F.substring(F.lit(GEOHASH), F.shiftright(b, 5 * (precision - 1 - i)).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    # a character has three bits of one coordinate and two of the other in turn: it is looked up by both, beginning with longitude
+    many, few = (n + 1) // 2, n // 2
+    east, north = _cell_number(lon, 180.0, many), _cell_number(lat, 90.0, few)
+    char = lambda c, i: F.substring(F.lit(_MIXED), _bits(c["east"], many, 5 * i, 0) * (4 if i % 2 == 0 else 1) + _bits(c["north"], few, 5 * i, 1) * (1 if i % 2 == 0 else 4) + 1, F.lit(1))
+    text = let(F.struct(east.alias("east"), north.alias("north")), lambda c: F.concat(*(char(c, i) for i in range(precision))))
     fine = lat.between(-90, 90) & lon.between(-180, 180)
-    return F.when(fine, let(bits, lambda b: F.concat(*(char(b, i) for i in range(precision))))).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lat.cast("string"), F.lit(" "), lon.cast("string"))))
+    return F.when(fine, text).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lat.cast("string"), F.lit(" "), lon.cast("string"))))
 
 
 def geohash_bounds(code: Column) -> Column:
@@ -91,13 +87,9 @@ def unbase36(text: Column) -> Column:
 
 def check_character(payload: Column) -> Column:
     """ISO 7064, MOD 37,36, over upper-case base 36."""
-    digits = F.transform(F.split(F.upper(payload), ""), lambda c: F.instr(F.lit(BASE36), c) - 1)
-
-    def step(p: Column, v: Column) -> Column:
-        s = (p + v) % 36
-        return 2 * F.when(s == 0, 36).otherwise(s) % 37
-
-    p = F.aggregate(digits, F.lit(36), step)
+    # a sum of 36 counts as 36, not as 0
+    step = lambda p, c: 2 * (F.pmod(p + F.instr(F.lit(BASE36), c) - 2, F.lit(36)) + 1) % 37
+    p = F.aggregate(F.split(F.upper(payload), ""), F.lit(36), step)
     return F.substring(F.lit(BASE36), (37 - p) % 36 + 1, F.lit(1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import Local
+from ..functions.geodesy import Local, let
 from ..operators.register import area
 
 POINTS = "x double, y double, z double, classification smallint, intensity int, return_number smallint"
@@ -117,10 +117,10 @@ def _plans(parts: DataFrame, origin: Local) -> DataFrame:
     """``(object_id, polygons, z_min, z_max)``: each part's rings, closed, as positions of longitude and latitude to eight places; parts in order."""
 
     def position(p: Column) -> Column:
-        lat, lon, _ = origin.inverse(p["x"], p["y"], F.lit(0.0))
-        return F.array(F.round(lon, 8), F.round(lat, 8))
+        return origin.ground(p["x"], p["y"], lambda lat, lon: F.array(F.round(lon, 8), F.round(lat, 8)))
 
-    closed = lambda ring: F.transform(F.concat(ring, F.slice(ring, 1, 1)), position)
+    # a ring's first position is copied, not computed again
+    closed = lambda ring: let(F.transform(ring, position), lambda r: F.concat(r, F.slice(r, 1, 1)))
     each = parts.select("object_id", F.struct("part_no", F.transform("rings", closed).alias("rings")).alias("p"), "z_min", "z_max")
     # the few parts of an object
     return each.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["rings"]).alias("polygons"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"))
