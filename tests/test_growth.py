@@ -152,3 +152,55 @@ def test_a_position_is_computed_once(spark):
     plan = files.plan_geojson(p, o.select("object_id", "kind"), solid_queries.ORIGIN)._jdf.queryExecution().optimizedPlan().toString()
     # longitude, the reduced latitude, the latitude
     assert plan.count("ATAN2(") == 3
+
+
+class _Calls:
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.values
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def exists(self):
+        return None in self.values
+
+    def get(self):
+        return self.values[None]
+
+    def update(self, value):
+        self.values[None] = value
+
+
+def test_calls_of_the_state_grow_with_its_blocks_not_with_arrivals():
+    from pyspark.sql import Row
+
+    from volreg.streaming import mint
+
+    state, numbers = _Calls(), mint.Numbers()
+    numbers.init(state)
+    numbers.handleInitialState(("c", "G", 0), Row(units=list(range(0, 64, 2)), holders=[f"o{u}" for u in range(0, 64, 2)]), None)
+    rows = [Row(object_id=f"n{i}", preferred=None if i % 2 else 1000 + i % 7, claimed=None) for i in range(400)]
+    got = list(numbers.handleInputRows(("c", "G", 0), iter(rows), None))
+    low = [r.unit for r in got if r.unit < 1000]
+    assert low == [*range(1, 64, 2), *range(64, 232)] and sorted(r.unit for r in got if r.unit >= 1000) == list(range(1000, 1200))
+    # three calls for each block that is read and written
+    assert state.calls <= 3 * 10
+    # what is put back is found again, whatever is held
+    claims = [Row(object_id="n1", preferred=None, claimed=1), Row(object_id="x", preferred=None, claimed=1), Row(object_id="x", preferred=None, claimed=10**6)]
+    assert [r.verdict for r in numbers.handleInputRows(("c", "G", 0), iter(claims), None)] == ["held", "taken", "registered"]
+    assert list(numbers.handleInputRows(("c", "G", 0), iter([Row(object_id="y", preferred=10**6, claimed=None)]), None))[0].unit == 10**6 + 1

@@ -18,54 +18,100 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _NUMBERED = "object_id string, geohash string, stratum string, level int, unit int, verdict string"
 
 
+#: Numbers that stand in one entry of the state, and entries that a task holds at once.
+BLOCK, HELD = 64, 16
+
+
 class Numbers(StatefulProcessor):
     """Unit numbers of one cell.
 
-    ``taken`` maps a number to its holder and to a number above it from which the search
-    for a free one may go on, so a long run of taken numbers is not walked again for each
-    arrival; ``free`` is the least number that may be free. Rows change single entries:
-    no set of a cell's numbers is ever built.
+    ``blocks`` has the taken numbers by runs of ``BLOCK``: each number's holder (null if it
+    is free) and a number above it from which the search for a free one may go on, so a long
+    run of taken numbers is not walked again for each arrival; ``free`` is the least number
+    that may be free. As each call of the state crosses to the JVM, a block is read once for
+    all rows that need it and written once after them; ``HELD`` blocks are in memory at
+    most, so no set of a cell's numbers is ever built.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getMapState("taken", "unit int", "holder string, after int")
+        self.blocks = handle.getMapState("blocks", "block int", "holders array<string>, after array<int>")
         self.free = handle.getValueState("free", "unit int")
+        self.held: dict[int, list] = {}
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self.take(initialState.unit, initialState.object_id)
+        for unit, holder in zip(initialState.units, initialState.holders, strict=True):
+            self.take(unit, holder)
+        self.put_back()
+
+    def block(self, unit: int) -> list:
+        """[holders, after, whether changed] of a number's block, the latest used last."""
+        k = unit // BLOCK
+        b = self.held.pop(k, None)
+        if b is None:
+            if len(self.held) >= HELD:
+                self.put_back(next(iter(self.held)))
+            holders, after = self.blocks.getValue((k,)) if self.blocks.containsKey((k,)) else ([], [])
+            b = [list(holders), list(after), False]
+        self.held[k] = b
+        return b
+
+    def put_back(self, *which: int) -> None:
+        for k in which or list(self.held):
+            holders, after, changed = self.held.pop(k)
+            if changed:
+                self.blocks.updateValue((k,), (holders, after))
+
+    def holder(self, unit: int) -> str | None:
+        holders, i = self.block(unit)[0], unit % BLOCK
+        return holders[i] if i < len(holders) else None
+
+    def after(self, unit: int) -> int | None:
+        """The number to go on with if ``unit`` is taken."""
+        after, i = self.block(unit)[1], unit % BLOCK
+        return after[i] if i < len(after) else None
+
+    def go_on(self, unit: int, to: int) -> None:
+        b = self.block(unit)
+        b[1][unit % BLOCK], b[2] = to, True
 
     def take(self, unit: int, holder: str) -> None:
-        self.taken.updateValue((unit,), (holder, unit + 1))
+        b, i = self.block(unit), unit % BLOCK
+        for values in b[:2]:
+            values.extend([None] * (i + 1 - len(values)))
+        b[0][i], b[1][i], b[2] = holder, unit + 1, True
 
     def first_free(self, unit: int) -> int:
         seen = []
-        while self.taken.containsKey((unit,)):
-            holder, after = self.taken.getValue((unit,))
-            seen.append((unit, holder, after))
+        while (after := self.after(unit)) is not None:
+            seen.append((unit, after))
             unit = after
-        for at, holder, after in seen:
+        for at, after in seen:
             if after != unit:
-                self.taken.updateValue((at,), (holder, unit))
+                self.go_on(at, unit)
         return unit
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = free = self.free.get()[0] if self.free.exists() else None
         for r in rows:
             if r.claimed is not None:
                 unit = r.claimed
-                holder = self.taken.getValue((unit,))[0] if self.taken.containsKey((unit,)) else None
-                verdict = "registered" if holder is None else "held" if holder == r.object_id else "taken"
+                taken, holder = self.after(unit) is not None, self.holder(unit)
+                verdict = "registered" if not taken else "held" if holder == r.object_id else "taken"
             else:
                 wish = r.preferred if r.preferred is not None and 0 <= r.preferred <= idcode.MAX_UNIT else 0
-                if wish == 0 and self.free.exists():
-                    wish = self.free.get()[0]
+                if wish == 0 and free is not None:
+                    wish = free
                 unit, verdict = self.first_free(wish), "minted"
                 if r.preferred is None or r.preferred <= 0 or r.preferred > idcode.MAX_UNIT:
-                    self.free.update((min(unit + 1, idcode.MAX_UNIT + 1),))
+                    free = min(unit + 1, idcode.MAX_UNIT + 1)
                 if unit > idcode.MAX_UNIT:
                     unit, verdict = None, "exhausted"
             if verdict in ("minted", "registered"):
                 self.take(unit, r.object_id)
             yield Row(object_id=r.object_id, geohash=key[0], stratum=key[1], level=key[2], unit=unit if verdict != "taken" else None, verdict=verdict)
+        if free != was:
+            self.free.update((free,))
+        self.put_back()
 
     def close(self) -> None:
         pass
@@ -105,7 +151,10 @@ def mint_stream(arrivals: DataFrame, state: str, district: str, tehsil: str, reg
     if register is not None:
         issued = register.select("object_id", idcode.parsed(F.col("code")).alias("f")).where(_own(F.col("f"), state, district, tehsil))
         # of several objects with one code the smallest holds it
-        before = issued.groupBy(*(F.col(f"f.{c}").alias(c) for c in CELL), F.col("f.unit").alias("unit")).agg(F.min("object_id").alias("object_id")).groupBy(*CELL)
+        before = issued.groupBy(*(F.col(f"f.{c}").alias(c) for c in CELL), F.col("f.unit").alias("unit")).agg(F.min("object_id").alias("object_id"))
+        # a block's numbers go into the state together
+        before = before.groupBy(*CELL, F.expr(f"unit div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("unit", "object_id")).alias("taken"))
+        before = before.select(*CELL, F.col("taken.unit").alias("units"), F.col("taken.object_id").alias("holders")).groupBy(*CELL)
     numbered = fine.groupBy(*CELL).transformWithState(Numbers(), _NUMBERED, "Append", "None", initialState=before)
     code = idcode.compact(F.lit(state), F.lit(district), F.lit(tehsil), F.col("geohash"), F.col("stratum"), F.col("level"), F.col("unit"))
     numbered = numbered.withColumn("code", F.when(F.col("unit").isNotNull(), code))
