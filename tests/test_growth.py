@@ -204,3 +204,51 @@ def test_calls_of_the_state_grow_with_its_blocks_not_with_arrivals():
     claims = [Row(object_id="n1", preferred=None, claimed=1), Row(object_id="x", preferred=None, claimed=1), Row(object_id="x", preferred=None, claimed=10**6)]
     assert [r.verdict for r in numbers.handleInputRows(("c", "G", 0), iter(claims), None)] == ["held", "taken", "registered"]
     assert list(numbers.handleInputRows(("c", "G", 0), iter([Row(object_id="y", preferred=10**6, claimed=None)]), None))[0].unit == 10**6 + 1
+
+
+def test_clusters_link_cubes_not_points(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    # a winding strip through many cubes, a lump, and loose points, of which some lie at borders of clusters
+    rows = [(i, i / 40 + r.uniform(-0.2, 0.2), 3 * ((i // 400) % 2) + r.uniform(-0.2, 0.2), 0.0) for i in range(1600)]
+    rows += [(2000 + i, 60 + r.uniform(0, 2), -9 + r.uniform(0, 2), r.uniform(0, 2)) for i in range(300)] + [(3000 + i, r.uniform(-5, 70), r.uniform(-12, 6), 0.0) for i in range(200)]
+    eps, least = 0.5, 6
+    d2 = lambda a, b: sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True))
+    near = {a[0]: [b for b in rows if d2(a, b) <= eps * eps] for a in rows}
+    core = {i for i, found in near.items() if len(found) >= least}
+    label = {}
+    for i in sorted(core):
+        stack = [] if i in label else [i]
+        while stack:
+            at = stack.pop()
+            if at not in label:
+                label[at] = i
+                stack += [b[0] for b in near[at] if b[0] in core]
+    for a in rows:
+        homes = [(d2(a, b), b[0]) for b in near[a[0]] if b[0] in core]
+        if a[0] not in core and homes:
+            label[a[0]] = label[min(homes)[1]]
+    sizes = {x: sum(y == x for y in label.values()) for x in label.values()}
+    number = {x: i for i, x in enumerate(sorted(sizes, key=lambda x: (-sizes[x], x)))}
+    links, whole = [], cloud.connected
+    monkeypatch.setattr(cloud, "connected", lambda nodes, by: links.append(by.count()) or whole(nodes, by))
+    got = {x.pid: x.cluster for x in cloud.dbscan(spark.createDataFrame(rows, "pid long, x double, y double, z double"), eps, least).collect()}
+    assert got == {a[0]: number[label[a[0]]] if a[0] in label else None for a in rows}
+    assert len(number) > 3 and 0 < sum(links) < 100  # thousands of pairs of points
+
+
+def test_pairs_are_met_in_blocks(monkeypatch):
+    import numpy as np
+
+    from volreg.operators import near
+
+    r = np.random.default_rng(3)
+    a, b = r.uniform(-4, 4, (90, 3)), np.round(r.uniform(-4, 4, (140, 3)) * 2) / 2
+    want = {(i, j) for i in range(90) for j in range(140) if ((a[i] - b[j]) ** 2).sum() <= 2.25}
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(near, "BLOCK", most)
+        found = list(near.pairs(a, b, 1.5))
+        assert sorted((int(i), int(j)) for x, y, _ in found for i, j in zip(x, y, strict=True)) == sorted(want)
+        # all of one point in one block
+        assert sum(len(set(x.tolist())) for x, _, _ in found) == len({i for i, _ in want})
