@@ -283,3 +283,14 @@ def test_borders_of_a_batch_are_chained_at_once(monkeypatch):
     a, b, n = overlays.read(overlays.write(_stars(80, 3))), overlays.read(overlays.write(_stars(80, 4))), 80
     monkeypatch.setattr(overlay, "rings", lambda t: calls.append(1) or one(t))
     assert len(overlays.outlines(*overlays.pairwise(a, b, n, overlays.JOINED), n).size) >= 79 and len(calls) < 8
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark):
+    from volreg.shared import stored
+
+    # a few kilobytes of files that would be many megabytes in the driver
+    many = stored(spark.range(400_000).select("id", F.lit(1.0).alias("v")), "many")
+    few = stored(spark.range(100).select("id", F.lit("x").alias("w")), "few")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(spark.range(10**8).join(many.select("id", (F.col("v") + 1).alias("v")), "id"))
+    assert "BroadcastHashJoin" in plan(spark.range(10**8).join(few, "id"))

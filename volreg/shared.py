@@ -29,12 +29,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows from which on a stored table is never broadcast, and the size of its files below which it surely has fewer or small ones.
+MOST_ROWS, LEAST_BYTES = 50_000, 1 << 15
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
+    """Cut the lineage with a table in the shared folder.
+
+    Files tell little of how large rows are in memory, so a table of many rows says itself that it is large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return large(out) if _many_rows(out, path) else out
+
+
+def _many_rows(df: DataFrame, path: str) -> bool:
+    """Whether a stored table has more than ``MOST_ROWS``; the files' ends tell how many, no row is read."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return size > LEAST_BYTES and df.count() > MOST_ROWS
 
 
 def spread(df: DataFrame, *keys: str, fine: bool = True) -> DataFrame:
