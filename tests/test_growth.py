@@ -294,3 +294,15 @@ def test_tables_of_many_rows_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(spark.range(10**8).join(many.select("id", (F.col("v") + 1).alias("v")), "id"))
     assert "BroadcastHashJoin" in plan(spark.range(10**8).join(few, "id"))
+
+
+def test_rasters_and_stages_are_not_broadcast(spark, tmp_path):
+    from volreg.operators import raster, survey
+
+    cells = spark.range(300).select((F.col("id") % 20).cast("int").alias("row"), F.floor(F.col("id") / 20).cast("int").alias("col"), F.lit(1.0).alias("value"))
+    p = spark.range(50).select(F.col("id").alias("pid"), (F.col("id") % 7 / 2).alias("x"), (F.col("id") % 5 / 2).alias("y"), F.lit(3.0).alias("z"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (raster.classified(p, cells, 0.0, 0.0, 1.0), raster.sample(cells, p, 0.0, 0.0, 1.0), raster.sample(cells, p, 0.0, 0.0, 1.0, "nearest")):
+        assert df.count() == 50 and "BroadcastHashJoin" not in plan(df)
+    stage = survey.Stages(spark, str(tmp_path)).run("many", lambda: spark.range(60_000).select("id", F.lit(1.0).alias("v")))
+    assert "BroadcastHashJoin" not in plan(spark.range(10**8).join(stage, "id"))
