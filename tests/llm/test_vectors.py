@@ -175,3 +175,16 @@ def test_same_rows_as_sql(spark, duck, name):
     from volreg.llm import queries
 
     same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name], spark, duck)
+
+
+def test_copies_of_queries_are_never_broadcast(vectors, monkeypatch):
+    from volreg.llm import vectors as shared
+
+    want = got(topk_search.top_k(vectors, F.col("vec_id") % 100 == 0))
+    plans, stored = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    monkeypatch.setattr(shared, "HELD", 0.002)  # shares of two queries
+    assert got(topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)) == want
+    assert got(hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, F.col("label")))
+    met = [plan for name, plan in plans if name == "passed"]
+    assert len(met) >= 3 and not any("BroadcastExchange" in plan for plan in met)

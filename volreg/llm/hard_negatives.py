@@ -207,7 +207,7 @@ def hard_negatives(df: DataFrame, asks: Column, label: Column, positives: int =
         order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives)
 
-    near = searched(candidates, bounded, partial(_Positives, positives), "row long, vec_id long, score long", best)
+    near = searched(candidates, anchors, bounded, partial(_Positives, positives), "row long, vec_id long, score long", best)
     # parts[0] <= 100 * negative / positive <= parts[1]; a positive below zero has no band
     p = F.col("positive_score")
     least, most = band
@@ -231,7 +231,7 @@ def hard_negatives(df: DataFrame, asks: Column, label: Column, positives: int =
         order = Window.partitionBy("row", "place").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
 
-    far = searched(candidates, banded, partial(_Negatives, negatives), "row long, place int, vec_id long, score long", best_of_band)
+    far = searched(candidates, anchors, banded, partial(_Negatives, negatives), "row long, place int, vec_id long, score long", best_of_band)
     near = near.join(anchors.select("row", F.col("id").alias("anchor_id")), "row").join(far, ["row", "place"])
     return near.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

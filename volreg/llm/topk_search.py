@@ -120,14 +120,14 @@ def top_k(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024) -> DataFr
         if found is None:
             return queries.withColumn("limit", F.array(F.lit(NONE))), ["limit"]
         limits = found.where(F.col("rank") == k).select("row", F.col("score").alias("limit"))
-        return queries.join(limits, "row", "left").withColumn("limit", F.array(F.coalesce("limit", F.lit(NONE)))), ["limit"]
+        return queries.join(limits.hint("merge"), "row", "left").withColumn("limit", F.array(F.coalesce("limit", F.lit(NONE)))), ["limit"]
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    found = searched(candidates, bounded, partial(_Search, k), "row long, vec_id long, score long", best)
-    return queries.select("row", F.col("id").alias("query_id")).join(found, "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = searched(candidates, queries, bounded, partial(_Search, k), "row long, vec_id long, score long", best)
+    return queries.select("row", F.col("id").alias("query_id")).join(found.hint("merge"), "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op12_topk_search(spark, sf_dir):

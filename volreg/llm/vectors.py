@@ -26,8 +26,10 @@ QUERIES = 1024
 #: A round of a search takes so many times the blocks of those before it. What one round
 #: finds bounds the next: a query then meets about RATIO times its k rows that pass.
 RATIO = 16
-#: Blocks of queries are sent to so many groups of candidates at most.
+#: Blocks of queries are sent to so many groups of candidates at most, and so many blocks
+#: of queries, or few more, are held where a group meets them.
 GROUPS = 256
+HELD = 64
 #: Pairs are compacted into lists once so small a share of them is left; above, whole
 #: matrix products cost less than gathering.
 SPARSE = 1 / 32
@@ -132,16 +134,19 @@ def small_batches(spark: SparkSession, rows: int = 16) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
-def searched(candidates: DataFrame, queries: Callable[[DataFrame | None], DataFrame], kernel: Callable[[dict], pa.RecordBatch], schema: str, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The best rows for all queries over all blocks of candidates, stored.
+def searched(candidates: DataFrame, asks: DataFrame, queries: Callable[[DataFrame | None], DataFrame], kernel: Callable[[dict], pa.RecordBatch], schema: str, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best rows for all queries over all blocks of candidates, stored; ``asks`` are what ``queries`` adds bounds to.
 
     Each round sends the blocks of queries, with the bounds that the rounds before found, to
-    RATIO times as many candidates. Both sides are shuffled by the group of candidates, so
-    no task and no broadcast holds all queries or all candidates.
+    RATIO times as many candidates. Both sides are shuffled by the group of candidates and a
+    share of the queries, so no task and no broadcast holds all queries or all candidates: a
+    file of queries is small, but not their copies for all groups, so the join is told so.
     """
     spark, n, found, before = candidates.sparkSession, candidates.count(), None, None
     on_workers(spark)
     groups = max(1, min(n, GROUPS))
+    shares = max(1, math.ceil(asks.count() / (QUERIES * HELD)))
+    every = lambda of_: F.explode(F.sequence(F.lit(0), F.lit(of_ - 1)))
     h = F.xxhash64("block")
     levels = math.ceil(math.log(max(n, 1), RATIO) - 1e-9)
 
@@ -161,8 +166,9 @@ def searched(candidates: DataFrame, queries: Callable[[DataFrame | None], DataFr
             part = part.where(h <= cut)
         part = part if before is None else part.where(h > before)
         before = cut if level else None
-        q = query_blocks(*queries(found)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        pairs = part.withColumn("g", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(groups)).cast("int")).join(q, "g").drop("g")
+        q = query_blocks(*queries(found)).withColumns({"g": every(groups), "share": F.pmod(F.xxhash64("q_row"), F.lit(shares)).cast("int")})
+        part = part.withColumns({"g": F.pmod(F.xxhash64("block", F.lit(1)), F.lit(groups)).cast("int"), "share": every(shares)})
+        pairs = part.join(q.hint("merge"), ["g", "share"]).drop("g", "share")
         with small_batches(spark):
             new = stored(pairs.mapInArrow(run, schema), "passed")
         found = stored(best(new if found is None else found.select(new.columns).union(new)), "best")
