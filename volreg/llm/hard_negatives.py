@@ -201,7 +201,7 @@ def hard_negatives(df: DataFrame, asks: Column, label: Column, positives: int =
         if found is None:
             return anchors.withColumn("limit", F.array(F.lit(NONE))), ["limit"]
         limits = found.where(F.col("rank") == positives).select("row", F.col("score").alias("limit"))
-        return anchors.join(limits, "row", "left").withColumn("limit", F.array(F.coalesce("limit", F.lit(NONE)))), ["limit"]
+        return anchors.join(limits.hint("merge"), "row", "left").withColumn("limit", F.array(F.coalesce("limit", F.lit(NONE)))), ["limit"]
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
@@ -220,19 +220,19 @@ def hard_negatives(df: DataFrame, asks: Column, label: Column, positives: int =
         bands = near.withColumn("limit", F.lit(NONE))
         if found is not None:
             limits = found.where(F.col("rank") == negatives).select("row", "place", F.col("score").alias("limit"))
-            bands = near.join(limits, ["row", "place"], "left").withColumn("limit", F.coalesce("limit", F.lit(NONE)))
+            bands = near.join(limits.hint("merge"), ["row", "place"], "left").withColumn("limit", F.coalesce("limit", F.lit(NONE)))
         lists = ["low", "high", "limit"]
         # an anchor has a few positives at most; places without one have the empty band 0 to -1
         of = lambda c, other: F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda i: F.coalesce(F.try_element_at(F.col(c), i), F.lit(other)))
         bands = bands.groupBy("row").agg(*(F.map_from_entries(F.collect_list(F.struct("place", c))).alias(c) for c in lists))
-        return anchors.join(bands.select("row", *(of(c, other).cast("array<long>").alias(c) for c, other in zip(lists, (0, -1, NONE), strict=True))), "row"), lists
+        return anchors.join(bands.select("row", *(of(c, other).cast("array<long>").alias(c) for c, other in zip(lists, (0, -1, NONE), strict=True))).hint("merge"), "row"), lists
 
     def best_of_band(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("row", "place").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
 
     far = searched(candidates, anchors, banded, partial(_Negatives, negatives), "row long, place int, vec_id long, score long", best_of_band)
-    near = near.join(anchors.select("row", F.col("id").alias("anchor_id")), "row").join(far, ["row", "place"])
+    near = near.join(anchors.select("row", F.col("id").alias("anchor_id")).hint("merge"), "row").join(far.hint("merge"), ["row", "place"])
     return near.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
