@@ -306,3 +306,21 @@ def test_rasters_and_stages_are_not_broadcast(spark, tmp_path):
         assert df.count() == 50 and "BroadcastHashJoin" not in plan(df)
     stage = survey.Stages(spark, str(tmp_path)).run("many", lambda: spark.range(60_000).select("id", F.lit(1.0).alias("v")))
     assert "BroadcastHashJoin" not in plan(spark.range(10**8).join(stage, "id"))
+
+
+def test_the_rules_on_parents_share_a_join(spark):
+    from volreg.fixtures import register
+    from volreg.operators import reports, rules
+    from volreg.shared import stored
+
+    from .conftest import SMALL
+
+    o = stored(register(spark, SMALL), "register")
+    each = rules.plan_containment(o).unionByName(rules.vertical_containment(o))
+    both = rules.containment(o)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, each.collect())) and both.count() > 0
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(both) == 1 and joins(each) == 2
+    # texts are made of what the joins bring, not carried through them
+    plan = reports.described(both, o)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan[plan.index("Join ") :]
